@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of a table that is broadcast at most.
+MAX_SMALL = 100_000
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

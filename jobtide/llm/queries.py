@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, tokens
+from . import binary, mixing, quality, sharding, tokens
 from .base import load
 
 QUERIES = {
     "op1_mixing": lambda spark, sf: mixing.op1(load(spark, sf, "documents")),
     "op2_token_counts": lambda spark, sf: tokens.op2(load(spark, sf, "documents")),
     "op3_quality": lambda spark, sf: quality.op3(load(spark, sf, "documents"), load(spark, sf, "labels")),
+    "op9_token_ids": lambda spark, sf: binary.op9(load(spark, sf, "documents")),
     "op10_sharding": lambda spark, sf: sharding.op10(load(spark, sf, "documents")),
 }
 ORACLE: dict[str, str] = {}
