@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, jaccard, mixing, quality, sharding, tokens
+from . import binary, fingerprints, jaccard, mixing, quality, sharding, tokens
 from .base import load
 
 QUERIES = {
@@ -10,6 +10,7 @@ QUERIES = {
     "op2_token_counts": lambda spark, sf: tokens.op2(load(spark, sf, "documents")),
     "op3_quality": lambda spark, sf: quality.op3(load(spark, sf, "documents"), load(spark, sf, "labels")),
     "op7_jaccard": lambda spark, sf: jaccard.op7(load(spark, sf, "documents")),
+    "op8_fingerprints": lambda spark, sf: fingerprints.op8(load(spark, sf, "documents")),
     "op9_token_ids": lambda spark, sf: binary.op9(load(spark, sf, "documents")),
     "op10_sharding": lambda spark, sf: sharding.op10(load(spark, sf, "documents")),
 }
