@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import binary, fingerprints, jaccard, mixing, quality, sharding, tokens
+from . import binary, decontamination, fingerprints, html, jaccard, langid, mixing, quality, sharding, tokens
 from .base import load
 
 QUERIES = {
     "op1_mixing": lambda spark, sf: mixing.op1(load(spark, sf, "documents")),
     "op2_token_counts": lambda spark, sf: tokens.op2(load(spark, sf, "documents")),
     "op3_quality": lambda spark, sf: quality.op3(load(spark, sf, "documents"), load(spark, sf, "labels")),
+    "op4_html": lambda spark, sf: html.op4(load(spark, sf, "pages")),
+    "op5_decontamination": lambda spark, sf: decontamination.op5(load(spark, sf, "documents"), load(spark, sf, "benchmark")),
+    "op6_language": lambda spark, sf: langid.op6(load(spark, sf, "pages"), load(spark, sf, "documents")),
     "op7_jaccard": lambda spark, sf: jaccard.op7(load(spark, sf, "documents")),
     "op8_fingerprints": lambda spark, sf: fingerprints.op8(load(spark, sf, "documents")),
     "op9_token_ids": lambda spark, sf: binary.op9(load(spark, sf, "documents")),
