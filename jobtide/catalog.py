@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from .plans import reads, rebuild  # noqa: F401
+from .plans import reads, rebuild, transitions  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
