@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,10 +38,12 @@ def ordering_hash(key: Column) -> Column:
     """The 64-bit hash of an ordering key's bytes as a decimal, which doesn't overflow."""
     code = F.hex(F.encode(key, "UTF-8"))
     byte = lambda i: F.conv(F.substr(code, i * 2 + 1, F.lit(2)), 16, 10).cast("decimal(38,0)")
-    start, size = F.lit(HASH_OFFSET).cast("decimal(38,0)"), F.octet_length(key)
+    wide = lambda n: F.lit(Decimal(n)).cast("decimal(20,0)")
+    size = F.octet_length(key)
     places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    step = lambda a, i: F.pmod((a * F.lit(HASH_FACTOR).cast("decimal(18,0)")).cast("decimal(38,0)") + byte(i), F.lit(1 << 64).cast("decimal(38,0)")).cast("decimal(38,0)")
-    return F.aggregate(places, start, step)
+    # a product of 20 and 13 digits, and a byte: 34 digits, which a decimal holds
+    step = lambda a, i: F.pmod((a.cast("decimal(20,0)") * F.lit(Decimal(HASH_FACTOR)).cast("decimal(13,0)")).cast("decimal(38,0)") + byte(i), wide(1 << 64)).cast("decimal(38,0)")
+    return F.aggregate(places, wide(HASH_OFFSET).cast("decimal(38,0)"), step)
 
 
 def shard_of(key: Column, shards: int) -> Column:
