@@ -39,7 +39,7 @@ def _(spark, sf):
     return X.jobs(spark, sf).filter("state = 'available'").select("id", eff(43_200).alias("effective"), eff(0).alias("off"))
 
 
-HASH = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(k) + 1), i -> ord(substr(k, i::INTEGER, 1))::HUGEINT)), (h, b) -> (h * 1099511628211 + b) % 18446744073709551616)"
+HASH = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(k) + 1), lambda i: ord(substr(k, i::INTEGER, 1))::HUGEINT)), lambda h, b: (h * 1099511628211 + b) % 18446744073709551616)"
 
 
 @query("d07_ordering_hash", f"SELECT c_custkey::BIGINT AS id, h::VARCHAR AS hash, (h % 8)::INTEGER AS shard FROM (SELECT c_custkey, {HASH} AS h FROM (SELECT c_custkey, 'customer-' || c_custkey AS k FROM customer WHERE c_custkey % 10 = 1))")

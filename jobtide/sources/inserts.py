@@ -10,7 +10,7 @@ from ..model import DEFAULT_MAX_ATTEMPTS, DEFAULT_PRIORITY, DEFAULT_QUEUE, DEFER
 
 # Fixed value: what a null is written as, so that it differs from an empty text.
 NULL_MARK = "__JOBTIDE_NULL__"
-CSV = {"nullValue": NULL_MARK, "emptyValue": "", "quote": '"', "escape": '"', "header": "true", "multiLine": "true"}
+CSV = {"nullValue": NULL_MARK, "quote": '"', "escape": '"', "header": "true", "multiLine": "true"}
 
 
 def prepare(rows: DataFrame, as_of: Column) -> DataFrame:
