@@ -20,9 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import broadcast_if_small, park
+from .base import MAX_SMALL, broadcast_if_small, park
 
-K, BINS, PLACE_BITS, BLANK = 5, 64, 28, "-" * 8
+K, BINS, PLACE_BITS, BLANK = 5, 64, 28, 0
 #: Documents that one window orders.
 RANGE = 4096
 
@@ -33,7 +33,7 @@ def _hold(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with out, the parts of the fingerprint of the column text: BINS strings of 8 hexadecimal digits or blanks."""
+    """df with out, the parts of the fingerprint of the column text: BINS numbers, BLANK for an empty bin."""
     keep, place = df.columns, (1 << PLACE_BITS) - 1
     df = _hold(df, "_w", F.transform(F.split(F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), "\t\n\x0b\f\r", " " * 5)), " +"), lambda w: F.xxhash64(w)))
     words = "_w"
@@ -52,9 +52,9 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     after = "_r[i + 1]"
     part = f"""CASE WHEN i + 1 >= size(_r) OR shiftrightunsigned({after}, {64 - bits}) <> shiftrightunsigned(_r[i], {64 - bits}) THEN xxhash64({value("_r[i]")})
         WHEN ({after} & {place}) > (_r[i] & {place}) THEN xxhash64({value("_r[i]")}, {value(after)}) ELSE xxhash64({value(after)}, {value("_r[i]")}) END"""
-    found = f"map_from_entries(transform({starts}, i -> struct(cast(shiftrightunsigned(_r[i], {64 - bits}) AS int), lower(right(concat('00000000', hex({part})), 8)))))"
+    found = f"map_from_entries(transform({starts}, i -> struct(cast(shiftrightunsigned(_r[i], {64 - bits}) AS int), cast(shiftright({part}, 32) AS int) | 1)))"
     df = _hold(df, "_m", F.expr(found))
-    parts = F.expr(f"transform(sequence(0, {BINS - 1}), b -> coalesce(try_element_at(_m, b), '{BLANK}'))")
+    parts = F.expr(f"transform(sequence(0, {BINS - 1}), b -> coalesce(try_element_at(_m, b), {BLANK}))")
     return _hold(df, out, parts).select(*keep, out)
 
 
@@ -77,30 +77,34 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(filled == 0, F.lit(1.0)).otherwise(equal / filled)
 
 
-def with_next(df: DataFrame, order: list[Column], columns: list[str], bounds: list[int]) -> DataFrame:
-    """df with next_<column> of the row that follows in the order (whose first is a descending _id); the first row follows the last.
+def text_of(parts: Column) -> Column:
+    """The fingerprint as text: 8 hexadecimal digits a bin, or blanks."""
+    digits = lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
+    return F.array_join(F.transform(parts, lambda x: F.when(x == BLANK, "-" * 8).otherwise(digits(x))), "")
+
+
+def _range(bounds: list[int]) -> Column:
+    """The range of _id between the bounds, in the order of descending _id; nulls have the last."""
 
-    Rows fall into ranges of _id between the bounds, a window in each; the first row of a range follows the last of the one before."""
     def tree(low: int, high: int) -> Column:  # the number of bounds that are at most _id, by halving
         if low == high:
             return F.lit(low)
         mid = (low + high) // 2
         return F.when(F.col("_id") >= bounds[mid], tree(mid + 1, high)).otherwise(tree(low, mid))
 
-    cut = F.coalesce(-tree(0, len(bounds)), F.lit(1))
-    df = df.withColumn("_range", cut)
-    window = Window.partitionBy("_range").orderBy(*order)
-    df = df.withColumn("_last", F.lead(F.lit(False), 1, True).over(window)).withColumn("_first", F.lag(F.lit(False), 1, True).over(window))
-    for c in columns:
-        df = df.withColumn(f"next_{c}", F.lead(c).over(window))
-    df = park(df)
-    heads = df.filter("_first").select("_range", *[F.col(c).alias(f"head_{c}") for c in columns])  # a row a range
-    ring = Window.orderBy("_range")
-    ranges = df.filter("_first").select("_range")
-    follow = ranges.select("_range", F.coalesce(F.lead("_range").over(ring), F.min("_range").over(Window.partitionBy(F.lit(1)))).alias("_then"))
-    heads = follow.join(heads.withColumnRenamed("_range", "_then"), "_then").drop("_then")
-    ends = df.filter("_last").drop(*[f"next_{c}" for c in columns]).join(broadcast_if_small(heads, 4 * RANGE), "_range").withColumnsRenamed({f"head_{c}": f"next_{c}" for c in columns})
-    return df.filter("NOT _last").unionByName(ends).drop("_first", "_last", "_range")
+    return F.when(F.col("_id").isNull(), F.lit(1)).otherwise(-tree(0, len(bounds)))
+
+
+def with_guests(rows: DataFrame, bounds: list[int]) -> DataFrame:
+    """rows (_id, _t) with _range and _guest: the first row of each range is a guest in the range before it, after all of that
+    one's own rows, and the first row of all in the last range. So the next row of any row is in its own range."""
+    rows = rows.withColumn("_range", _range(bounds)).withColumn("_guest", F.lit(False))
+    first = rows.groupBy("_range").agg(F.min(F.struct(F.bitwise_not("_id").alias("d"), F.xxhash64("_t").alias("h"))).alias("f"))
+    ring = Window.orderBy("_range")  # a row a range
+    hosts = F.coalesce(F.lag("_range").over(ring), F.max("_range").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    first = park(first.select(hosts.alias("_host"), F.bitwise_not("f.d").alias("d"), F.col("f.h").alias("h")))
+    guests = rows.join(broadcast_if_small(first, MAX_SMALL), F.col("_id").eqNullSafe(F.col("d")) & (F.xxhash64("_t") == F.col("h"))).dropDuplicates(["_host"])
+    return rows.unionByName(guests.select("_id", "_t", F.col("_host").alias("_range"), F.lit(True).alias("_guest")))
 
 
 def range_bounds(df: DataFrame, rows: int = RANGE) -> list[int]:
@@ -114,12 +118,10 @@ def range_bounds(df: DataFrame, rows: int = RANGE) -> list[int]:
 
 
 def op8(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(docs["text"], F.lit(""))
-    ids = docs.select(docs["doc_id"].cast("long").alias("_id"))
-    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), text.alias("_t"))
-    rows = fingerprint(rows, "_t", "_fp")
-    order = [F.col("_id").desc_nulls_last(), F.xxhash64("_t"), F.col("_t")]
-    rows = with_next(rows, order, ["_t", "_fp"], range_bounds(ids))
+    rows = docs.select(docs["doc_id"].cast("long").alias("_id"), F.coalesce(docs["text"], F.lit("")).alias("_t"))
+    rows = fingerprint(with_guests(rows, range_bounds(rows.select("_id"))), "_t", "_fp")
+    window = Window.partitionBy("_range").orderBy("_guest", F.col("_id").desc_nulls_last(), F.xxhash64("_t"), "_t")
+    rows = rows.withColumn("next__t", F.lead("_t").over(window)).withColumn("next__fp", F.lead("_fp").over(window)).filter("NOT _guest")
     n = F.length("_t")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("_t"), F.lit(1), n - third), F.substring(F.col("next__t"), F.lit(1), third))
@@ -127,6 +129,6 @@ def op8(docs: DataFrame) -> DataFrame:
     rows = fingerprint(rows, "_e", "_efp")
     return rows.select(
         F.col("_id").alias("doc_id"), F.length("_t").cast("long").alias("n_chars"), F.sha2(F.col("_e").cast("binary"), 256).alias("edited_sha256"),
-        F.array_join("_fp", "").alias("fingerprint"), F.array_join("_efp", "").alias("edited_fingerprint"),
+        text_of(F.col("_fp")).alias("fingerprint"), text_of(F.col("_efp")).alias("edited_fingerprint"),
         likeness(F.col("_fp"), F.col("_efp")).alias("near_edited"), likeness(F.col("_fp"), F.col("next__fp")).alias("near_next"),
     )
