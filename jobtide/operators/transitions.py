@@ -348,3 +348,39 @@ def outcomes(jobs: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
     rest = results.withColumn("action", action).filter("action IS NOT NULL").withColumn("u", F.lit(0.0))
     second = reschedule(first.drop("changed"), rest, as_of).withColumnRenamed("changed", "_second")
     return second.join(first.filter("changed").select(F.col("id").alias("_f")), F.col("id") == F.col("_f"), "left").withColumn("changed", F.col("_second") | F.col("_f").isNotNull()).drop("_second", "_f")
+
+
+def register_callback(jobs: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """Requests (id, run_lease, callback_id, timeout_s) of running jobs: the job waits for its callback from now on."""
+    none = _none("timestamp_ntz")
+    sets = {
+        "state": F.lit("waiting_external"), "callback_id": F.col("request.callback_id"), "callback_timeout_at": plus(as_of, F.col("request.timeout_s")), "heartbeat_at": none,
+        "deadline_at": none,
+    }
+    return update(guarded(jobs, requests), F.col("request").isNotNull(), sets).drop("request")
+
+
+def heartbeat_callback(jobs: DataFrame, ids: DataFrame, timeout_s: int, as_of: Column) -> DataFrame:
+    """A callback that reports in has its time anew."""
+    j = jobs.join(ids.select(F.col("callback_id").alias("_cb")).distinct(), F.col("callback_id") == F.col("_cb"), "left")
+    return update(j, F.col("_cb").isNotNull() & (F.col("state") == "waiting_external"), {"callback_timeout_at": plus(as_of, timeout_s)}).drop("_cb")
+
+
+def poll_wait(jobs: DataFrame, requests: DataFrame) -> DataFrame:
+    """What a waiting handler (id, run_lease, callback_id) finds: waiting, resolved, rescheduled, finished or stale."""
+    r = requests.select("id", F.col("run_lease").alias("_rl"), F.col("callback_id").alias("_cb"))
+    out = r.join(jobs.select("id", "state", "run_lease", "callback_id"), "id", "left")
+    same = F.col("run_lease") == F.col("_rl")
+    found = (
+        F.when(F.col("state").isNull() | ~same, "stale").when((F.col("state") == "waiting_external") & F.col("callback_id").eqNullSafe(F.col("_cb")), "waiting").when(F.col("state") == "running", "resolved")
+        .when(F.col("state").isin(*TERMINAL), "finished").otherwise("rescheduled")
+    )
+    return out.select("id", found.alias("found"))
+
+
+def fold_terminal_deltas(deltas: DataFrame, rollups: DataFrame, closed: Column) -> tuple[DataFrame, DataFrame]:
+    """Deltas (queue, priority, generation, delta) of closed generations go into the rollups (queue, priority, n): (the deltas that
+    stay, the new rollups). The sum of both never changes."""
+    done = deltas.filter(closed).groupBy("queue", "priority").agg(F.sum("delta").alias("n"))
+    new = rollups.unionByName(done).groupBy("queue", "priority").agg(F.sum("n").alias("n")).filter("n <> 0")
+    return deltas.filter(~F.coalesce(closed, F.lit(False))), new
