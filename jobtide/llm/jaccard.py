@@ -2,12 +2,13 @@
 
 Documents with equal sets of n-grams are one row of the matrix. All rows that can reach the threshold together must share a column
 of their prefixes (the first size - ceil(t * size) + 1 columns of each row in one order of all columns), which bounds the product
-to few columns. The order puts columns that many rows hold last: counts of all columns are kept in a sketch of fixed size, whose
-classes only steer the order, so that any error in them costs time, never a pair. Column by column, rows that meet are compared:
+to few columns. The order puts columns that many rows hold last: the rows of all columns are counted in a sketch of fixed size, whose
+counters only steer the order, so that any error in them costs time, never a pair. Column by column, rows that meet are compared:
 first all with the smallest row there, then, since only components matter, rows of still different components in blocks of
-leaders. A pair of rows is dropped when a bound from sizes and from counts in 64 column blocks lies below the threshold;
-the overlap of the others is summed up over their full rows. No row is compared twice, nothing is capped, and no task or driver
-gets all rows of a group: the hot columns collapse with the first round of leaders.
+leaders. A pair of rows is dropped when a bound lies below the threshold: by their sizes, then by the counts of their cells in 256
+blocks of columns, whose smaller ones add up to the largest possible overlap. Only rows of pairs that are left are read again,
+and their overlap is summed up over their full rows. Nothing is capped, and no task or driver gets all rows of a group: hot
+columns collapse with the first round of leaders.
 
 Texts: A-Z are lowered; words are runs of anything but space and the characters 9 to 13. Defined results: null or empty texts
 and those without words have no n-gram, are linked with nothing and are their own component; with fewer words than n, the whole
@@ -17,8 +18,7 @@ empty table gives an empty table. N-grams are 64-bit hashes; the odds of a false
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +28,22 @@ from pyspark.sql import functions as F
 
 from .base import MAX_SMALL, broadcast_if_small, discard, park, ship
 
-#: Counters of the sketch and of one of its blocks, column blocks of a row's profile, pairs of a column compared in one round (by at
-#: least LEADERS leaders), entries of the table of words, cells that a task gathers before it counts them.
-SKETCH, SKETCH_BLOCK, PROFILE, PAIRS, LEADERS, WORDS, GATHERED = 1 << 22, 1 << 16, 64, 1 << 16, 16, 300_000, 1 << 20
+#: Counters of the sketch and of one of its blocks, column blocks of a row's profile, rows that one task compares at once, pairs of a
+#: column compared in one round where there are more (by at least LEADERS leaders), cells that a task gathers before it counts them, bytes of words hashed at once, bytes of a word that is
+#: hashed on its own.
+SKETCH, SKETCH_BLOCK, PROFILE, GROUP, PAIRS, LEADERS, GATHERED, AT_ONCE, LONG = 1 << 23, 1 << 17, 256, 2048, 1 << 16, 16, 1 << 20, 1 << 20, 1 << 16
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
+_FACTOR = 0x5851F42D4C957F2D
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            if len(self) >= WORDS:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_words = _Words()
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _FACTOR and of its inverse modulo 2^64."""
+    n = AT_ONCE + LONG + 1
+    up, down = np.full(n, _FACTOR, np.uint64), np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
 
 def _stir(h: np.ndarray) -> np.ndarray:
@@ -53,18 +52,81 @@ def _stir(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def row_of(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct n-gram hashes of a text."""
-    words = text.encode("utf-8", "replace").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, np.uint64(k))
-    for i in range(k):
-        out = (out + h[i : len(h) - k + 1 + i]) * _MIX[0]
-        out ^= out >> np.uint64(31)
-    return np.unique(_stir(out))
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of raw begin, and their hashes: a polynomial of the bytes, from differences of running sums."""
+    x = np.frombuffer(raw, np.uint8)
+    gap = _SPACE[x]
+    starts = np.flatnonzero(~gap & np.append(True, gap[:-1]))
+    ends = np.flatnonzero(~gap & np.append(gap[1:], True)) + 1
+    size = ends - starts
+    h = np.zeros(len(starts), np.uint64)
+    up, down = _powers()
+    i = 0
+    while i < len(starts):
+        if size[i] > LONG:
+            h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+            i += 1
+            continue
+        j = max(int(np.searchsorted(ends, starts[i] + AT_ONCE, "right")), i + 1)
+        long = np.flatnonzero(size[i:j] > LONG)
+        if len(long):
+            j = i + int(long[0])
+        first, last = int(starts[i]), int(ends[j - 1])
+        part = x[first:last].astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[: len(part)]
+        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part)))
+        h[i:j] = (upto[ends[i:j] - first] - upto[starts[i:j] - first]) * down[starts[i:j] - first]
+        i = j
+    return starts, _stir(h + size.astype(np.uint64) * _MIX[2])
+
+
+def rows_of(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its n-grams."""
+    parts = [t.encode("utf-8", "replace") if t else b"" for t in texts]
+    place = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    starts, h = _word_hashes(b" ".join(parts).lower())
+    at = np.searchsorted(starts, place)
+
+    def grams(k: int) -> np.ndarray:
+        out = np.full(max(len(h) - k + 1, 0), np.uint64(k))
+        for i in range(k):
+            out = (out + h[i : len(h) - k + 1 + i]) * _MIX[0]
+            out ^= out >> np.uint64(31)
+        return _stir(out)
+
+    full, out = grams(n), []
+    for i, j in zip(at.tolist(), at[1:].tolist(), strict=False):
+        if j - i >= n:
+            g = np.sort(full[i : j - n + 1])
+            out.append(g[np.append(True, g[1:] != g[:-1])])
+        elif j > i:  # the whole sequence is the one n-gram
+            one = np.full(1, np.uint64(j - i))
+            for w in h[i:j]:
+                one = (one + w) * _MIX[0]
+                one ^= one >> np.uint64(31)
+            out.append(_stir(one))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def _groups(texts: list[str | None], n: int):
+    """rows_of the texts, some at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t or "")
+        if size >= AT_ONCE:
+            yield from rows_of(held, n)
+            held, size = [], 0
+    if held:
+        yield from rows_of(held, n)
+
+
+def profile(row: np.ndarray) -> bytes:
+    """Cells by block of columns, 255 at most."""
+    return np.minimum(np.bincount((row >> np.uint64(56)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
 
 
 def _row_id(row: np.ndarray) -> int:
@@ -80,12 +142,8 @@ def _slot(cells: np.ndarray) -> np.ndarray:
     return (cells >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
 
 
-def _class(count: np.ndarray) -> np.ndarray:
-    return np.log2(count + 1.0).astype(np.uint8)
-
-
 def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, r (row), n_shingles of each document, and blocks of the sketch: kind 1 with block number in r."""
+    """doc_id, r (row), n_shingles and the row's profile of each document, and blocks of the sketch: kind 1 with block number in r."""
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.uint32)
@@ -94,16 +152,18 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
         def count(held):
-            if held:
-                np.add(sketch, np.bincount(_slot(np.concatenate(held)), minlength=SKETCH).astype(np.uint32), out=sketch)
+            slots = _slot(np.concatenate(held)) if held else ()
+            for low in range(0, SKETCH if held else 0, SKETCH // 8):  # an eighth at a time keeps the memory small
+                part = slots[(slots >= low) & (slots < low + SKETCH // 8)]
+                sketch[low : low + SKETCH // 8] += np.bincount(part - low, minlength=SKETCH // 8).astype(np.uint32)
 
         for b in batches:
-            ids, sizes, held, gathered = [], [], [], 0
-            for t in b.column(1).to_pylist():
-                row = row_of(t, n)
+            ids, sizes, blocks, held, gathered = [], [], [], [], 0
+            for row in _groups(b.column(1).to_pylist(), n):
                 r = _row_id(row) if len(row) else None
                 ids.append(r)
                 sizes.append(len(row))
+                blocks.append(profile(row) if len(row) and r not in seen else None)
                 if r is not None and r not in seen:
                     seen.add(r)
                     held.append(row)
@@ -114,12 +174,12 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
             if len(seen) > 1_000_000:
                 seen.clear()
             count(held)
-            cols = [pa.array([0] * len(ids), kinds[0]), b.column(0), pa.array(ids, kinds[2]), pa.array(sizes, kinds[3]), pa.nulls(len(ids), kinds[4])]
+            cols = [pa.array([0] * len(ids), kinds[0]), b.column(0), pa.array(ids, kinds[2]), pa.array(sizes, kinds[3]), pa.array(blocks, kinds[4])]
             yield pa.RecordBatch.from_arrays(cols, schema)
         for i in range(0, SKETCH, SKETCH_BLOCK):
-            part = np.minimum(sketch[i : i + SKETCH_BLOCK], 65535)
+            part = np.minimum(sketch[i : i + SKETCH_BLOCK], 255)
             if part.any():
-                row = [[1], [None], [i // SKETCH_BLOCK], [None], [part.astype("<u2").tobytes()]]
+                row = [[1], [None], [i // SKETCH_BLOCK], [None], [part.astype(np.uint8).tobytes()]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], schema)
 
     cols = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
@@ -127,50 +187,46 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _order(survey: DataFrame) -> np.ndarray:
-    """The classes of the sketch's counters, SKETCH bytes: 0 for counts that chance explains."""
+    """The sketch's counters as 16 bits each, SKETCH of them whatever the input; halved until almost all fit."""
 
     def add(key, table):
         total = np.zeros(SKETCH_BLOCK, np.uint64)
-        for x in table.column("sum"):
-            total += np.frombuffer(x.as_py(), "<u8")
-        return pa.table({"r": pa.array([key[0].as_py()], pa.int64()), "sum": pa.array([total.tobytes()], pa.binary())})
-
-    def widen(batches):
-        for b in batches:
-            wide = [np.frombuffer(x.as_py(), "<u2").astype("<u8").tobytes() for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(wide, pa.binary())], ["r", "part", "sum"])
-
-    # a tree of two levels: a task adds up one block from a thousandth of the survey's tasks, then one from those sums
-    parts = survey.filter("kind = 1").select("r", "block", F.pmod(F.xxhash64("block"), F.lit(1024)).alias("part")).mapInArrow(widen, "r long, part long, sum binary")
+        for x in table.column(table.column_names.index("block")):
+            raw = x.as_py()
+            total += np.frombuffer(raw, np.uint8 if len(raw) == SKETCH_BLOCK else "<u4")
+        total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
+        return pa.table({"r": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([total.tobytes()], pa.binary())})
+
+    # a tree of two levels for many tasks: one block from a thousandth of the tasks is added up at a time, then those sums
+    parts = survey.filter("kind = 1").select("r", "block", F.pmod(F.xxhash64("block"), F.lit(1024)).alias("part"))
     if parts.limit(20_000).count() == 20_000:
-        parts = parts.groupBy("r", "part").applyInArrow(add, "r long, sum binary")
-    sums = parts.groupBy("r").applyInArrow(add, "r long, sum binary")
-    sketch = np.zeros(SKETCH, np.uint64)
-    for x in sums.toLocalIterator():  # SKETCH counters, whatever the input
-        sketch[x["r"] * SKETCH_BLOCK : (x["r"] + 1) * SKETCH_BLOCK] = np.frombuffer(x["sum"], "<u8")
-    mean = sketch.mean()
-    floor = mean + 6 * math.sqrt(mean) + 4
-    return np.where(sketch <= floor, 0, _class(sketch)).astype(np.uint8)
-
-
-def _prefixes(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> DataFrame:
+        parts = parts.groupBy("r", "part").applyInArrow(add, "r long, block binary")
+    sketch, largest = np.zeros(SKETCH, np.uint32), 0
+    for x in parts.select("r", "block").groupBy("r").applyInArrow(add, "r long, block binary").toLocalIterator():
+        block = np.frombuffer(x["block"], "<u4")
+        sketch[x["r"] * SKETCH_BLOCK : (x["r"] + 1) * SKETCH_BLOCK] = block
+        largest = max(largest, int(np.quantile(block, 0.999)))
+    sketch >>= np.uint32(max(0, largest.bit_length() - 15))
+    np.minimum(sketch, 65535, out=sketch)
+    return sketch.astype(np.uint16)
+
+
+def _prefixes(docs: DataFrame, counters: np.ndarray, n: int, percent: int) -> DataFrame:
     """col, r, size: the prefix columns of each row, once a task at least."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # SKETCH bytes, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(counters)  # 2 SKETCH bytes, whatever the input
 
     def run(batches):
         order, seen = shared.value, set()
         for b in batches:
             cols, ids, sizes = [], [], []
-            for t in b.column(0).to_pylist():
-                row = row_of(t, n)
+            for row in _groups(b.column(0).to_pylist(), n):
                 if len(row) and 100 * len(row) >= percent * (len(row) + 1):  # else no other set is near enough
                     r = _row_id(row)
                     if r in seen:
                         continue
                     seen.add(r)
                     p = prefix_size(len(row), percent)
-                    rank = order[_slot(row)]
-                    cols.append(row[np.argsort(rank, kind="stable")[:p]] if rank.any() else row[:p])
+                    cols.append(row[np.argsort(order[_slot(row)], kind="stable")[:p]])  # equal counters in the order of their hashes
                     ids.append(np.full(p, r, np.int64))
                     sizes.append(np.full(p, len(row), np.int32))
             if len(seen) > 1_000_000:
@@ -182,36 +238,77 @@ def _prefixes(docs: DataFrame, classes: np.ndarray, n: int, percent: int) -> Dat
 
 
 def _rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """r, size, cells (sorted hashes), profile of the rows in wanted (r, doc_id): their texts are read once more."""
+    """r and cells (sorted hashes) of the rows in wanted (r, doc_id): their texts are read once more."""
     found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     found = found.join(broadcast_if_small(wanted.select(F.col("doc_id").alias("id")), MAX_SMALL), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def run(batches):
         for b in batches:
-            rows = [row_of(t, n) for t in b.column(1).to_pylist()]
-            profile = [np.minimum(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=PROFILE), 65535).astype("<u2").tobytes() for x in rows]
-            cols = [pa.array([_row_id(x) for x in rows], pa.int64()), pa.array([len(x) for x in rows], pa.int32()), pa.array([x.astype("<u8").tobytes() for x in rows], pa.binary()), pa.array(profile, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["r", "size", "cells", "profile"])
+            rows = list(_groups(b.column(1).to_pylist(), n))
+            yield pa.RecordBatch.from_arrays([pa.array([_row_id(x) for x in rows], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in rows], pa.binary())], ["r", "cells"])
 
-    return found.mapInArrow(run, "r long, size int, cells binary, profile binary").join(wanted.select("r"), "r", "left_semi").dropDuplicates(["r"])
+    return found.mapInArrow(run, "r long, cells binary").join(wanted.select("r"), "r", "left_semi").dropDuplicates(["r"])
 
 
-def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) of rows those at the threshold."""
-
-    def profiles(x, y):
-        return np.frombuffer(x, "<u2").astype(np.int32), np.frombuffer(y, "<u2").astype(np.int32)
+def _near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose profiles allow an overlap at the threshold."""
 
     def bound(batches):
-        """Overlap is the sum over column blocks of the smaller count at most."""
         for b in batches:
-            keep = []
-            for x, y, n, m in zip(*(b.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                p, q = profiles(x, y)
-                full = (p < 65535).all() and (q < 65535).all()
-                most = int(np.minimum(p, q).sum()) if full else min(n, m)
-                keep.append(100 * most >= percent * (n + m - most))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PROFILE) for i in (2, 3))
+            n, m = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            most = np.where((x == 255).any(1) | (y == 255).any(1), np.minimum(n, m), most)
+            yield b.filter(pa.array(100 * most >= percent * (n + m - most), pa.bool_())).select(["a", "b"])
+
+    one, two = (profiles.select(F.col("r").alias(k), F.col("block").alias(f"p{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(bound, "a long, b long")
+
+
+def _within(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """Of members (g, r, c), GROUP a group at most, the pairs of a group that are of different components and may be at the threshold
+    by their sizes and profiles."""
+
+    def pairs(group):
+        r, c, n, x = group
+        order = np.argsort(n, kind="stable")
+        r, c, n, x = r[order], c[order], n[order], x[order]
+        full = (x == 255).any(1)
+        for i in range(len(r) - 1):
+            j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))  # sizes that are near enough
+            j = j[c[j] != c[i]]
+            if len(j):
+                most = np.minimum(x[i], x[j]).sum(1, dtype=np.int64)
+                most = np.where(full[i] | full[j], n[i], most)
+                j = j[100 * most >= percent * (n[i] + n[j] - most)]
+                for k in j.tolist():
+                    yield (min(r[i], r[k]), max(r[i], r[k]))
+
+    def run(batches):
+        key, held = None, []
+
+        def done():
+            found = list(pairs([np.concatenate(p) for p in zip(*held, strict=True)])) if held else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], ["a", "b"])
+
+        for b in batches:
+            g, r, c, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            x = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, PROFILE)
+            edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)] if len(g) else [0]
+            for i, j in zip(edges, edges[1:], strict=False):
+                if g[i] != key:
+                    yield from done()
+                    key, held = g[i], []
+                held.append((r[i:j], c[i:j], n[i:j], x[i:j]))
+        yield from done()
+
+    full = members.join(profiles.select("r", "n_shingles", "block"), "r").select("g", "r", "c", "n_shingles", "block")
+    return full.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+
+
+def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) those at the threshold, by the product of their full rows."""
 
     def product(batches):
         for b in batches:
@@ -223,11 +320,8 @@ def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * overlap >= percent * (len(p) + len(q) - overlap))
             yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    one = rows.select(F.col("r").alias("a"), F.col("profile").alias("pa"), F.col("size").alias("na"))
-    two = rows.select(F.col("r").alias("b"), F.col("profile").alias("pb"), F.col("size").alias("nb"))
-    near = pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(bound, "a long, b long")
     one, two = rows.select(F.col("r").alias("a"), F.col("cells").alias("ca")), rows.select(F.col("r").alias("b"), F.col("cells").alias("cb"))
-    return near.join(one, "a").join(two, "b").select("a", "b", "ca", "cb").mapInArrow(product, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ca", "cb").mapInArrow(product, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -267,20 +361,47 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # columns with two rows at least, one of those with the same rows
     cells = park(_prefixes(docs, _order(survey), n, percent).groupBy("col", "r").agg(F.first("size").alias("size")))
     stats = cells.groupBy("col").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("r")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "r")).alias("y"), F.min(F.struct("size", "r")).alias("lead"))
-    stats = stats.filter("held > 1").groupBy("held", "x", "y").agg(F.min("col").alias("col"), F.first("lead.r").alias("lead"))
+    stats = stats.filter("held > 1").groupBy("held", "x", "y").agg(F.min("col").alias("col"), F.first("lead").alias("lead"))
     shared = park(cells.join(stats.select("col", "lead"), "col").select("col", "r", "size", "lead"))
     discard(cells)
     parked.append(shared)
-    wanted = park(shared.select("r").distinct().join(reps, "r"))
-    rows = park(_rows(docs, wanted, n))
-    parked += [wanted, rows]
-
-    first = shared.filter("r <> lead").select(F.least("lead", "r").alias("a"), F.greatest("lead", "r").alias("b")).distinct()
-    links = park(_links(first, rows, percent))
+    profiles = park(survey.filter("kind = 0 AND block IS NOT NULL").select("r", "block", "n_shingles").dropDuplicates(["r"]).join(shared.select("r").distinct(), "r", "left_semi"))
+    parked.append(profiles)
+    known: list[DataFrame] = []
+
+    def compare(pairs: DataFrame, near: bool = False) -> DataFrame:
+        """The links among pairs (a, b), whose profiles have been compared if they are near."""
+        pairs = park(pairs.distinct() if near else _near(pairs.distinct(), profiles, percent))
+        ends = pairs.select(F.col("a").alias("r")).unionByName(pairs.select(F.col("b").alias("r"))).distinct()
+        for k in known:
+            ends = ends.join(k, "r", "left_anti")
+        wanted = park(ends.join(reps, "r"))
+        if not wanted.isEmpty():
+            known.append(park(_rows(docs, wanted, n)))
+        parked.extend([pairs, wanted])
+        return park(_links(pairs, reduce(DataFrame.unionByName, known), percent)) if known else pairs
+
+    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes
+    first = shared.filter((F.col("r") != F.col("lead.r")) & fits(F.col("size"), F.col("lead.size")))
+    links = compare(first.select(F.least("lead.r", "r").alias("a"), F.greatest("lead.r", "r").alias("b")))
     found = [links]
     comps = park(components(links))
     parked += [links, comps]
-    live = shared.filter("r <> lead").select("col", "r", "size")
+    # Columns with rows of several components, by the smallest row of each: families of near copies mostly share it, so that a pair meets
+    # once or a few times and not once a column.
+    live = shared.filter("r <> lead.r").select("col", F.col("lead.r").alias("g"), "r", "size")
+    label = live.join(comps, "r", "left").select("col", "g", "r", "size", F.coalesce("c", "r").alias("c"))
+    mixed = label.groupBy("col").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("col")
+    label = park(label.join(mixed, "col"))
+    held = label.select("g", "r", "c").distinct()
+    sizes = park(held.groupBy("g").agg(F.count("*").alias("n")))
+    parked += [label, sizes]
+    new = compare(_within(held.join(sizes.filter(F.col("n") <= GROUP), "g"), profiles, percent), near=True)
+    if not new.isEmpty():
+        found.append(new)
+        comps = park(components(reduce(DataFrame.unionByName, found)))
+        parked += [new, comps]
+    live = label.join(sizes.filter(F.col("n") > GROUP), "g").select("col", "r", "size")  # larger ones go on round by round
     while True:
         # Rows that have not met all others of their column, where those are of several components. The rows of the
         # smaller components lead: when they have met all, one component is left.
@@ -295,9 +416,8 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
         if live.isEmpty():
             break
         heads = live.filter("leads").select("col", *[F.col(x).alias(f"h{x}") for x in ("r", "size", "c", "i")])
-        near = F.least("size", "hsize") * 100 >= F.greatest("size", "hsize") * percent
-        pairs = live.join(heads, "col").filter((F.col("i") > F.col("hi")) & (F.col("c") != F.col("hc")) & near)
-        new = park(_links(pairs.select(F.least("r", "hr").alias("a"), F.greatest("r", "hr").alias("b")).distinct(), rows, percent))
+        pairs = live.join(heads, "col").filter((F.col("i") > F.col("hi")) & (F.col("c") != F.col("hc")) & fits(F.col("size"), F.col("hsize")))
+        new = compare(pairs.select(F.least("r", "hr").alias("a"), F.greatest("r", "hr").alias("b")))
         parked.append(new)
         live = live.filter("NOT leads").select("col", "r", "size")
         if not new.isEmpty():
@@ -308,7 +428,7 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     named = reps.join(comps, "r", "left").join(groups, "c", "left").select("r", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = members.join(named, "r", "left").select("doc_id", "r", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = park(out)
-    discard(*parked)
+    discard(*parked, *known)
     return out
 
 
