@@ -21,7 +21,7 @@ import struct
 import uuid
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import MAX_SMALL, broadcast_if_small, shared_dir, ship
-from .tokens import _IRREGULAR, LONGEST
+from .chunks import HEAD, ODD, SIMPLE, spell
+from .tokens import LONGEST
 
 END, SHARD_TEXT, SAMPLE, MAGIC = 2, 16 << 20, 4096, b"JTWM\x01"
 #: Letters of the texts that are encoded together, and pre-tokens whose identifiers are kept; a full table is emptied.
-TOGETHER, KEPT = 4 << 20, 600_000
-#: Letters, then signs but the apostrophe: one pre-token or two in every byte-level vocabulary. A chunk has its space before.
-_LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
-_SIMPLE, _HEAD = re.compile(f"( {_LETTERS})({_SIGNS})"), re.compile(f"({_LETTERS})({_SIGNS})")
+TOGETHER, KEPT = 8 << 20, 600_000
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -173,10 +171,10 @@ class Shard:
 class Encoder:
     """Identifiers of texts by the vocabulary's library.
 
-    A text is cut into chunks at single spaces, where a pre-token always ends. The distinct chunks of a group of texts are
-    encoded once: letters with signs after them as two pre-tokens by the library's model, whose results are kept in a bounded
-    table, other chunks by the whole library. The texts are put together from those by index. Texts with other spaces than
-    single ones, or with a special token's string, go through the library as a whole."""
+    A text is cut into chunks at single spaces, where a pre-token always ends. Arrow finds the distinct chunks of a group of texts;
+    a bounded table has the identifiers of chunks that came before, and texts are put together from it by index. New chunks of letters and
+    signs are cut into their pre-tokens, which the library's model encodes, other ones go through the whole library. So do texts with
+    other spaces than single ones, or with a special token's string."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -193,81 +191,107 @@ class Encoder:
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.width = max(1, (size - 1).bit_length())
         self.kind = np.dtype("<u2" if self.width <= 16 else "<u4")
-        self.letter = {b: c for b, c in enumerate(_byte_letters())}
-        self.known: dict[str, list[int]] = {}
-
-    def _plain(self, text: str) -> bool:
-        return self.chunked and not _IRREGULAR.search(text) and not any(s in text for s in self.special)
+        self.odd = "|".join([ODD, *map(re.escape, self.special)])
+        self._empty()
+
+    def _empty(self) -> None:
+        """The table: a number for each chunk, and by number where its identifiers begin in flat and how many they are."""
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.number: dict[str, int] = {}
+        self.first, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.kind), 0
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of chunks that stand after a space; new ones are put in the table."""
+        out = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            names = [chunks[i] for i in new.tolist()]
+            start = len(self.number)
+            out[new] = np.arange(start, start + len(names))
+            self._append(start, self._distinct([" " + x for x in names]))
+            self.number.update(zip(names, range(start, start + len(names)), strict=True))
+        return out
 
-    def _piece(self, piece: str) -> list[int]:
+    def _append(self, start: int, lists: list[list[int]]) -> None:
+        size = np.fromiter(map(len, lists), np.int64, len(lists))
+        total, end = int(size.sum()), start + len(lists)
+        while end > len(self.size):
+            self.first, self.size = np.append(self.first, np.zeros_like(self.first)), np.append(self.size, np.zeros_like(self.size))
+        while self.used + total > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros_like(self.flat))
+        self.size[start:end] = size
+        self.first[start:end] = self.used + np.cumsum(size) - size
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), self.kind, total)
+        self.used += total
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
         """Of one pre-token."""
         ids = self.known.get(piece)
         if ids is None:
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letter))]
+            ids = tuple([t.id for t in self.model.tokenize(spell(piece))])
             if len(piece) <= LONGEST:
-                if len(self.known) >= KEPT:
+                if len(self.known) >= KEPT // 2:
                     self.known.clear()
                 self.known[piece] = ids
         return ids
 
-    def _distinct(self, chunks: list[str]) -> list[list[int]]:
-        out, odd = [], []
+    def _distinct(self, chunks: list[str], pattern=None) -> list[tuple[int, ...] | list[int]]:
+        out, odd, piece, match = [], [], self._piece, (pattern or SIMPLE).fullmatch
         for i, c in enumerate(chunks):
-            if m := _SIMPLE.fullmatch(c):
-                stem, tail = m.groups()
-                out.append(self._piece(stem) + self._piece(tail) if tail else self._piece(stem))
+            if m := match(c):
+                stem, tail, stem2, tail2 = m.groups()
+                ids = piece(stem)
+                if tail:
+                    ids = ids + piece(tail)
+                if stem2:
+                    ids = ids + piece("\n") + piece(stem2) + (piece(tail2) if tail2 else ())
+                out.append(ids)
             else:
                 odd.append(i)
-                out.append([])
+                out.append(())
         for i, e in zip(odd, self.library.encode_batch_fast([chunks[i] for i in odd], add_special_tokens=False), strict=True):
             out[i] = e.ids
         return out
 
-    def encode(self, texts: list[str], end: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
-        """All identifiers one after another, with end after each text, and how many each text has."""
-        plain = [self._plain(t) for t in texts]
-        heads = [t.split(" ", 1)[0] if p else t for t, p in zip(texts, plain, strict=True)]
-        rests = [t[len(h) + 1 :] if p and len(t) > len(h) else None for t, h, p in zip(texts, heads, plain, strict=True)]
-        split = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
-        per = np.asarray(pc.fill_null(pc.list_value_length(split), 0), dtype=np.int64)
-        coded = pc.dictionary_encode(split.flatten())
-        inner, D = coded.dictionary.to_pylist(), len(texts)
-        # entries: chunks after a space, then what begins the texts, then the end
-        entries = self._distinct([" " + x for x in inner]) + self._distinct_heads(heads, plain) + [list(end)]
-        size = np.fromiter(map(len, entries), np.int64, len(entries))
-        flat = np.fromiter(chain.from_iterable(entries), self.kind, int(size.sum()))
-        first = np.cumsum(size) - size
-        at, docs = np.cumsum(per) - per, np.arange(D)
-        words = np.empty(int(per.sum()) + 2 * D, np.int64)
-        mark = np.ones(len(words), bool)
-        begin, last = at + 2 * docs, at + per + 2 * docs + 1
-        mark[begin] = mark[last] = False
-        words[begin], words[last] = len(inner) + docs, len(entries) - 1
-        words[mark] = np.asarray(coded.indices, dtype=np.int64)
-        n = size[words]
+    def encode(self, texts: pa.Array, end: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """All identifiers one after another, with end after each text, and how many each text has. A null text is empty."""
+        if len(self.number) > KEPT:
+            self._empty()
+        texts, D = pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), ""), len(texts)
+        is_whole = np.ones(D, bool)
+        if self.chunked:
+            is_whole = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(~is_whole)), " ")
+        chunks, per = split.flatten(), np.zeros(D, np.int64)
+        per[~is_whole] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        coded = pc.dictionary_encode(chunks)
+        words = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices, dtype=np.int64)]
+        # what has no space before: the first chunk of a text, or all of a text that isn't plain; then the ends
+        heads = chunks.take(pa.array((np.cumsum(per) - per)[per > 0])).to_pylist()
+        whole = texts.filter(pa.array(is_whole)).to_pylist()
+        base = len(self.number)
+        others = [e.ids for e in self.library.encode_batch_fast(whole, add_special_tokens=False)]
+        used = self.used
+        self._append(base, [*self._distinct(heads, HEAD), *others, list(end)])
+        begins, docs = np.cumsum(per) - per, np.arange(D)
+        words[begins[per > 0]] = base + np.arange(len(heads))
+        # one more entry a text for its end, and one for all of a text that isn't plain
+        count = per + is_whole + 1
+        last = np.cumsum(count) - 1
+        line = np.empty(int(count.sum()), np.int64)
+        mark = np.ones(len(line), bool)
+        mark[last] = False
+        line[last] = base + len(heads) + len(others)
+        mark[last[is_whole] - 1] = False
+        line[last[is_whole] - 1] = base + len(heads) + np.arange(len(others))
+        line[mark] = words
+        n = self.size[line]
         upto = np.cumsum(n)
-        place = np.repeat(first[words] - (upto - n), n)
+        place = np.repeat(self.first[line] - (upto - n), n)
         place += np.arange(len(place))
-        return flat[place], np.diff(upto[last], prepend=0)
-
-    def _distinct_heads(self, heads: list[str], plain: list[bool]) -> list[list[int]]:
-        out: list = [[] for _ in heads]
-        whole = []
-        for i, (h, p) in enumerate(zip(heads, plain, strict=True)):
-            if p and (m := _HEAD.fullmatch(h)):
-                out[i] = self._piece(m[1]) + (self._piece(m[2]) if m[2] else [])
-            elif h:
-                whole.append(i)
-        for i, e in zip(whole, self.library.encode_batch_fast([heads[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
-
-
-def _byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves, the others follow from 256."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+        ids = self.flat[place]
+        self.used = used  # the entries of this group's heads and whole texts go
+        return ids, np.diff(upto[last], prepend=0)
 
 
 @lru_cache(2)
@@ -300,7 +324,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end: int = END, sh
                 if ids and size + more > shard_text:
                     yield shard()
                     seq, size = seq + 1, 0
-                tokens, n = enc.encode([t or "" for t in few.column(1).to_pylist()], [end])
+                tokens, n = enc.encode(few.column(1), [end])
                 ids += few.column(0).to_pylist()
                 parts.append(tokens)
                 lengths.append(n)
