@@ -1,7 +1,8 @@
 """Token counts by byte-pair merging with a heap and a linked list, and the split of texts that the ID writer shares.
 
 A text falls into chunks at single spaces that stand before something that isn't white space; there a pre-token always ends, so
-chunks count on their own and their counts are kept in a bounded table. A chunk that is new is cut into pre-tokens, and in each
+chunks count on their own. Arrow finds the distinct chunks of a batch, and their counts are kept in a bounded table. A chunk that is new
+is cut into pre-tokens, by the library's splitter where it isn't plainly letters and signs, and in each
 of those the adjacent pair of lowest rank is merged again and again: a heap has the pairs, a doubly linked list the symbols. The
 count is the number of bytes minus the number of merges; no identifier is made.
 
@@ -16,11 +17,14 @@ import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import ship
+from .chunks import HEAD, ODD, SIMPLE, spell
 
 #: Entries of a table of chunks, and letters of the longest chunk in it; a full table is emptied.
 KEPT, LONGEST = 300_000, 64
@@ -92,16 +96,43 @@ class Counter:
         special = sorted((t["content"] for t in spec.get("added_tokens", [])), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.piece = _Kept(self.merger.count)
-        self.inner, self.first = _Kept(lambda chunk: self.pieces(" " + chunk)), _Kept(self.pieces)
+        self.odd = "|".join([ODD, *map(re.escape, special)])
+        self.inner, self.first = _Kept(lambda chunk: self.chunk(" " + chunk, SIMPLE)), _Kept(lambda chunk: self.chunk(chunk, HEAD))
 
     def pieces(self, text: str) -> int:
         return sum(self.piece[p] for p, _ in self.pre.pre_tokenize_str(text)) if text else 0
 
+    def chunk(self, text: str, pattern: re.Pattern) -> int:
+        m = pattern.fullmatch(text)
+        if m is None:
+            return self.pieces(text)
+        stem, tail, stem2, tail2 = m.groups()
+        out = self.merger.count(spell(stem)) + (self.piece[spell(tail)] if tail else 0)
+        return out + 1 + self.merger.count(spell(stem2)) + (self.piece[spell(tail2)] if tail2 else 0) if stem2 else out
+
+    def batch(self, texts: pa.Array) -> np.ndarray:
+        """The counts of many texts; a null one is empty."""
+        texts = pc.fill_null(pa.concat_arrays([texts]).cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        out = np.zeros(len(texts), np.int64)
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        if len(split):
+            chunks, per = split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = pc.dictionary_encode(chunks)
+            names = coded.dictionary.to_pylist()
+            n = np.fromiter(map(self.inner.__getitem__, names), np.int64, len(names))[coded.indices.to_numpy(zero_copy_only=False)]
+            begin = np.cumsum(per) - per
+            heads = chunks.take(pa.array(begin)).to_pylist()
+            n[begin] = [self.first[h] if h else 0 for h in heads]
+            out[~odd] = np.add.reduceat(n, begin)
+        out[odd] = [self(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        return out
+
     def segment(self, text: str) -> int:
         if _IRREGULAR.search(text):
             return self.pieces(text)
         head, *rest = text.split(" ")
-        return self.first[head] + sum(map(self.inner.__getitem__, rest))
+        return (self.first[head] if head else 0) + sum(map(self.inner.__getitem__, rest))
 
     def __call__(self, text: str | None) -> int:
         if not text:
@@ -123,9 +154,8 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512) -> DataFram
     def run(batches):
         count = counter(vocabulary)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            n = [count(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n = count.batch(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     cols = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"], F.coalesce(F.octet_length(docs["text"]), F.lit(0)).cast("long").alias("n_bytes"))
     return cols.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
