@@ -7,6 +7,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 
 
 def connect(sf_dir: str):
@@ -17,7 +18,7 @@ def connect(sf_dir: str):
 
 
 def _value(x):
-    if x is None or x != x:
+    if x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and math.isnan(x)):
         return None
     if isinstance(x, bool) or type(x).__name__ == "bool":
         return bool(x)
