@@ -7,8 +7,8 @@ counters only steer the order, so that any error in them costs time, never a pai
 first all with the smallest row there, then, since only components matter, rows of still different components in blocks of
 leaders. A pair of rows is dropped when a bound lies below the threshold: by their sizes, then by the counts of their cells in 256
 blocks of columns, whose smaller ones add up to the largest possible overlap. Only rows of pairs that are left are read again,
-and their overlap is summed up over their full rows. Nothing is capped, and no task or driver gets all rows of a group: hot
-columns collapse with the first round of leaders.
+and their overlap is summed up over their full rows. Nothing is capped. The cells (24 bytes) of a column meet in one task, which
+sorts them and spills; the rows themselves never do, and hot columns collapse with the first round of leaders.
 
 Texts: A-Z are lowered; words are runs of anything but space and the characters 9 to 13. Defined results: null or empty texts
 and those without words have no n-gram, are linked with nothing and are their own component; with fewer words than n, the whole
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .base import MAX_SMALL, broadcast_if_small, discard, park, ship
 
+#: Links whose components one task finds.
+EDGES = 1 << 18
 #: Counters of the sketch and of one of its blocks, column blocks of a row's profile, rows that one task compares at once, pairs of a
 #: column compared in one round where there are more (by at least LEADERS leaders), cells that a task gathers before it counts them, bytes of words hashed at once, bytes of a word that is
 #: hashed on its own.
@@ -324,10 +326,34 @@ def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ca", "cb").mapInArrow(product, "a long, b long")
 
 
+def _joined(edges: DataFrame) -> DataFrame:
+    """components of EDGES edges (u, v) at most, by one task that joins them in a table of parents."""
+
+    def run(batches):
+        up: dict[int, int] = {}
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                a, c = top(u), top(v)
+                if a != c:
+                    up[max(a, c)] = min(a, c)
+        ends = list(up)
+        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([top(x) for x in ends], pa.int64())], ["r", "c"])
+
+    return edges.select("u", "v").repartition(1).mapInArrow(run, "r long, c long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """r, c for all ends of links (a, b): c is the smallest of r's component. Alternating large and small stars, each a join
-    on keys with its lineage cut."""
+    """r, c for all ends of links (a, b): c is the smallest of r's component. Up to EDGES links, one task does it; more take
+    alternating large and small stars, each a join on keys with its lineage cut."""
     edges = park(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    if edges.limit(EDGES + 1).count() <= EDGES:
+        return _joined(edges)
     last = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -359,10 +385,17 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     parked = [survey]
 
     # columns with two rows at least, one of those with the same rows
-    cells = park(_prefixes(docs, _order(survey), n, percent).groupBy("col", "r").agg(F.first("size").alias("size")))
-    stats = cells.groupBy("col").agg(F.count("*").alias("held"), F.bit_xor(F.xxhash64("r")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "r")).alias("y"), F.min(F.struct("size", "r")).alias("lead"))
-    stats = stats.filter("held > 1").groupBy("held", "x", "y").agg(F.min("col").alias("col"), F.first("lead").alias("lead"))
-    shared = park(cells.join(stats.select("col", "lead"), "col").select("col", "r", "size", "lead"))
+    cells = _prefixes(docs, _order(survey), n, percent).repartition("col").groupBy("col", "r").agg(F.first("size").alias("size"))  # the one shuffle of all cells
+    every = Window.partitionBy("col")
+    cells = cells.withColumns(
+        {
+            "held": F.count("*").over(every), "x": F.bit_xor(F.xxhash64("r")).over(every), "y": F.bit_xor(F.xxhash64(F.lit(1), "r")).over(every),
+            "lead": F.min(F.struct("size", "r")).over(every),
+        }
+    ).filter("held > 1")
+    cells = park(cells)
+    one = cells.groupBy("held", "x", "y").agg(F.min("col").alias("col")).select("col")
+    shared = park(cells.join(one, "col").select("col", "r", "size", "lead"))
     discard(cells)
     parked.append(shared)
     profiles = park(survey.filter("kind = 0 AND block IS NOT NULL").select("r", "block", "n_shingles").dropDuplicates(["r"]).join(shared.select("r").distinct(), "r", "left_semi"))

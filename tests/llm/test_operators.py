@@ -298,6 +298,15 @@ def test_jaccard_rounds(spark, monkeypatch):
     assert got == brute_components(rows, 1, 80)
 
 
+def test_components_both_ways(spark, monkeypatch):
+    rng = random.Random(9)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1020)]
+    df = spark.createDataFrame(links, "a long, b long")
+    one = {tuple(r) for r in jaccard.components(df).collect()}
+    monkeypatch.setattr(jaccard, "EDGES", 0)
+    assert {tuple(r) for r in jaccard.components(df).collect()} == one and (1020, 1000) in one
+
+
 def test_one_each(docs, none):
     kept = jaccard.one_each(docs)
     assert kept.columns == docs.columns
