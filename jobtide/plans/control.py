@@ -42,10 +42,19 @@ def _(spark, sf):
 HASH = "list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(1, length(k) + 1), lambda i: ord(substr(k, i::INTEGER, 1))::HUGEINT)), lambda h, b: (h * 1099511628211 + b) % 18446744073709551616)"
 
 
+def _hashes(customers):
+    c = customers.select(F.col("c_custkey").cast("long").alias("id"), F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("k"))
+    return c.select("id", S.ordering_hash(F.col("k")).cast("string").alias("hash"), S.shard_of(F.col("k"), 8).alias("shard"))
+
+
 @query("d07_ordering_hash", f"SELECT c_custkey::BIGINT AS id, h::VARCHAR AS hash, (h % 8)::INTEGER AS shard FROM (SELECT c_custkey, {HASH} AS h FROM (SELECT c_custkey, 'customer-' || c_custkey AS k FROM customer WHERE c_custkey % 10 = 1))")
 def _(spark, sf):
-    c = X.table(spark, sf, "customer").filter("c_custkey % 10 = 1").select(F.col("c_custkey").cast("long").alias("id"), F.concat(F.lit("customer-"), F.col("c_custkey").cast("string")).alias("k"))
-    return c.select("id", S.ordering_hash(F.col("k")).cast("string").alias("hash"), S.shard_of(F.col("k"), 8).alias("shard"))
+    return _hashes(X.table(spark, sf, "customer").filter("c_custkey % 10 = 1"))
+
+
+@query("d07_ordering_hash_all", f"SELECT c_custkey::BIGINT AS id, h::VARCHAR AS hash, (h % 8)::INTEGER AS shard FROM (SELECT c_custkey, {HASH} AS h FROM (SELECT c_custkey, 'customer-' || c_custkey AS k FROM customer))")
+def _(spark, sf):
+    return _hashes(X.table(spark, sf, "customer"))
 
 
 @query("d10_lane_names", X.jobs_sql("SELECT DISTINCT queue, priority, 'lane_' || substr(md5(queue || ':' || priority || ':' || (id % 3)), 1, 16) AS name FROM jobs"))

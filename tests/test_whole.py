@@ -11,3 +11,9 @@ def test_every_job_has_its_unique_key(spark, sf_dir):
     want = {r["id"]: blake.unique_key(r["kind"], r["queue"], f'{{"n": {r["id"]}}}', r["id"] // 1000) for r in X.jobs(spark, sf_dir).select("id", "kind", "queue").collect()}
     got = catalog.QUERIES["d04_unique_keys"](spark, sf_dir).collect()
     assert len(got) == len(want) and {r["id"]: r["unique_key"] for r in got} == want
+
+
+def test_every_customer_has_its_ordering_hash(spark, sf_dir):
+    want = {r[0]: blake.ordering_hash(f"customer-{r[0]}".encode()) for r in X.table(spark, sf_dir, "customer").select("c_custkey").collect()}
+    got = catalog.QUERIES["d07_ordering_hash_all"](spark, sf_dir).collect()
+    assert len(got) == len(want) and {r["id"]: int(r["hash"]) for r in got} == want and all(r["shard"] == want[r["id"]] % 8 for r in got)
