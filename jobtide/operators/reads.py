@@ -192,6 +192,13 @@ def summary(jobs: DataFrame) -> DataFrame:
     )
 
 
+def dump_job(jobs: DataFrame) -> DataFrame:
+    """The whole inspection of each job: its row's main columns, its summary, and its events in the timeline's order."""
+    events = timeline(jobs).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", "ts", "event", "detail"))).alias("timeline"))
+    first = jobs.select("id", "kind", "queue", "state", S.original_priority(F.col("metadata"), F.col("priority")).alias("original_priority"))
+    return first.join(summary(jobs), "id").join(events, "id")
+
+
 def dump_run(jobs: DataFrame, attempt: int) -> DataFrame:
     """An attempt of each job that had it: the current one from the row, an earlier one from its first error entry."""
     past = F.try_element_at(F.filter("errors", lambda e: e["attempt"] == attempt), F.lit(1))

@@ -224,6 +224,23 @@ def _(spark, sf):
     return j.select("id", "kind", "queue", "state").join(R.summary(j).select("id", "error_count", "can_cancel"), "id")
 
 
+@query(
+    "b24_dump_job_whole",
+    X.jobs_sql(
+        """SELECT j.id, kind, queue, state, coalesce(first_priority, priority) AS original_priority, state IN ('failed', 'cancelled', 'waiting_external') AS can_retry,
+        state NOT IN ('completed', 'failed', 'cancelled') AS can_cancel, n_errors::BIGINT AS error_count, CASE WHEN n_errors > 0 THEN 'boom ' || (j.id % 9) END AS latest_error, timeline
+        FROM jobs j JOIN (SELECT id, string_agg(event || ' ' || ts::VARCHAR || coalesce(' ' || detail, ''), '; ' ORDER BY ts, n) AS timeline FROM (
+        SELECT id, 0 AS n, 'created' AS event, created_at AS ts, NULL AS detail FROM jobs UNION ALL SELECT id, 1, 'due', run_at, NULL FROM jobs
+        UNION ALL SELECT id, 2, 'attempted', attempted_at, NULL FROM jobs UNION ALL SELECT id, 2 + place, 'error', err_at, error FROM errs
+        UNION ALL SELECT id, 1000, 'finalized', finalized_at, state FROM jobs) WHERE ts IS NOT NULL GROUP BY id) t ON t.id = j.id""",
+        ERRORS,
+    ),
+)
+def _(spark, sf):
+    text = F.array_join(F.transform("timeline", lambda e: F.concat_ws(" ", e["event"], e["ts"].cast("string"), e["detail"])), "; ")
+    return R.dump_job(X.jobs(spark, sf)).withColumn("timeline", text)
+
+
 @query("b28_runtime_overrides", f"WITH {X.META} SELECT queue, completed_retention_s, failed_retention_s FROM queue_meta WHERE queue = 'furniture'")
 def _(spark, sf):
     return X.queue_meta(spark).filter("queue = 'furniture'").select("queue", "completed_retention_s", "failed_retention_s")

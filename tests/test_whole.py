@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from jobtide import catalog
 from jobtide.functions import blake
+from jobtide.operators import reads as R
 from jobtide.sources import fixtures as X
 
 
@@ -17,3 +18,15 @@ def test_every_customer_has_its_ordering_hash(spark, sf_dir):
     want = {r[0]: blake.ordering_hash(f"customer-{r[0]}".encode()) for r in X.table(spark, sf_dir, "customer").select("c_custkey").collect()}
     got = catalog.QUERIES["d07_ordering_hash_all"](spark, sf_dir).collect()
     assert len(got) == len(want) and {r["id"]: int(r["hash"]) for r in got} == want and all(r["shard"] == want[r["id"]] % 8 for r in got)
+
+
+def test_every_job_is_dumped_with_its_events(spark, sf_dir):
+    want = {}
+    for j in X.jobs(spark, sf_dir).collect():
+        events = [("created", j["created_at"], None), ("due", j["run_at"], None), ("attempted", j["attempted_at"], None)]
+        events += [("error", e["at"], e["error"]) for e in j["errors"]] + [("finalized", j["finalized_at"], j["state"])]
+        want[j["id"]] = sorted((e for e in events if e[1] is not None), key=lambda e: e[1]), len(j["errors"]), j["errors"][-1]["error"] if j["errors"] else None
+    got = R.dump_job(X.jobs(spark, sf_dir)).collect()
+    assert len(got) == len(want)
+    assert {r["id"]: ([(e["event"], e["ts"], e["detail"]) for e in r["timeline"]], r["error_count"], r["latest_error"]) for r in got} == want
+    assert {r["id"] for r in catalog.QUERIES["b24_dump_job_whole"](spark, sf_dir).collect()} == set(want)
