@@ -121,6 +121,14 @@ def _(spark, sf):
     return O.counters(items)
 
 
+@query("t41_batch_cancel_all", X.jobs_sql("SELECT (SELECT count(*) FROM m) AS total, 0::BIGINT AS pending, (SELECT count(*) FROM m WHERE state NOT IN ('completed', 'failed', 'cancelled')) AS succeeded, (SELECT count(*) FROM m WHERE state IN ('completed', 'failed', 'cancelled')) AS skipped, 0::BIGINT AS missing, 7::BIGINT AS operation_id", "m AS (SELECT * FROM jobs WHERE kind = 'send_email' AND queue = 'building')"))
+def _(spark, sf):
+    j = X.jobs(spark, sf).select("id", "kind", "queue", "state", "attempt", "finalized_at", "heartbeat_at", "deadline_at", "callback_id", "callback_timeout_at", "priority", "metadata", "run_at")
+    # all jobs that match when the scan begins; chunks of 100 would be hundreds of rounds on larger tables
+    items = O.run(j, 7, "cancel", X.as_of(), lambda df: df.checkpoint(), chunk=10_000, kind="send_email", queue="building")[1]
+    return O.counters(items)
+
+
 @query("t42_batch_items", X.jobs_sql("SELECT 1::BIGINT AS operation_id, id AS job_id, 'pending' AS status FROM jobs WHERE state = 'failed' AND queue = 'machinery'"))
 def _(spark, sf):
     empty = spark.createDataFrame([], "operation_id long, job_id long, status string")

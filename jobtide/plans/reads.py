@@ -266,6 +266,11 @@ def _(spark, sf):
     return X.jobs(spark, sf).filter(R.job_filter(states=["available", "retryable"], tag="seg-1", max_id=20_000)).select("id", "state")
 
 
+@query("b32_batch_page_rebuilt_all", X.jobs_sql("SELECT id, state FROM jobs WHERE state IN ('available', 'retryable') AND list_contains(tags, 'seg-1')"))
+def _(spark, sf):
+    return X.jobs(spark, sf).filter(R.job_filter(states=["available", "retryable"], tag="seg-1")).select("id", "state")
+
+
 @query("b33_filter_predicate", X.jobs_sql("SELECT id, state = 'failed' AND list_contains(tags, 'seg-2') AND finalized_at < TIMESTAMP '2024-01-04 00:00:00' AND id > 100 AS matches FROM jobs WHERE state IN ('failed', 'cancelled')"))
 def _(spark, sf):
     return X.jobs(spark, sf).filter("state IN ('failed', 'cancelled')").select("id", R.job_filter(states="failed", tag="seg-2", finalized_before=F.lit("2024-01-04 00:00:00").cast("timestamp_ntz"), after_id=100).alias("matches"))

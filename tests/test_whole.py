@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from jobtide import catalog
 from jobtide.functions import blake
 from jobtide.operators import reads as R
@@ -30,3 +32,22 @@ def test_every_job_is_dumped_with_its_events(spark, sf_dir):
     assert len(got) == len(want)
     assert {r["id"]: ([(e["event"], e["ts"], e["detail"]) for e in r["timeline"]], r["error_count"], r["latest_error"]) for r in got} == want
     assert {r["id"] for r in catalog.QUERIES["b24_dump_job_whole"](spark, sf_dir).collect()} == set(want)
+
+
+def _moved(spark, sf_dir, to):
+    """The smallest tables with all order keys raised, so that every id is over the ceilings of the older queries."""
+    for name in ("orders", "customer"):
+        df = X.table(spark, sf_dir, name)
+        (df.withColumn("o_orderkey", F.col("o_orderkey") + 32_000) if name == "orders" else df).write.parquet(f"{to}/{name}.parquet")
+    return str(to)
+
+
+def test_batches_reach_the_largest_ids(spark, sf_dir, tmp_path):
+    far = _moved(spark, sf_dir, tmp_path)
+    jobs = X.jobs(spark, far).collect()
+    match = [j for j in jobs if j["kind"] == "send_email" and j["queue"] == "building"]
+    done = sum(j["state"] in ("completed", "failed", "cancelled") for j in match)
+    got = [r.asDict() for r in catalog.QUERIES["t41_batch_cancel_all"](spark, far).collect()]
+    assert match and got == [{"operation_id": 7, "total": len(match), "pending": 0, "succeeded": len(match) - done, "skipped": done, "missing": 0}]
+    want = {j["id"] for j in jobs if j["state"] in ("available", "retryable") and "seg-1" in j["tags"]}
+    assert want and {r["id"] for r in catalog.QUERIES["b32_batch_page_rebuilt_all"](spark, far).collect()} == want
