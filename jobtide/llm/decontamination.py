@@ -1,8 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts are lowered and runs of white space become one space. A benchmark item is cut into overlapping windows of WINDOW letters (a
-shorter item is one window). A place in a document matches a window of m letters if its edit distance is k = floor(EDITS * m) at
-most; then it shares at least m + 1 - (k + 1) Q q-grams with the window, all within k diagonals of each other. So shared q-grams are
+Texts are lowered and runs of white space become one space. A benchmark item is cut into windows of QUOTE letters, one every STRIDE
+letters, so that each verbatim quote of QUOTE + STRIDE - 1 letters or more holds one; an item of WINDOW letters at most is a window
+as a whole besides. A place in a document matches a window of m letters if its edit distance is k = floor(EDITS * m) at most; then it
+shares at least m + 1 - (k + 1) Q q-grams with the window, all within k diagonals of each other. So shared q-grams are
 counted in bands of 2 k + 2 diagonals (more precisely of a power of two that is as large), each of which overlaps the next by half;
 regions below the bound go, the others are verified by a banded alignment, free at both ends in the document.
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .base import MAX_SMALL, broadcast_if_small, park, ship
 
-Q, WINDOW, STRIDE, EDITS, SLICE = 8, 120, 60, 0.08, 8 << 20
+Q, WINDOW, QUOTE, STRIDE, EDITS, SLICE = 8, 120, 60, 15, 0.08, 4 << 20
 #: Bits of the filter of q-gram hashes, and letters of documents that are scanned at once.
 FILTER, AT_ONCE = 22, 1 << 20
 _BASE, _SPREAD = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15)
@@ -83,13 +84,15 @@ def distance(window: np.ndarray, place: np.ndarray, k: int) -> tuple[int, int]:
 class Index:
     """The windows of some items."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, stride: int = STRIDE, edits: float = EDITS):
+    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, quote: int = QUOTE, stride: int = STRIDE, edits: float = EDITS):
         self.windows, hashes, owners, places = [], [], [], []
         for item, text in items:
             x = letters(fold(text))
-            starts = range(0, 1) if len(x) <= window else sorted({*range(0, len(x) - window, stride), len(x) - window})
-            for s in starts:
-                part = x[s : s + window]
+            parts = [(0, len(x))] if len(x) <= window else []
+            if len(x) > quote:  # the second last start, too: of any window of two quotes' length, one half has half the edits at most
+                parts += [(s, s + quote) for s in sorted({*range(0, len(x) - quote, stride), max(0, len(x) - 2 * quote), len(x) - quote})]
+            for s, e in parts:
+                part = x[s:e]
                 k = allowed(len(part), edits)
                 while k and needed(len(part), k, q) < 1:
                     k -= 1  # the lemma must still ask for one
@@ -108,8 +111,9 @@ class Index:
         self.filter[(self.hash >> np.uint64(64 - FILTER)).astype(np.int64)] = True
         self.need = np.array([w[4] for w in self.windows], np.int64)
         self.slack = np.array([w[3] for w in self.windows], np.int64)
-        self.least = int(self.need.min()) if self.windows else 0
-        self.reach = window + int(self.slack.max()) if self.windows else 0
+        long = np.array([len(w[2]) > quote for w in self.windows], bool)
+        #: Of the windows of a quote's length at most, and of the longer ones: the least number of known q-grams, and the letters that hold them.
+        self.least = [(int(self.need[x].min()), (window if x is long else quote) + int(self.slack[x].max())) for x in (~long, long) if x.any()]
         #: Half a band as a power of two of at least k + 1 diagonals, so that two neighbouring halves hold any k + 1 of them.
         self.shift = np.array([int(k).bit_length() for k in self.slack], np.int64)
 
@@ -117,17 +121,18 @@ class Index:
         """(window, start, end, distance) of the matching places in x, one a window and region."""
         h = grams(x)
         seen = self.filter[(h >> np.uint64(64 - FILTER)).astype(np.int64)]
-        if not self.windows or seen.sum() < self.least:
+        if not self.windows or seen.sum() < min(self.least)[0]:
             return []
         # only stretches of a place's length that have the least number of known q-grams
         upto = np.concatenate(([0], np.cumsum(seen)))
-        stretch = min(self.reach, len(seen))
-        dense = np.flatnonzero(upto[stretch:] - upto[:-stretch] >= self.least)
-        if not len(dense):
-            return []
         change = np.zeros(len(seen) + 1, np.int32)
-        np.add.at(change, dense, 1)
-        np.add.at(change, dense + stretch, -1)
+        for least, reach in self.least:
+            stretch = min(reach, len(seen))
+            dense = np.flatnonzero(upto[stretch:] - upto[:-stretch] >= least)
+            change[dense] += 1  # each once
+            change[dense + stretch] -= 1
+        if not change.any():
+            return []
         at = np.flatnonzero(seen & (np.cumsum(change[:-1]) > 0))
         h = h[at]
         low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
@@ -140,9 +145,9 @@ class Index:
         half = (spot - place + 4096) >> self.shift[owner]
         # a hit counts in the two bands that its half belongs to
         keys = np.concatenate((owner << 40 | half, owner << 40 | (half - 1)))
-        spots = np.concatenate((spot, spot))
+        firsts = np.concatenate((spot - place, spot - place))
         order = np.argsort(keys, kind="stable")
-        keys, spots = keys[order], spots[order]
+        keys, firsts = keys[order], firsts[order]
         edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         count = np.diff(np.append(edge, len(keys)))
         out = []
@@ -151,6 +156,10 @@ class Index:
             if c < self.need[w]:
                 continue
             _, _, part, k, _ = self.windows[w]
+            s = int(firsts[e])
+            if s >= 0 and np.array_equal(x[s : s + len(part)], part):  # verbatim
+                out.append((w, s, s + len(part), 0))
+                continue
             band = int(keys[e] & ((1 << 40) - 1))
             begin = max(0, (band << int(self.shift[w])) - 4096 - k)
             end = min(len(x), ((band + 2) << int(self.shift[w])) - 4096 + len(part) + k)

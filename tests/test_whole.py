@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from jobtide import catalog
 from jobtide.functions import blake
+from jobtide.llm import decontamination
 from jobtide.operators import reads as R
 from jobtide.sources import fixtures as X
 
@@ -51,3 +54,17 @@ def test_batches_reach_the_largest_ids(spark, sf_dir, tmp_path):
     assert match and got == [{"operation_id": 7, "total": len(match), "pending": 0, "succeeded": len(match) - done, "skipped": done, "missing": 0}]
     want = {j["id"] for j in jobs if j["state"] in ("available", "retryable") and "seg-1" in j["tags"]}
     assert want and {r["id"] for r in catalog.QUERIES["b32_batch_page_rebuilt_all"](spark, far).collect()} == want
+
+
+def test_every_quote_of_a_long_item_is_found():
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9)))
+    filler = " ".join(word() for _ in range(40))
+    for size in (110, 125, 394):
+        item = " ".join(word() for _ in range(size))[:size].strip() + "."
+        index = decontamination.Index([(1, item)])
+        least = decontamination.QUOTE + decontamination.STRIDE - 1
+        for n in (least, 100, 140):
+            for s in range(len(item) - n + 1):
+                assert index.search(decontamination.letters(decontamination.fold(f"{filler} {item[s : s + n]} {filler}"))), (size, n, s)
+        assert not index.search(decontamination.letters(filler))
