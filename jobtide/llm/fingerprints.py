@@ -3,7 +3,8 @@
 The symbols are words; a k-mer is K words in a row (a text with fewer has one k-mer, all its words). A k-mer's occurrences in a text
 are numbered, each numbered occurrence has a hash, and the hash's top bits choose one of BINS bins: one permutation, cut in
 BINS parts, instead of as many permutations. Of each bin the two smallest are taken in the order in which they stand in the text,
-and the hash of that tuple is the bin's part of the fingerprint. A changed passage changes the bins whose smallest
+and the hash of that tuple is the bin's part of the fingerprint; a bin with one takes the smallest of the next filled bin as its second,
+the last filled bin that of the first, so that short texts carry order, too. A changed passage changes the bins whose smallest
 occurrences it holds, a moved one those whose order it turns round. Likeness is the share of equal bins among those that
 either text fills; it falls with the edit distance.
 
@@ -49,8 +50,8 @@ def fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     bits = BINS.bit_length() - 1
     starts = f"filter(transform(_r, (x, i) -> CASE WHEN i = 0 OR shiftrightunsigned(_r[i - 1], {64 - bits}) <> shiftrightunsigned(x, {64 - bits}) THEN i ELSE -1 END), i -> i >= 0)"
     value = lambda x: f"shiftrightunsigned({x}, {PLACE_BITS})"
-    after = "_r[i + 1]"
-    part = f"""CASE WHEN i + 1 >= size(_r) OR shiftrightunsigned({after}, {64 - bits}) <> shiftrightunsigned(_r[i], {64 - bits}) THEN xxhash64({value("_r[i]")})
+    after = "_r[(i + 1) % size(_r)]"  # of a bin with one occurrence, the smallest of the next filled bin
+    part = f"""CASE WHEN size(_r) = 1 THEN xxhash64({value("_r[i]")})
         WHEN ({after} & {place}) > (_r[i] & {place}) THEN xxhash64({value("_r[i]")}, {value(after)}) ELSE xxhash64({value(after)}, {value("_r[i]")}) END"""
     found = f"map_from_entries(transform({starts}, i -> struct(cast(shiftrightunsigned(_r[i], {64 - bits}) AS int), cast(shiftright({part}, 32) AS int) | 1)))"
     df = _hold(df, "_m", F.expr(found))
