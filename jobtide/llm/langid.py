@@ -8,7 +8,8 @@ The posterior of a page's language is proportional to
 The tables of the last three are grouped sums of the posteriors that the texts alone give, over all pages; a page's own share
 is taken out of its host's and domain's. Sums are pre-aggregated by Spark, so a hot host costs no more than others.
 
-The trigram model is fitted on FIT_ROWS labelled documents at most, chosen by a hash of doc_id (a documented bound).
+The trigram model is fitted on about FIT_ROWS labelled documents, chosen by a hash of doc_id (a documented bound), and on about LEAST of
+each language at least, or all it has. Every labelled language is kept.
 
 Defined results: a page without text, declaration and known host gets the prior's language; a null url or markup is no evidence; ties
 go to the first language by name; without labelled documents every language is null; repeated rows are judged each; an empty
@@ -29,7 +30,7 @@ from .base import MAX_SMALL, broadcast_if_small, discard, park, ship
 from .decontamination import letters
 from .html import render
 
-FIT_ROWS, LANGUAGES, BUCKETS, EFFECTIVE, SMOOTH, PULL = 8_000, 64, 1 << 16, 40.0, 0.5, 5.0
+FIT_ROWS, LEAST, BUCKETS, EFFECTIVE, SMOOTH, PULL = 8_000, 50, 1 << 16, 40.0, 0.5, 5.0
 
 _HTML_LANG = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
 _META_LANG = re.compile(r"<meta\b[^>]*http-equiv\s*=\s*[\"']?content-language[\"']?[^>]*content\s*=\s*[\"']?\s*([A-Za-z]{2,3})", re.I)
@@ -68,12 +69,13 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model | None:
     spark = docs.sparkSession
     ship(spark)
     known = docs.filter(docs["lang"].isNotNull() & docs["text"].isNotNull()).select(docs["doc_id"].cast("long").alias("id"), docs["lang"].cast("string").alias("lang"), docs["text"])
-    shares = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()  # the LANGUAGES commonest
+    shares = known.groupBy("lang").count().collect()  # a row a language
     if not shares:
         return None
     languages = sorted(r["lang"] for r in shares)
     total = sum(r["count"] for r in shares)
-    part = known.filter(F.col("lang").isin(languages) & (F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(1_000_000)) < max(1, int(min(1.0, rows / total) * 1_000_000))))
+    upto = spark.createDataFrame([(r["lang"], max(1, int(min(1.0, max(rows / total, LEAST / r["count"])) * 1_000_000))) for r in shares], "lang string, upto long")
+    part = known.join(F.broadcast(upto), "lang").filter(F.pmod(F.xxhash64(F.lit(13), "id"), F.lit(1_000_000)) < F.col("upto"))
 
     def sums(batches):
         at = {x: i for i, x in enumerate(languages)}
@@ -85,7 +87,7 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model | None:
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(counts[lang, bucket])], ["lang", "bucket", "n"])
 
     counts = np.zeros((len(languages), BUCKETS))
-    for r in part.select("lang", "text").mapInArrow(sums, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # LANGUAGES * BUCKETS rows at most
+    for r in part.select("lang", "text").mapInArrow(sums, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # BUCKETS rows a language at most
         counts[r["lang"], r["bucket"]] = r["n"]
     share = {r["lang"]: r["count"] for r in shares}
     return Model(languages, counts, np.array([share[x] for x in languages], float))
@@ -115,7 +117,7 @@ def identify(pages: DataFrame, model: Model | None) -> DataFrame:
         null = F.lit(None).cast("string")
         return pages.select(pages["page_id"].cast("long").alias("page_id"), null.alias("lang"), F.lit(0.0).alias("confidence"), null.alias("text_lang"), null.alias("declared"), null.alias("host"))
     names, L = model.languages, len(model.languages)
-    shared = spark.sparkContext.broadcast(model)  # LANGUAGES * BUCKETS floats at most
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS floats a language
 
     def run(batches):
         m = shared.value

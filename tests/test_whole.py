@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from jobtide import catalog
 from jobtide.functions import blake
-from jobtide.llm import decontamination, fingerprints
+from jobtide.llm import decontamination, fingerprints, langid
 from jobtide.operators import reads as R
 from jobtide.sources import fixtures as X
 
@@ -79,3 +79,15 @@ def test_fingerprints_of_short_texts_carry_order(spark):
     f = {(r["i"], r["s"]): r["f"] for r in fingerprints.fingerprint(spark.createDataFrame(rows, "i long, s int, t string"), "t", "f").collect()}
     both = [[(x, y) for x, y in zip(f[i, 0], f[i, 1], strict=True) if x or y] for i in range(40)]
     assert sum(sum(x == y for x, y in b) / len(b) for b in both) / 40 < 0.45
+
+
+def test_every_labelled_language_is_kept(spark):
+    rng = random.Random(7)
+    words = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for i in range(70)}
+    text = lambda x: " ".join(rng.choice(words[x]) for _ in range(30))
+    rows = [(100 * i + j, x, text(x)) for i, x in enumerate(words) for j in range(2 if x == "l69" else 4)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), rows=20)
+    assert model.languages == sorted(words)
+    assert all(model.languages[int(model.likelihood(text(x)).argmax())] == x for x in words)
+    pages = spark.createDataFrame([(i, f"http://h{i}.example/", f"<p>{text(x)}") for i, x in enumerate(words)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["lang"] for r in langid.identify(pages, model).collect()} == dict(enumerate(words))
