@@ -472,8 +472,20 @@ def op7(docs: DataFrame) -> DataFrame:
 def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component, that of the smallest doc_id; the columns stay as they are. Documents without words
     and those with a null doc_id stay; of rows equal in doc_id and text, one stays."""
-    found = join(docs, n, percent)
-    gone = park(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    rows = docs if again.isEmpty() else docs.dropDuplicates(["doc_id", "text"])
-    return rows.join(broadcast_if_small(gone, MAX_SMALL), F.col("doc_id").cast("long") == F.col("gone"), "left_anti").select(*docs.columns)
+    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
+    if not again.isEmpty():
+        return _one_row_each(docs, n, percent)
+    gone = park(join(docs, n, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    return docs.join(broadcast_if_small(gone, MAX_SMALL), F.col("doc_id").cast("long") == F.col("gone"), "left_anti").select(*docs.columns)
+
+
+def _one_row_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """one_each for repeated doc_ids: a row goes by the 64-bit hash of doc_id and text; of a component, the first by doc_id, then hash, stays."""
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text"))
+    rows = park(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL")).withColumn("_row", row))
+    named = rows.withColumn("_id", F.col("doc_id").cast("long")).withColumn("doc_id", F.col("_row"))
+    found = join(named.select("doc_id", "text"), n, percent).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_row"), "component_id")
+    of = park(found.join(named.select("_row", "_id"), "_row"))
+    first = of.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"))
+    gone = park(of.join(first, "component_id").filter("_row <> _first").select(F.col("_row").alias("gone")))
+    return rows.join(broadcast_if_small(gone, MAX_SMALL), F.col("_row") == F.col("gone"), "left_anti").select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from jobtide import catalog
 from jobtide.functions import blake
-from jobtide.llm import decontamination, fingerprints, langid
+from jobtide.llm import decontamination, fingerprints, jaccard, langid
 from jobtide.operators import reads as R
 from jobtide.sources import fixtures as X
 
@@ -91,3 +91,10 @@ def test_every_labelled_language_is_kept(spark):
     assert all(model.languages[int(model.likelihood(text(x)).argmax())] == x for x in words)
     pages = spark.createDataFrame([(i, f"http://h{i}.example/", f"<p>{text(x)}") for i, x in enumerate(words)], "page_id long, url string, html string")
     assert {r["page_id"]: r["lang"] for r in langid.identify(pages, model).collect()} == dict(enumerate(words))
+
+
+def test_repeated_ids_go_row_by_row(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c + " end"), (3, c), (None, a)]
+    kept = jaccard.one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"][0]) for r in kept) == [(0, "a"), (1, "a"), (2, "b"), (3, "c")]
