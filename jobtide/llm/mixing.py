@@ -7,8 +7,12 @@ stays open and meets the next. Chunks of about FAN documents are folded on their
 next level of a reduction tree, until one a source is left, which is rounded at random. The sum of the masses never changes
 before that, so what a source gives is off its target by one document at most.
 
-All of it is DataFrame operations. Defined results: null or empty texts have size 0 and taken 0; a null source is a source,
-the last; repeated rows are documents of their own; an empty table gives an empty table.
+All of it is DataFrame operations. Rows equal in doc_id, text and source are counted first: n of them with the fraction f are n f copies, of
+which the whole part is taken and the rest is one unit, so that no fold ever gathers them; they share their copies as evenly as can be.
+
+Defined results: null or empty texts have size 0 and taken 0; a null source is a source, the last; repeated rows are documents of their
+own; sizes that tie go by hash; a text of any length is one unit, and may be off its source's target by its size; an empty table gives an
+empty table; extra columns are not looked at, and stay in mixed, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ def targets(sources: DataFrame, share: float, cap: float) -> DataFrame:
 
 
 #: small comes first, so that chunks fold from large to small documents and the one left open is a small one.
-_UNIT = ("small", "h", "doc_id", "key", "size", "mass")
+_UNIT = ("small", "h", "doc_id", "key", "size", "many", "mass")
 
 
 def _fold(seed: int, level: int) -> Column:
@@ -57,7 +61,7 @@ def _fold(seed: int, level: int) -> Column:
         return "named_struct(" + ", ".join(f"'{f}', {mass if f == 'mass' else f'{x}.{f}'}" for f in _UNIT) + ")"
 
     def settled(x: str, up: str) -> str:
-        return f"named_struct('doc_id', {x}.doc_id, 'key', {x}.key, 'size', {x}.size, 'up', {up})"
+        return f"named_struct('doc_id', {x}.doc_id, 'key', {x}.key, 'size', {x}.size, 'many', {x}.many, 'up', {up})"
 
     def case(x: str, up: str, y: str, mass: str) -> str:
         return f"named_struct('o', {unit(y, mass)}, 'out', concat(a.out, array({settled(x, up)})))"
@@ -67,7 +71,7 @@ def _fold(seed: int, level: int) -> Column:
     step = f"""CASE WHEN {draw} * ({gain} + {loss}) < {loss}
         THEN CASE WHEN a.o.size - a.o.mass <= x.mass THEN {case("a.o", "true", "x", "x.mass - (a.o.size - a.o.mass)")} ELSE {case("x", "false", "a.o", "a.o.mass + x.mass")} END
         ELSE CASE WHEN a.o.mass <= x.size - x.mass THEN {case("a.o", "false", "x", "x.mass + a.o.mass")} ELSE {case("x", "true", "a.o", "a.o.mass - (x.size - x.mass)")} END END"""
-    none = "cast(array() AS array<struct<doc_id: bigint, key: bigint, size: bigint, up: boolean>>)"
+    none = "cast(array() AS array<struct<doc_id: bigint, key: bigint, size: bigint, many: bigint, up: boolean>>)"
     return F.expr(f"aggregate(slice(us, 2, size(us)), named_struct('o', us[0], 'out', {none}), (a, x) -> {step})")
 
 
@@ -82,18 +86,19 @@ def copies(docs: DataFrame, seed: int = 20240101, share: float = 1.5, cap: float
         "source",
         word_count(F.col("text")).alias("size"),
     )
-    units = park(units)
-    sources = park(targets(weigh(units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))), share, cap).withColumn("sid", F.xxhash64("source", F.col("source").isNull())))
+    units = park(units.groupBy("doc_id", "key", "source", "size").agg(F.count("*").alias("many")))
+    sources = park(targets(weigh(units.groupBy("source").agg(F.sum(F.col("size") * F.col("many")).alias("source_size"), F.count("*").alias("n"))), share, cap).withColumn("sid", F.xxhash64("source", F.col("source").isNull())))
     largest = sources.agg(F.max("n")).first()[0] or 0
     names = broadcast_if_small(sources.select("sid", "source", "source_size", "target", "n"), MAX_BROADCAST_SOURCES)
 
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     spread = units.withColumn("sid", F.xxhash64("source", F.col("source").isNull())).drop("source").join(names.select("sid", "n", rate.alias("rate")), "sid")
-    fraction = F.col("rate") - F.floor("rate")
+    extra = (F.col("rate") - F.floor("rate")) * F.col("many")  # copies beside the whole part of each
+    fraction = extra - F.floor(extra)
     fixed = (fraction <= 0) | (F.col("size") == 0)
-    whole = spread.filter(fixed).select("sid", "doc_id", "key", "size", F.lit(False).alias("up"))
+    whole = spread.filter(fixed).select("sid", "doc_id", "key", "size", "many", F.lit(False).alias("up"))
     open_units = spread.filter(~fixed).select(
-        "sid", "n", F.struct((-F.col("size")).alias("small"), F.xxhash64(F.lit(seed), "doc_id", "key").alias("h"), "doc_id", "key", "size", (fraction * F.col("size")).alias("mass")).alias("u")
+        "sid", "n", F.struct((-F.col("size")).alias("small"), F.xxhash64(F.lit(seed), "doc_id", "key").alias("h"), "doc_id", "key", "size", "many", (fraction * F.col("size")).alias("mass")).alias("u")
     )
     done, level, most, parked = [whole], 0, largest, []
     while True:
@@ -109,14 +114,13 @@ def copies(docs: DataFrame, seed: int = 20240101, share: float = 1.5, cap: float
         if most <= 1:
             break
     u = open_units.select("sid", "u.*")
-    done.append(u.select("sid", "doc_id", "key", "size", (unit_draw(seed) * F.col("size") < F.col("mass")).alias("up")))
+    done.append(u.select("sid", "doc_id", "key", "size", "many", (unit_draw(seed) * F.col("size") < F.col("mass")).alias("up")))
     every = done[0]
     for d in done[1:]:
         every = every.unionByName(d)
-    out = every.join(names, "sid").select(
-        "doc_id", "key", "source", "size", "source_size", "target",
-        (F.floor(rate) + F.col("up").cast("long")).cast("long").alias("copies"),
-    )
+    every = every.join(names.withColumn("rate", rate), "sid").withColumn("all", (F.floor("rate") * F.col("many") + F.floor(extra) + F.col("up").cast("long")).cast("long"))
+    share_of = F.floor(F.col("all") / F.col("many")) + (F.col("i") <= F.pmod(F.col("all"), F.col("many"))).cast("long")
+    out = every.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("many")))).select("doc_id", "key", "source", "size", "source_size", "target", share_of.cast("long").alias("copies"))
     out = park(out)
     discard(units, sources, *parked)
     return out
