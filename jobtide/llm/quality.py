@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, label: str = "
     known = known.filter(F.col("label").isin(0, 1) & ~F.coalesce(held_out(F.col("id")), F.lit(False)) & F.col("id").isNotNull()).groupBy("id").agg(F.max("label").alias("label"))
     n = known.count()
     keep = min(1.0, rows / max(n, 1))
-    part = known.filter(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1_000_000)) < int(keep * 1_000_000))  # so bounded, and broadcast below
+    part = known.filter(F.shiftrightunsigned(F.xxhash64(F.lit(11), "id"), 11) < int(keep * (1 << 53)))  # so bounded, and broadcast below
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"]).join(F.broadcast(part), "id").select("label", "text")
 
     def sums(batches):
