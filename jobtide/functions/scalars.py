@@ -144,3 +144,58 @@ def json_merge(a: Column, b: Column) -> Column:
     kind = "map<string,string>"
     x, y = F.from_json(a, kind), F.from_json(b, kind)
     return F.to_json(F.map_concat(F.map_filter(x, lambda k, v: ~F.array_contains(F.map_keys(y), k)), y))
+
+
+_MEMBERS = "map<string,variant>"
+
+
+def json_keys(text: Column) -> Column:
+    """Whether each member's name is there: the names of an object, in order; null for other values."""
+    return F.json_object_keys(text)
+
+
+def json_has(text: Column, key: Column | str) -> Column:
+    """Whether an object has a member of that name, or an array of texts that text."""
+    key = F.lit(key) if isinstance(key, str) else key
+    items = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
+    return F.coalesce(F.array_contains(json_keys(text), key), F.array_contains(items, key), F.lit(False))
+
+
+def json_member(text: Column, key: str) -> Column:
+    """A member's value as JSON; null if it isn't there or is null."""
+    return F.get_json_object(text, f"$.{key}")
+
+
+def json_put(text: Column, key: str, value: Column) -> Column:
+    """An object with one member set to a JSON value; the other members keep theirs."""
+    return json_concat(text, F.concat(F.lit("{" + f'"{key}":'), value, F.lit("}")))
+
+
+def json_concat(a: Column, b: Column) -> Column:
+    """Members of b over those of a, one level deep, values as they are; members by name."""
+    x, y = F.from_json(a, _MEMBERS), F.from_json(b, _MEMBERS)
+    kept = F.map_filter(x, lambda k, v: ~F.array_contains(F.map_keys(y), k))
+    return F.to_json(F.map_concat(kept, y))
+
+
+def json_without(text: Column, key: str) -> Column:
+    """An object without a member."""
+    return F.to_json(F.map_filter(F.from_json(text, _MEMBERS), lambda k, v: k != key))
+
+
+def json_each_text(text: Column) -> Column:
+    """The members of an object as an array of (key, value), values as texts."""
+    return F.map_entries(F.from_json(text, "map<string,string>"))
+
+
+def json_typeof(text: Column) -> Column:
+    """object, array, string, number, boolean or null by how the JSON value begins; null for what is none."""
+    first = F.substring(F.ltrim(text), 1, 1)
+    kind = F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").when(first.rlike("[-0-9]"), "number")
+    return F.when(F.try_parse_json(text).isNotNull(), kind)
+
+
+def json_tags(payload: Column) -> Column:
+    """The payload's tags; an empty array where they are no array."""
+    raw = F.get_json_object(payload, "$.tags")
+    return F.coalesce(F.when(F.ltrim(raw).startswith("["), F.from_json(raw, "array<string>")), F.array().cast("array<string>"))

@@ -33,8 +33,9 @@ def plus(ts: Column | str, seconds: Column | int) -> Column:
 
 
 def seconds_between(earlier: Column | str, later: Column | str) -> Column:
+    """Seconds with their fraction."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (earlier, later))
-    return F.timestamp_diff("SECOND", a, b).cast("double")
+    return F.timestamp_diff("MICROSECOND", a, b) / F.lit(1e6)
 
 
 def ordinal(state: Column | str) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def default_burst(rate: float, burst: float = 0) -> float:
     return burst if burst > 0 else max(1.0, math.ceil(rate))
@@ -15,8 +17,8 @@ def default_burst(rate: float, burst: float = 0) -> float:
 def token_bucket(arrivals: DataFrame, rate: float, burst: float = 0) -> DataFrame:
     """arrivals (queue, ts, wanted) with granted: whole tokens of a bucket a queue that refills with time up to its burst.
 
-    The state depends on every earlier grant of the queue, so a queue's arrivals are taken in order as a stream of batches, with two
-    numbers kept between them; nothing is gathered."""
+    The state depends on every earlier grant of the queue, so a queue's arrivals are by nature one stream, however hot the queue is: they are
+    taken in order as batches, with two numbers kept between them; nothing is gathered."""
     import pandas as pd
 
     top = default_burst(rate, burst)
@@ -69,9 +71,9 @@ def effective_settings(queues: DataFrame, overrides: DataFrame) -> DataFrame:
 
 def completion_shards(jobs: DataFrame, shards: int, size: int = 512) -> DataFrame:
     """The flush that each completion goes with: shard by id, then 512 at a time in arrival order."""
-    shard = F.pmod("id", F.lit(shards)).cast("int")
-    n = F.row_number().over(Window.partitionBy("shard").orderBy("finalized_at", "id")) - 1
-    return jobs.withColumn("shard", shard).withColumn("flush", F.floor(n / size).cast("long"))
+    sharded = jobs.withColumn("shard", F.pmod("id", F.lit(shards)).cast("int"))
+    ranked = numbered(sharded, ["shard"], F.floor(F.unix_micros(F.col("finalized_at").cast("timestamp")) / 600_000_000), ["finalized_at", "id"], "_n")  # pieces of ten minutes
+    return ranked.withColumn("flush", F.floor((F.col("_n") - 1) / size).cast("long")).drop("_n")
 
 
 def ring_cursor(ledger: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..model import LIVE, STATES, TERMINAL, seconds_between
+from .numbering import percentile_ranks
 
 HOUR = "INTERVAL 1 HOUR"
 
@@ -38,9 +39,9 @@ def job_filter(states=None, kind=None, queue=None, tag=None, before_id=None, aft
     return out
 
 
-def list_jobs(jobs: DataFrame, limit: int = 100, **filters) -> DataFrame:
-    """The newest jobs first; before_id of the last row asks for the next page."""
-    return jobs.filter(job_filter(**filters)).orderBy(F.desc("id")).limit(min(max(limit, 1), 1000))
+def list_jobs(jobs: DataFrame, limit: int = 100, clamp: bool = False, **filters) -> DataFrame:
+    """The newest jobs first; before_id of the last row asks for the next page. With clamp, as over the ledgers, 1 to 1,000 of them."""
+    return jobs.filter(job_filter(**filters)).orderBy(F.desc("id")).limit(min(max(limit, 1), 1000) if clamp else max(limit, 0))
 
 
 def get_job(jobs: DataFrame, job_id: int) -> DataFrame:
@@ -290,10 +291,9 @@ def merged_counts(live: DataFrame, pruned: DataFrame, keys: list[str]) -> DataFr
 
 
 def percentiles(df: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
-    """Three definitions: element floor(n p), element round((n - 1) p), and interpolation between neighbours. Ranks come from a window
-    by key, so no group is gathered in one row."""
-    w = Window.partitionBy(*keys)
-    ranked = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("v")).withColumn("i", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count("*").over(w))
+    """Three definitions: element floor(n p), element round((n - 1) p), and interpolation between neighbours. Only the rows of the histogram
+    cells that hold these ranks are ranked, so no group is sorted in one task."""
+    ranked = percentile_ranks(df, value, p, list(keys))
     pick = lambda place: F.max(F.when(F.col("i") == F.least(place, F.col("n") - 1), F.col("v")))
     spot = (F.col("n") - 1) * F.lit(p)
     low, high = pick(F.floor(spot)), pick(F.ceil(spot))

@@ -46,14 +46,16 @@ def due(as_of: Column) -> Column:
 def claim(jobs: DataFrame, meta: DataFrame, as_of: Column, per_queue: int, deadline_s: int = 300) -> DataFrame:
     """Available jobs that are due, of queues that aren't paused: per queue the first by priority, run_at and id start to run."""
     paused = meta.filter("paused").select(F.col("queue").alias("_paused"))
-    open_ = jobs.join(paused, F.col("queue") == F.col("_paused"), "left").withColumn("_can", due(as_of) & F.col("_paused").isNull()).drop("_paused")
-    place = F.row_number().over(Window.partitionBy("queue", "_can").orderBy("priority", "run_at", "id"))
-    ranked = open_.withColumn("_n", F.when(F.col("_can"), place))
+    # the first of a queue are cut off before the shuffle, so a hot queue's backlog is never sorted in one task
+    place = F.row_number().over(Window.partitionBy("queue").orderBy("priority", "run_at", "id"))
+    open_ = jobs.filter(due(as_of)).select("id", "queue", "priority", "run_at").join(paused, F.col("queue") == F.col("_paused"), "left_anti")
+    first = open_.withColumn("_n", place).filter(F.col("_n") <= per_queue).select(F.col("id").alias("_id"))
+    picked = mark(jobs, first)
     sets = {
         "state": F.lit("running"), "attempt": F.col("attempt") + 1, "run_lease": F.col("run_lease") + 1, "attempted_at": as_of, "heartbeat_at": as_of,
         "deadline_at": plus(as_of, deadline_s),
     }
-    return update(ranked, F.col("_n") <= per_queue, sets).drop("_can", "_n")
+    return update(picked, F.col("picked"), sets).drop("picked")
 
 
 def claim_lane(ready: DataFrame, heads: DataFrame, spent: DataFrame, as_of: Column, aging_s: int, batch: int) -> DataFrame:
@@ -164,10 +166,11 @@ def settle_conflicts(before: DataFrame, after: DataFrame, as_of: Column) -> Data
     held = before.join(after.filter("changed").select(F.col("id").alias("_c")), F.col("id") == F.col("_c"), "left_anti")
     held = claims(held).select(F.col("unique_key").alias("_k"), F.col("holder").alias("_holder"))
     wants = F.col("changed") & F.col("unique_key").isNotNull() & S.state_in_mask(F.col("unique_states"), F.col("state"))
-    joined = after.join(held, F.col("unique_key") == F.col("_k"), "left").withColumn("_wants", F.coalesce(wants, F.lit(False)))
-    place = F.row_number().over(Window.partitionBy("unique_key", "_wants").orderBy("id"))
-    joined = joined.withColumn("_loses", F.col("_wants") & (F.col("_holder").isNotNull() | (place > 1)))
-    return update(joined, F.col("_loses"), {"state": F.lit("cancelled"), "finalized_at": as_of}).drop("_k", "_holder", "_wants", "_loses")
+    # only rows that want a claim are ranked: jobs without a key, the most, never meet
+    want = after.filter(wants).select("id", "unique_key").join(held, F.col("unique_key") == F.col("_k"), "left")
+    oldest = want.groupBy("unique_key").agg(F.min("id").alias("_oldest"))
+    loses = want.join(oldest, "unique_key").filter(F.col("_holder").isNotNull() | (F.col("id") > F.col("_oldest"))).select(F.col("id").alias("_id"))
+    return update(mark(after, loses), F.col("picked"), {"state": F.lit("cancelled"), "finalized_at": as_of}).drop("picked")
 
 
 def retry(jobs: DataFrame, when: Column, as_of: Column) -> DataFrame:

@@ -43,7 +43,7 @@ def _(spark, sf):
 
 @query("b02_list_jobs_clamped", X.jobs_sql(f"SELECT {JOB} FROM jobs WHERE list_contains(tags, 'seg-3') ORDER BY id DESC LIMIT 1000"))
 def _(spark, sf):
-    return R.list_jobs(X.jobs(spark, sf), tag="seg-3", limit=5000).select("id", "kind", "queue", "state", "priority")
+    return R.list_jobs(X.jobs(spark, sf), tag="seg-3", limit=5000, clamp=True).select("id", "kind", "queue", "state", "priority")
 
 
 @query("b03_get_job", X.jobs_sql("SELECT id, state, attempt, created_at::VARCHAR AS created_at, run_at::VARCHAR AS run_at, finalized_at::VARCHAR AS finalized_at FROM jobs WHERE id = (SELECT min(id) FROM jobs WHERE state = 'failed')"))
@@ -218,14 +218,8 @@ def _(spark, sf):
     return R.dump_run(X.jobs(spark, sf), 1)
 
 
-@query("b24_dump_job", X.jobs_sql("SELECT id, kind, queue, state, n_errors::BIGINT AS error_count, state NOT IN ('completed', 'failed', 'cancelled') AS can_cancel FROM jobs WHERE id % 101 = 3"))
-def _(spark, sf):
-    j = X.jobs(spark, sf).filter("id % 101 = 3")
-    return j.select("id", "kind", "queue", "state").join(R.summary(j).select("id", "error_count", "can_cancel"), "id")
-
-
 @query(
-    "b24_dump_job_whole",
+    "b24_dump_job",
     X.jobs_sql(
         """SELECT j.id, kind, queue, state, coalesce(first_priority, priority) AS original_priority, state IN ('failed', 'cancelled', 'waiting_external') AS can_retry,
         state NOT IN ('completed', 'failed', 'cancelled') AS can_cancel, n_errors::BIGINT AS error_count, CASE WHEN n_errors > 0 THEN 'boom ' || (j.id % 9) END AS latest_error, timeline
@@ -261,12 +255,7 @@ def _(spark, sf):
     return X.jobs(spark, sf).filter(R.job_filter(states="failed", queue="machinery", after_id=5000, max_id=50_000)).orderBy("id").limit(100).select("id")
 
 
-@query("b32_batch_page_rebuilt", X.jobs_sql("SELECT id, state FROM jobs WHERE state IN ('available', 'retryable') AND list_contains(tags, 'seg-1') AND id <= 20000"))
-def _(spark, sf):
-    return X.jobs(spark, sf).filter(R.job_filter(states=["available", "retryable"], tag="seg-1", max_id=20_000)).select("id", "state")
-
-
-@query("b32_batch_page_rebuilt_all", X.jobs_sql("SELECT id, state FROM jobs WHERE state IN ('available', 'retryable') AND list_contains(tags, 'seg-1')"))
+@query("b32_batch_page_rebuilt", X.jobs_sql("SELECT id, state FROM jobs WHERE state IN ('available', 'retryable') AND list_contains(tags, 'seg-1')"))
 def _(spark, sf):
     return X.jobs(spark, sf).filter(R.job_filter(states=["available", "retryable"], tag="seg-1")).select("id", "state")
 

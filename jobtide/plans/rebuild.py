@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rebuild as B
+from ..operators.numbering import numbered
 from ..registry import query
 from ..sources import fixtures as X
+from ..sources.storage import cut
 from .common import plain
 
 #: Where the fixture's jobs lie, by state and id.
@@ -18,11 +20,20 @@ CASE = (
 )
 
 
-def ledgers(spark, sf) -> dict[str, DataFrame]:
-    j = X.lanes(spark, sf).withColumn("home", F.expr(CASE)).withColumnRenamed("id", "job_id")
+RICH = ["args", "attempt", "run_lease", "max_attempts", "attempted_at", "unique_key", "unique_states", "payload"]
+
+
+def ledgers(spark, sf, rich: bool = False) -> dict[str, DataFrame]:
+    """The ledgers of the fixture; rich ones keep what the view of all columns needs."""
+    j = X.lanes(spark, sf).withColumn("home", F.expr(CASE))
+    if rich:
+        j = j.withColumn("args", F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit("}")))
+        j = j.withColumn("payload", F.to_json(F.struct("tags", "errors", F.parse_json("metadata").alias("metadata"), F.when(F.col("id") % 4 == 0, F.struct((F.col("id") % 100).alias("percent"))).alias("progress"))))
+    extra_columns = RICH if rich else []
+    j = cut(j.withColumnRenamed("id", "job_id"))  # the lanes are computed once, not for each ledger
     j = j.withColumns({"ready_slot": F.col("slot"), "ready_generation": F.floor(F.col("lane_seq") / 64).cast("long"), "claim_slot": (F.col("job_id") % 8).cast("int"), "receipt_id": F.col("job_id") + 1_000_000, "closed_at": F.lit(None).cast("timestamp_ntz")})
     home = lambda *h: j.filter(F.col("home").isin(*h))
-    ready = j.filter(~F.col("home").isin("deferred", "dlq")).select("job_id", "kind", "created_at", "run_at", *B.PLACE)
+    ready = j.filter(~F.col("home").isin("deferred", "dlq")).select("job_id", "kind", "created_at", "run_at", *B.PLACE, *extra_columns)
     # The cursor stands past every entry that isn't available, so lanes are laid out anew: available entries come last.
     lane = j.groupBy(*B.LANE).agg(F.max("lane_seq").alias("top"))
     moved = ready.join(home("ready").select("job_id", F.lit(True).alias("av")), "job_id", "left").join(lane, B.LANE)
@@ -43,7 +54,7 @@ def ledgers(spark, sf) -> dict[str, DataFrame]:
         "closures": closed.filter("job_id % 2 = 1").select("claim_slot", "job_id", "run_lease"),
         "closing": B.multiranges(closed.filter("job_id % 4 = 0"), ["claim_slot"], "receipt_id", "receipt_ranges"),
         "done": home("done").withColumn("kind", F.when(F.col("job_id") % 3 == 0, F.col("kind"))).withColumn("run_at", F.when(F.col("job_id") % 5 == 0, F.col("run_at"))).withColumn("created_at", F.lit(None).cast("timestamp_ntz")),
-        "completions": B.pack(home("completions"), ["ready_slot", "ready_generation", *B.LANE, "finalized_at"], ["lane_seq"], ["job_id", "lane_seq"]),
+        "completions": B.pack(home("completions"), ["ready_slot", "ready_generation", *B.LANE, "finalized_at"], ["lane_seq"], ["job_id", "lane_seq", *(["run_lease", "attempt"] if rich else [])]),
         "done_tombstones": extra.select(*B.PLACE),
         "dlq": home("dlq"),
     }
@@ -202,12 +213,10 @@ def _(spark, sf):
     return B.contiguous_prefix(l.filter("state = 'completed'"), heads, B.LANE, "lane_seq", "cur")
 
 
-@query("w05_paced_slots", X.jobs_sql("SELECT id, ((row_number() OVER (ORDER BY id) - 1) // 25 + 1)::BIGINT AS slot FROM (SELECT id FROM jobs WHERE state = 'scheduled' ORDER BY id LIMIT 500)"))
+@query("w05_paced_slots", X.jobs_sql("SELECT id, ((row_number() OVER (ORDER BY id) - 1) // 25 + 1)::BIGINT AS slot FROM jobs WHERE state = 'scheduled'"))
 def _(spark, sf):
-    from pyspark.sql import Window
-
-    few = X.jobs(spark, sf).filter("state = 'scheduled'").orderBy("id").limit(500)
-    return few.select("id", (F.floor((F.row_number().over(Window.orderBy("id")) - 1) / 25) + 1).cast("long").alias("slot"))
+    rows = numbered(X.jobs(spark, sf).filter("state = 'scheduled'").select("id"), [], F.floor(F.col("id") / 65_536), ["id"])
+    return rows.select("id", (F.floor((F.col("place") - 1) / 25) + 1).cast("long").alias("slot"))
 
 
 @query("w06_total_beside_rows", X.jobs_sql("SELECT id, count(*) OVER () AS total FROM jobs WHERE state = 'cancelled'"))

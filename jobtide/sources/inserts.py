@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.numbering import numbered
 from ..model import DEFAULT_MAX_ATTEMPTS, DEFAULT_PRIORITY, DEFAULT_QUEUE, DEFERRED
 
-# Fixed value: what a null is written as, so that it differs from an empty text.
+# What a null is written as, so that it differs from an empty text.
 NULL_MARK = "__JOBTIDE_NULL__"
 CSV = {"nullValue": NULL_MARK, "quote": '"', "escape": '"', "header": "true", "multiLine": "true"}
 
@@ -30,10 +31,8 @@ def prepare(rows: DataFrame, as_of: Column) -> DataFrame:
 
 
 def with_ids(rows: DataFrame, last_id: int, order: str = "ord") -> DataFrame:
-    """Ids after last_id in the rows' given order. The order is the caller's batch, which is small by nature."""
-    from pyspark.sql import Window
-
-    return rows.withColumn("id", F.lit(last_id) + F.row_number().over(Window.orderBy(order)))
+    """Ids after last_id in the rows' given order, a whole number that may repeat; pieces of 65,536 of the order are numbered at a time."""
+    return numbered(rows, [], F.floor(F.col(order) / 65_536), [order], "id").withColumn("id", F.lit(last_id) + F.col("id"))
 
 
 def reserve_lanes(rows: DataFrame, heads: DataFrame, order: str = "ord") -> DataFrame:
@@ -53,6 +52,33 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).options(**CSV).csv(path)
 
 
+def copy_in(spark: SparkSession, path: str, schema: str, as_of: Column, last_id: int, jobs: DataFrame | None = None) -> DataFrame:
+    """Bulk rows from CSV, staged and then prepared as one batch with ids after last_id in their order (ord); with jobs, rows whose unique
+    claim is held, in the batch or by a job, are left out before ids are given."""
+    from ..operators.transitions import enforce_unique
+
+    rows = prepare(read_csv(spark, path, schema), as_of)
+    if jobs is not None:
+        rows = enforce_unique(rows, jobs)
+    return with_ids(rows, last_id)
+
+
+def enqueue_ready(rows: DataFrame, heads: DataFrame, slot: int, generation: int, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Prepared rows with ids that are due go straight into a slot of the ready ledger, each in its lane's next places; the others
+    are deferred: (entries, deferred rows)."""
+    due = F.col("run_at") <= as_of
+    entries = reserve_lanes(rows.filter(due), heads, "id").withColumns({"ready_slot": F.lit(slot), "ready_generation": F.lit(generation).cast("long")})
+    return entries.withColumnRenamed("id", "job_id"), rows.filter(~due).withColumnRenamed("id", "job_id")
+
+
+def insert_one(jobs: DataFrame, kind: str, args: str, as_of: Column, last_id: int, **options) -> DataFrame:
+    """jobs with one more row, with the defaults of a prepared one."""
+    types = {"queue": "string", "priority": "int", "max_attempts": "int"}
+    one = jobs.sparkSession.createDataFrame([(kind, args, *options.values())], ", ".join(["kind string", "args string", *[f"{k} {types[k]}" for k in options]]))
+    row = prepare(one, as_of).withColumn("id", F.lit(last_id + 1).cast("long"))
+    return jobs.unionByName(row.select(*[(F.col(c) if c in row.columns else F.lit(None)).cast(t).alias(c) for c, t in jobs.dtypes]))
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
