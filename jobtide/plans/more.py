@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import functions as F
 
 from ..functions import blake
@@ -15,14 +13,6 @@ from ..sources import fixtures as X
 from .common import plain
 
 
-@query("d05_canonical_json", """SELECT * FROM (VALUES ('{"b": 1, "a": {"d": [1, 2], "c": null}}', '{"a":{"c":null,"d":[1,2]},"b":1}'), ('[ 1, "é" ]', '[1,"é"]')) t(raw, canonical)""")
-def _(spark, sf):
-    import json
-
-    canonical = F.udf(lambda x: blake.canonical_json(json.loads(x)), "string")
-    return spark.createDataFrame([('{"b": 1, "a": {"d": [1, 2], "c": null}}',), ('[ 1, "é" ]',)], "raw string").withColumn("canonical", canonical("raw"))
-
-
 @query("d09_partition_names", "SELECT i, CASE WHEN i = 0 THEN 'mail' ELSE 'mail__p' || i END AS name FROM generate_series(0, 7) t(i)")
 def _(spark, sf):
     names = F.array(*[F.lit(blake.partition_name("mail", i)) for i in range(8)])
@@ -35,23 +25,12 @@ def _(spark, sf):
     return spark.range(51).select(F.col("id").alias("v"), called.alias("called"), S.sequence_next(F.col("id"), called).alias("next"))
 
 
-@query("d27_kind_names", "SELECT * FROM (VALUES ('SendEmail', 'send_email'), ('HTMLParser', 'html_parser'), ('Simple', 'simple'), ('JobV2Retry', 'job_v2_retry')) t(name, kind)")
-def _(spark, sf):
-    return spark.createDataFrame([("SendEmail",), ("HTMLParser",), ("Simple",), ("JobV2Retry",)], "name string").withColumn("kind", S.snake(F.col("name")))
-
-
 @query("d30_traceparents", "SELECT id, lpad(to_hex(id + 1), 32, '0') AS trace FROM generate_series(0, 99) t(id)")
 def _(spark, sf):
     trace, span = F.lower(F.lpad(F.hex(F.col("id") + 1), 32, "0")), F.lit("00000000000000ab")
     return spark.range(100).select("id", S.trace_id(S.traceparent(trace, span, F.col("id") % 2 == 0)).alias("trace")).withColumn("trace", F.upper("trace"))
 
 
-@query("d31_callback_urls", "SELECT * FROM (VALUES ('http://h', 'cb', 'http://h/cb'), ('http://h/', '/cb', 'http://h/cb'), ('http://h/x//', 'y/z', 'http://h/x/y/z')) t(base, path, url)")
-def _(spark, sf):
-    rows = spark.createDataFrame([("http://h", "cb"), ("http://h/", "/cb"), ("http://h/x//", "y/z")], "base string, path string")
-    return rows.withColumn("url", S.callback_url(F.col("base"), F.col("path")))
-
-
 @query("d39_progress", "SELECT p - 50 AS p, greatest(0, least(100, p - 50)) AS shown FROM generate_series(0, 200) t(p)")
 def _(spark, sf):
     return spark.range(201).select((F.col("id") - 50).alias("p"), S.progress(F.col("id") - 50).alias("shown"))
@@ -62,33 +41,6 @@ def _(spark, sf):
     return X.jobs(spark, sf).filter("state = 'failed'").select("id", S.pg_array(F.col("tags")).alias("literal"))
 
 
-@query("b18_config_agreement", "SELECT queue, count(DISTINCT max_workers) <= 1 AND count(DISTINCT dlq) <= 1 AS agrees FROM (VALUES ('a', 5, NULL), ('a', 5, true), ('b', 5, true), ('b', 5, false), ('c', 5, true), ('c', 6, NULL)) t(queue, max_workers, dlq) GROUP BY queue")
-def _(spark, sf):
-    rows = [("a", 5, None), ("a", 5, True), ("b", 5, True), ("b", 5, False), ("c", 5, True), ("c", 6, None)]
-    t = spark.createDataFrame(rows, "queue string, max_workers int, dlq boolean")
-    return t.groupBy("queue").agg(((F.count_distinct("max_workers") <= 1) & (F.count_distinct("dlq") <= 1)).alias("agrees"))
-
-
-def _cron(spark):
-    rows = [("b", "0 * * * *", datetime(2024, 1, 7, 11), False), ("a", "*/5 * * * *", None, True), ("c", "0 0 * * *", datetime(2024, 1, 7), False)]
-    return spark.createDataFrame(rows, "name string, cron_expr string, last_enqueued_at timestamp_ntz, paused boolean").withColumns({"kind": F.lit("tick"), "queue": F.lit("cron"), "priority": F.lit(2)})
-
-
-@query("b35_cron_jobs", "SELECT * FROM (VALUES ('a', '*/5 * * * *', true), ('b', '0 * * * *', false), ('c', '0 0 * * *', false)) t(name, cron_expr, paused) ORDER BY name")
-def _(spark, sf):
-    return _cron(spark).select("name", "cron_expr", "paused").orderBy("name")
-
-
-@query("t49_cron_enqueue", "SELECT * FROM (VALUES ('b', '2024-01-07 12:00:00')) t(name, fire_at)")
-def _(spark, sf):
-    from ..functions import cron
-
-    fires = spark.createDataFrame([(n, datetime(2024, 1, 7, 12)) for n in "abc"], "name string, fire_at timestamp_ntz")
-    # what each evaluator saw: c has moved on since, a is paused
-    seen = spark.createDataFrame([("a", None), ("b", datetime(2024, 1, 7, 11)), ("c", datetime(2024, 1, 6))], "name string, seen timestamp_ntz")
-    return plain(cron.enqueue_fires(_cron(spark), fires, seen)[1].select("name", "fire_at"))
-
-
 @query("t37_register_callback", X.jobs_sql("SELECT id, 'waiting_external' AS state, 'new-' || id AS callback_id, (:now + INTERVAL 60 SECOND)::VARCHAR AS callback_timeout_at FROM jobs WHERE state = 'running' AND id % 3 > 0"))
 def _(spark, sf):
     j = X.jobs(spark, sf)
@@ -123,13 +75,3 @@ def _(spark, sf):
     rows = X.jobs(spark, sf).select(F.lit("ready").alias("ring"), (F.col("id") % 4).alias("slot"), F.floor(F.col("id") % 64 / 4).alias("slot_generation"), "state")
     ledger = spark.range(13).select(F.lit("ready").alias("ring"), (F.col("id") % 4).alias("slot"), F.col("id").alias("generation"))
     return C.prunable(rows, ledger, F.col("state") == "running")
-
-
-@query("t54_routing_by_state", X.jobs_sql("SELECT CASE WHEN state IN ('scheduled', 'retryable') THEN 'deferred' ELSE 'hot' END AS tier, count(*) AS n FROM jobs GROUP BY ALL"))
-def _(spark, sf):
-    return X.jobs(spark, sf).groupBy(F.when(F.col("state").isin("scheduled", "retryable"), "deferred").otherwise("hot").alias("tier")).agg(F.count("*").alias("n"))
-
-
-@query("t23_aged_out_instances", f"WITH {X.INST} SELECT instance_id FROM instances WHERE last_seen_at >= TIMESTAMP '{X.AS_OF}' - INTERVAL 600 SECOND")
-def _(spark, sf):
-    return X.instances(spark).filter(F.col("last_seen_at") >= F.timestamp_add("SECOND", F.lit(-600), X.as_of())).select("instance_id")
