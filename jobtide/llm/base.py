@@ -8,7 +8,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -22,9 +22,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where none is set, a temporary one in local mode only (tests,
+    bench), in which driver and executors are one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="jobtide-checkpoints-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -77,19 +80,21 @@ def unit_interval(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") * F.lit(2.0**-53)
 
 
-def offsets(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """df with out, the sum of value over the rows before in the order of the long columns order, whose first may be any long and is cut
-    into blocks of 4,096: two short windows instead of one over all rows."""
-    from pyspark.sql import Window
-
-    df = df.withColumn("_block", F.floor(F.col(order[0]) / 4096))
-    inner = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+def offsets(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
+    """df (parked or files) with out, the sum of value over the rows before in the order of order, whose first column is a long (null first) and
+    is cut into 1,024 blocks: short windows instead of one over all rows."""
+    first = order[0]
+    low, high = df.agg(F.min(first), F.max(first)).first()
+    wide = ((high or 0) - (low or 0)) // 1024 + 1
+    df = df.withColumn("_block", F.coalesce(F.expr(f"(cast({first} AS decimal(20,0)) - {low or 0}) div {wide}"), F.lit(-1)).cast("long"))
+    by = [F.col(c).asc_nulls_first() for c in order]
+    inner = Window.partitionBy("_block").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     blocks = df.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    outer = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # 1,025 rows
     blocks = blocks.select("_block", F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_before"))
     return (
         df.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-        .join(blocks, "_block")
+        .join(F.broadcast(blocks), "_block")
         .withColumn(out, F.col("_before") + F.col("_in"))
         .drop("_block", "_before", "_in")
     )

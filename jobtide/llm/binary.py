@@ -27,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import MAX_SMALL, broadcast_if_small, shared_dir, ship
+from .base import MAX_SMALL, broadcast_if_small, offsets, shared_dir, ship
 from .chunks import HEAD, ODD, SIMPLE, spell
 from .tokens import LONGEST
 
@@ -317,8 +317,9 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end: int = END, sh
 
         for b in batches:
             letters = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-            group = np.cumsum(letters, dtype=np.int64) // TOGETHER
-            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+            group = np.cumsum(letters, dtype=np.int64) // max(1, min(TOGETHER, shard_text // 2))
+            alone = np.flatnonzero(letters > shard_text // 2)  # long documents are groups, so that they don't make a shard longer than need be
+            edges = sorted({0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), *alone.tolist(), *(alone + 1).tolist(), b.num_rows})
             for i, j in zip(edges, edges[1:], strict=False):
                 few, more = b.slice(i, j - i), int(letters[i:j].sum())
                 if ids and size + more > shard_text:
@@ -341,9 +342,8 @@ def read_shards(spark, path: str) -> DataFrame:
     """One row a document of the files at path: doc_id, start, n_tokens, ids_crc32."""
     ship(spark)
     table = spark.read.parquet(path)
-    order = Window.orderBy(F.col("first_doc").asc_nulls_first(), F.col("last_doc").asc_nulls_first(), "seq").rowsBetween(Window.unboundedPreceding, -1)
     key = F.concat_ws(":", F.coalesce(F.col("first_doc").cast("string"), F.lit("-")), F.coalesce(F.col("last_doc").cast("string"), F.lit("-")), F.col("seq").cast("string"))
-    starts = table.select(key.alias("at"), F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("before"))  # a row a shard
+    starts = offsets(table.select("first_doc", "last_doc", "seq", "n_tokens", key.alias("at")), ["first_doc", "last_doc", "seq"], "n_tokens", "before").select("at", "before")  # a row a shard
 
     def run(batches):
         for b in batches:

@@ -1,51 +1,71 @@
 """N-gram Jaccard join: the blocked sparse product of the document by n-gram incidence matrix with its transpose.
 
-Documents with equal sets of n-grams are one row of the matrix. All rows that can reach the threshold together must share a column
-of their prefixes (the first size - ceil(t * size) + 1 columns of each row in one order of all columns), which bounds the product
-to few columns. The order puts columns that many rows hold last: the rows of all columns are counted in a sketch of fixed size, whose
-counters only steer the order, so that any error in them costs time, never a pair. Column by column, rows that meet are compared:
-first all with the smallest row there, then, since only components matter, rows of still different components in blocks of
-leaders. A pair of rows is dropped when a bound lies below the threshold: by their sizes, then by the counts of their cells in 256
-blocks of columns, whose smaller ones add up to the largest possible overlap. Only rows of pairs that are left are read again,
-and their overlap is summed up over their full rows. Nothing is capped. The cells (24 bytes) of a column meet in one task, which
-sorts them and spills; the rows themselves never do, and hot columns collapse with the first round of leaders.
+Documents with equal sets of n-grams are one row of the matrix. Rows that can reach the threshold share a column of their prefixes (the
+first size - ceil(t * size) + 1 columns of each row, rare columns first), so the rows of each prefix column are a block of
+the product. Blocks whose smallest row is the same are one: near copies share many columns, yet meet once. The order of the columns
+comes from a sketch of fixed size, whose errors cost time, never a pair.
+
+In a block, pairs whose sizes are too far apart are discarded, and rows whose cells in 256 groups of columns (four times as many for each
+four times as many cells) can't overlap enough with any other row of the block. The rest bring all their cells: the block's part of the
+incidence matrix. Its product with its transpose is accumulated from the rare columns to the common ones; before the common ones
+come, and after each slab of them, pairs whose overlap so far plus what is left of the smaller row is below the bound of their sizes are
+discarded, and rows without a pair go. What is left at the bound is linked, and a block gives a spanning forest of its links,
+never all pairs.
+
+There are two rounds, whatever the data. In the first, a row is in one block, that of its smallest smallest row (and in the one where
+it is that row itself), which joins families of near copies at once. In the second, all blocks whose rows are of several components
+compare rows of different ones. A block of more than BLOCK cells is cut by size classes (partners are in the same or in neighbouring
+ones) and by hash: in the first round each part meets alone, with the smallest row of the block in all of them; in the second every two
+parts whose sizes allow it are a block. So no task holds more than about two parts, and nothing is capped. Columns that many rows
+hold (by the sketch) are dealt by hash before their smallest row is sought.
 
 Texts: A-Z are lowered; words are runs of anything but space and the characters 9 to 13. Defined results: null or empty texts
 and those without words have no n-gram, are linked with nothing and are their own component; with fewer words than n, the whole
 sequence is the one n-gram; repeated rows and equal sets are one component; a null doc_id counts as larger than any other; an
-empty table gives an empty table. N-grams are 64-bit hashes; the odds of a false equality are those of a 64-bit collision.
+empty table gives an empty table; columns other than doc_id and text are not looked at, whatever their names. A very long text is one
+row like any other: its cells (8 bytes a distinct n-gram) must fit in a task. Rows are known by 128-bit hashes, n-grams by 64-bit
+hashes of words, which are hashed modulo two primes, or by xxh3 from LONG bytes on.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache, reduce
+import math
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import MAX_SMALL, broadcast_if_small, discard, park, ship
 
 #: Links whose components one task finds.
 EDGES = 1 << 18
-#: Counters of the sketch and of one of its blocks, column blocks of a row's profile, rows that one task compares at once, pairs of a
-#: column compared in one round where there are more (by at least LEADERS leaders), cells that a task gathers before it counts them, bytes of words hashed at once, bytes of a word that is
-#: hashed on its own.
-SKETCH, SKETCH_BLOCK, PROFILE, GROUP, PAIRS, LEADERS, GATHERED, AT_ONCE, LONG = 1 << 23, 1 << 17, 256, 2048, 1 << 16, 16, 1 << 20, 1 << 20, 1 << 16
+#: Counters of the sketch and of one of its blocks, column groups of a row's profile, cells that a task gathers before it counts them,
+#: bytes of words hashed at once, bytes of a word that is hashed on its own.
+SKETCH, SKETCH_BLOCK, PROFILE, GATHERED, AT_ONCE, LONG = 1 << 21, 1 << 14, 256, 1 << 20, 1 << 20, 256
+#: Cells of a block (a row counts ROW more), rows of a column that are looked at together, columns of a dense slab, pairs counted at once.
+BLOCK, ROW, HOT, SLAB, PAIRS = 1 << 19, 512, 2048, 1024, 1 << 20
+#: Two primes and two bases, drawn at random, of the words' hashes.
+_PRIMES, _BASES = (2147483647, 2147483629), (1103527590, 723471715)
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
-_FACTOR = 0x5851F42D4C957F2D
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 @lru_cache(1)
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _FACTOR and of its inverse modulo 2^64."""
-    n = AT_ONCE + LONG + 1
-    up, down = np.full(n, _FACTOR, np.uint64), np.full(n, pow(_FACTOR, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
+def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """Powers of the bases and of their inverses modulo the primes."""
+
+    def table(base: int, prime: int) -> np.ndarray:
+        out, done, n = np.ones(AT_ONCE + LONG + 1, np.uint64), 1, AT_ONCE + LONG + 1
+        while done < n:  # doubling: x[done + i] = x[i] * base ** done
+            out[done : 2 * done] = out[: min(done, n - done)] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+            done *= 2
+        return out
+
+    return [(table(b, p), table(pow(b, -1, p), p)) for b, p in zip(_BASES, _PRIMES, strict=True)]
 
 
 def _stir(h: np.ndarray) -> np.ndarray:
@@ -55,30 +75,32 @@ def _stir(h: np.ndarray) -> np.ndarray:
 
 
 def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of raw begin, and their hashes: a polynomial of the bytes, from differences of running sums."""
+    """Where the words of raw begin, and their hashes: polynomials of the bytes modulo two primes, from differences of running sums."""
     x = np.frombuffer(raw, np.uint8)
     gap = _SPACE[x]
     starts = np.flatnonzero(~gap & np.append(True, gap[:-1]))
     ends = np.flatnonzero(~gap & np.append(gap[1:], True)) + 1
     size = ends - starts
     h = np.zeros(len(starts), np.uint64)
-    up, down = _powers()
     i = 0
     while i < len(starts):
-        if size[i] > LONG:
+        if size[i] >= LONG:
             h[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
             i += 1
             continue
         j = max(int(np.searchsorted(ends, starts[i] + AT_ONCE, "right")), i + 1)
-        long = np.flatnonzero(size[i:j] > LONG)
+        long = np.flatnonzero(size[i:j] >= LONG)
         if len(long):
             j = i + int(long[0])
         first, last = int(starts[i]), int(ends[j - 1])
         part = x[first:last].astype(np.uint64)
         part += np.uint64(1)
-        part *= up[: len(part)]
-        upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part)))
-        h[i:j] = (upto[ends[i:j] - first] - upto[starts[i:j] - first]) * down[starts[i:j] - first]
+        for k, (up, down) in enumerate(_powers()):
+            prime = np.uint64(_PRIMES[k])
+            upto = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * up[: len(part)], out=upto[1:])  # below 2^9 * 2^31 * 2^21
+            one = (upto[ends[i:j] - first] - upto[starts[i:j] - first]) % prime * down[starts[i:j] - first] % prime
+            h[i:j] = h[i:j] << np.uint64(32) | one
         i = j
     return starts, _stir(h + size.astype(np.uint64) * _MIX[2])
 
@@ -91,7 +113,9 @@ def rows_of(texts: list[str | None], n: int) -> list[np.ndarray]:
     at = np.searchsorted(starts, place)
 
     def grams(k: int) -> np.ndarray:
-        out = np.full(max(len(h) - k + 1, 0), np.uint64(k))
+        if len(h) < k:
+            return np.zeros(0, np.uint64)
+        out = np.full(len(h) - k + 1, np.uint64(k))
         for i in range(k):
             out = (out + h[i : len(h) - k + 1 + i]) * _MIX[0]
             out ^= out >> np.uint64(31)
@@ -127,12 +151,28 @@ def _groups(texts: list[str | None], n: int):
 
 
 def profile(row: np.ndarray) -> bytes:
-    """Cells by block of columns, 255 at most."""
-    return np.minimum(np.bincount((row >> np.uint64(56)).astype(np.int64), minlength=PROFILE), 255).astype(np.uint8).tobytes()
+    """Cells by group of columns, 255 at most: PROFILE groups for up to 16 PROFILE cells, four times as many for each four times that."""
+    bits = 8
+    while len(row) >> bits > 16 and bits < 20:
+        bits += 2
+    return np.minimum(np.bincount((row >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
 
+def most_shared(profiles: list[bytes], n: np.ndarray, i: int, stop: int, coarse: dict) -> np.ndarray:
+    """Bounds of the overlap of row i with the rows from i + 1 to stop, all in the order of size; coarse keeps the profiles by width."""
+    width = len(profiles[i])
+    if width not in coarse:
+        first = next(k for k, x in enumerate(profiles) if len(x) >= width)
+        rows = [np.frombuffer(x, np.uint8).reshape(width, -1) for x in profiles[first:]]
+        full = np.array([bool((x == 255).any()) for x in rows])
+        coarse[width] = first, np.stack([np.minimum(x.sum(1, dtype=np.uint32), 65535).astype(np.uint16) for x in rows]), full
+    first, x, full = coarse[width]
+    j = slice(i + 1 - first, stop - first)
+    return np.where(full[j] | full[i - first], n[i], np.minimum(x[i - first], x[j]).sum(1, dtype=np.int64))
 
-def _row_id(row: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(row.tobytes()) - (1 << 63)
+
+def _row_id(row: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(row.tobytes())
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -144,24 +184,25 @@ def _slot(cells: np.ndarray) -> np.ndarray:
     return (cells >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
 
 
-def _survey(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, r (row), n_shingles and the row's profile of each document, and blocks of the sketch: kind 1 with block number in r."""
+def _survey(docs: DataFrame, n: int, keys: list) -> DataFrame:
+    """keys, r (row), n_shingles and the row's profile (once a task at least) of each document, and blocks of the sketch: kind 1 with the
+    block's number in n_shingles."""
+    cols = docs.select(docs["text"], *keys)
+    names = ["kind", *cols.columns[1:], "r", "n_shingles", "block"]
 
     def run(batches):
-        sketch = np.zeros(SKETCH, np.uint32)
-        seen: set[int] = set()
-        schema = ["kind", "doc_id", "r", "n_shingles", "block"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        sketch, seen, types = np.zeros(SKETCH, np.uint32), set(), None
 
         def count(held):
             slots = _slot(np.concatenate(held)) if held else ()
-            for low in range(0, SKETCH if held else 0, SKETCH // 8):  # an eighth at a time keeps the memory small
-                part = slots[(slots >= low) & (slots < low + SKETCH // 8)]
-                sketch[low : low + SKETCH // 8] += np.bincount(part - low, minlength=SKETCH // 8).astype(np.uint32)
+            for low in range(0, SKETCH if held else 0, SKETCH // 4):  # a quarter at a time keeps the memory small
+                part = slots[(slots >= low) & (slots < low + SKETCH // 4)]
+                sketch[low : low + SKETCH // 4] += np.bincount(part - low, minlength=SKETCH // 4).astype(np.uint32)
 
         for b in batches:
             ids, sizes, blocks, held, gathered = [], [], [], [], 0
-            for row in _groups(b.column(1).to_pylist(), n):
+            types = [c.type for c in b.columns[1:]]
+            for row in _groups(b.column(0).to_pylist(), n):
                 r = _row_id(row) if len(row) else None
                 ids.append(r)
                 sizes.append(len(row))
@@ -173,54 +214,56 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
                     if gathered >= GATHERED:
                         count(held)
                         held, gathered = [], 0
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 seen.clear()
             count(held)
-            cols = [pa.array([0] * len(ids), kinds[0]), b.column(0), pa.array(ids, kinds[2]), pa.array(sizes, kinds[3]), pa.array(blocks, kinds[4])]
-            yield pa.RecordBatch.from_arrays(cols, schema)
-        for i in range(0, SKETCH, SKETCH_BLOCK):
-            part = np.minimum(sketch[i : i + SKETCH_BLOCK], 255)
+            cols = [pa.array([0] * len(ids), pa.int32()), *b.columns[1:], pa.array(ids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(blocks, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names)
+        for i in range(0, SKETCH if types else 0, SKETCH_BLOCK):
+            part = sketch[i : i + SKETCH_BLOCK]
             if part.any():
-                row = [[1], [None], [i // SKETCH_BLOCK], [None], [part.astype(np.uint8).tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], schema)
+                raw = part.astype(np.uint8 if part.max() < 256 else "<u4").tobytes()
+                cols = [pa.array([1], pa.int32()), *[pa.nulls(1, t) for t in types], pa.nulls(1, pa.binary()), pa.array([i // SKETCH_BLOCK], pa.int64()), pa.array([raw], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    cols = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    return cols.mapInArrow(run, "kind int, doc_id long, r long, n_shingles long, block binary")
+    schema = ", ".join(["kind int", *[f"{c} {t}" for c, t in cols.dtypes[1:]], "r binary, n_shingles long, block binary"])
+    return cols.mapInArrow(run, schema)
 
 
 def _order(survey: DataFrame) -> np.ndarray:
-    """The sketch's counters as 16 bits each, SKETCH of them whatever the input; halved until almost all fit."""
-
-    def add(key, table):
-        total = np.zeros(SKETCH_BLOCK, np.uint64)
-        for x in table.column(table.column_names.index("block")):
-            raw = x.as_py()
-            total += np.frombuffer(raw, np.uint8 if len(raw) == SKETCH_BLOCK else "<u4")
-        total = np.minimum(total, 0xFFFFFFFF).astype("<u4")
-        return pa.table({"r": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([total.tobytes()], pa.binary())})
-
-    # a tree of two levels for many tasks: one block from a thousandth of the tasks is added up at a time, then those sums
-    parts = survey.filter("kind = 1").select("r", "block", F.pmod(F.xxhash64("block"), F.lit(1024)).alias("part"))
-    if parts.limit(20_000).count() == 20_000:
-        parts = parts.groupBy("r", "part").applyInArrow(add, "r long, block binary")
-    sketch, largest = np.zeros(SKETCH, np.uint32), 0
-    for x in parts.select("r", "block").groupBy("r").applyInArrow(add, "r long, block binary").toLocalIterator():
-        block = np.frombuffer(x["block"], "<u4")
-        sketch[x["r"] * SKETCH_BLOCK : (x["r"] + 1) * SKETCH_BLOCK] = block
-        largest = max(largest, int(np.quantile(block, 0.999)))
-    sketch >>= np.uint32(max(0, largest.bit_length() - 15))
-    np.minimum(sketch, 65535, out=sketch)
-    return sketch.astype(np.uint16)
-
-
-def _prefixes(docs: DataFrame, counters: np.ndarray, n: int, percent: int) -> DataFrame:
-    """col, r, size: the prefix columns of each row, once a task at least."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters)  # 2 SKETCH bytes, whatever the input
+    """The sketch's counters over their median, the load that all columns give them, on a scale of logarithms: a byte each, an excess
+    e is 2 ** (v / 6) at most."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(raw, np.uint8 if len(raw) == SKETCH_BLOCK else "<u4")
+                total[i] = total.get(i, 0) + part.astype(np.uint64)
+        raw = [np.minimum(v, 0xFFFFFFFF).astype("<u4").tobytes() for v in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(raw, pa.binary())], ["i", "block"])
+
+    counters = np.zeros(SKETCH, np.uint32)
+    blocks = survey.filter("kind = 1").select(F.col("n_shingles").alias("i"), "block")
+    for x in blocks.repartition("i").mapInArrow(add, "i long, block binary").collect():  # 4 SKETCH bytes, whatever the input
+        counters[x["i"] * SKETCH_BLOCK : (x["i"] + 1) * SKETCH_BLOCK] = np.frombuffer(x["block"], "<u4")
+    counters -= np.minimum(counters, np.uint32(np.median(counters)))
+    return np.where(counters > 0, np.minimum(1 + np.floor(6 * np.log2(np.maximum(counters, 1), dtype=np.float32)), 255), 0).astype(np.uint8)
+
+
+def _salts(counter: np.ndarray) -> np.ndarray:
+    """Parts of a column whose rows are looked at together."""
+    return np.ceil(np.exp2(counter / 6) / HOT).astype(np.int64)
+
+
+def _prefixes(docs: DataFrame, shared, n: int, percent: int) -> DataFrame:
+    """col, salt, key, r, size: the prefix columns of each row, once a task at least. key orders rows by size, then hash; salt is not
+    null where the column may have more than HOT rows."""
 
     def run(batches):
         order, seen = shared.value, set()
         for b in batches:
-            cols, ids, sizes = [], [], []
+            cols, salts, keys, ids, sizes = [], [], [], [], []
             for row in _groups(b.column(0).to_pylist(), n):
                 if len(row) and 100 * len(row) >= percent * (len(row) + 1):  # else no other set is near enough
                     r = _row_id(row)
@@ -228,109 +271,278 @@ def _prefixes(docs: DataFrame, counters: np.ndarray, n: int, percent: int) -> Da
                         continue
                     seen.add(r)
                     p = prefix_size(len(row), percent)
-                    cols.append(row[np.argsort(order[_slot(row)], kind="stable")[:p]])  # equal counters in the order of their hashes
-                    ids.append(np.full(p, r, np.int64))
+                    counter = order[_slot(row)]
+                    first = np.argsort(counter, kind="stable")[:p]  # equal counters in the order of their hashes
+                    tail = int.from_bytes(r[:5], "big")
+                    cols.append(row[first])
+                    parts = _salts(counter[first])
+                    salts.append(np.where(parts > 1, tail % parts, -1))
+                    keys.append(np.full(p, min(len(row), (1 << 23) - 1) << 40 | tail))
+                    ids += [r] * p
                     sizes.append(np.full(p, len(row), np.int32))
-            if len(seen) > 1_000_000:
+            if len(seen) > 500_000:
                 seen.clear()
             if cols:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["col", "r", "size"])
-
-    return docs.select(docs["text"]).mapInArrow(run, "col long, r long, size int")
-
-
-def _rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """r and cells (sorted hashes) of the rows in wanted (r, doc_id): their texts are read once more."""
-    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    found = found.join(broadcast_if_small(wanted.select(F.col("doc_id").alias("id")), MAX_SMALL), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-
-    def run(batches):
-        for b in batches:
-            rows = list(_groups(b.column(1).to_pylist(), n))
-            yield pa.RecordBatch.from_arrays([pa.array([_row_id(x) for x in rows], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in rows], pa.binary())], ["r", "cells"])
-
-    return found.mapInArrow(run, "r long, cells binary").join(wanted.select("r"), "r", "left_semi").dropDuplicates(["r"])
+                salt = np.concatenate(salts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(salt, pa.int64(), mask=salt < 0), pa.array(np.concatenate(keys)), pa.array(ids, pa.binary()), pa.array(np.concatenate(sizes))], ["col", "salt", "key", "r", "size"])
+
+    return docs.select(docs["text"]).mapInArrow(run, "col long, salt long, key long, r binary, size int")
+
+
+def _families(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
+    """g, r, size: the rows of each block of the product; rows of a column are in one block. g is the least key of the block's columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)  # SKETCH bytes, whatever the input
+    every = Window.partitionBy("col", "salt")  # HOT rows and their repetitions in other tasks, or a part of a column by hash
+    cells = _prefixes(docs, shared, n, percent).repartition("col", "salt")
+    cells = cells.withColumns({"g": F.min("key").over(every), "lo": F.min("r").over(every), "hi": F.max("r").over(every)})
+    of_hot = [F.when(F.col("salt").isNotNull(), F.col(c)).alias(c) for c in ("col", "lo", "hi")]
+    cells = park(cells.filter("salt IS NOT NULL OR lo <> hi").select("salt", "g", "r", "size", *of_hot))
+    out = cells.filter("salt IS NULL").select("g", "r", "size")
+    if _salts(order.max(initial=0)) > 1:
+        hot = cells.filter("salt IS NOT NULL")
+        of = hot.groupBy("col").agg(F.min("g").alias("g"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi").select("col", "g")
+        out = out.unionByName(hot.select("col", "r", "size").join(broadcast_if_small(of, MAX_SMALL), "col").select("g", "r", "size"))
+    out = park(out.groupBy("g", "r").agg(F.first("size").alias("size")))
+    discard(cells)
+    shared.destroy()
+    return out
 
 
-def _near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose profiles allow an overlap at the threshold."""
+def _key() -> Column:
+    """What orders rows by size, then hash."""
+    tail = F.conv(F.substring(F.hex("r"), 1, 10), 16, 10).cast("long")
+    return F.shiftleft(F.least(F.col("size"), F.lit((1 << 23) - 1)).cast("long"), 40).bitwiseOR(tail)
+
+
+def _parts(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Members (g, r, size) of blocks that needn't be cut; of the others the rows with their size class k and part, and their parts (g, k, parts)."""
+    weight = F.col("size").cast("long") + ROW
+    large = park(members.groupBy("g").agg(F.sum(weight).alias("w")).filter(F.col("w") > BLOCK).select("g"))
+    if large.isEmpty():
+        return members, None, None
+    some = broadcast_if_small(large, MAX_SMALL)
+    k = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("int")  # sizes near enough are a class apart at most
+    rows = members.join(some, "g", "left_semi").withColumn("k", k)
+    parts = park(rows.groupBy("g", "k").agg(F.ceil(F.sum(weight) / F.lit(BLOCK / 2)).cast("int").alias("parts")))
+    own = rows.join(broadcast_if_small(parts, MAX_SMALL), ["g", "k"]).withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")).drop("parts")
+    return members.join(some, "g", "left_anti"), own, parts
+
+
+def _first(families: DataFrame, percent: int) -> DataFrame:
+    """block, r of the first round."""
+    best = families.groupBy("r").agg(F.min("g").alias("_least"))
+    members = park(families.join(best, "r").filter((F.col("g") == F.col("_least")) | (F.col("g") == _key())).select("g", "r", "size"))
+    whole, own, parts = _parts(members, percent)
+    out = whole.select(F.xxhash64("g").alias("block"), "r")
+    if own is not None:
+        # the smallest row is in every part whose sizes allow it
+        lead = own.filter(F.col("g") == _key()).select("g", "r", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
+        lead = lead.join(parts, ["g", "k"]).select("g", "r", "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        named = lambda df: df.select(F.xxhash64("g", "k", "part").alias("block"), "r")
+        out = out.unionByName(named(own)).unionByName(named(lead)).distinct()
+    return out
 
-    def bound(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, PROFILE) for i in (2, 3))
-            n, m = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (4, 5))
-            most = np.minimum(x, y).sum(1, dtype=np.int64)
-            most = np.where((x == 255).any(1) | (y == 255).any(1), np.minimum(n, m), most)
-            yield b.filter(pa.array(100 * most >= percent * (n + m - most), pa.bool_())).select(["a", "b"])
 
-    one, two = (profiles.select(F.col("r").alias(k), F.col("block").alias(f"p{k}"), F.col("n_shingles").alias(f"n{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "pa", "pb", "na", "nb").mapInArrow(bound, "a long, b long")
+def _second(families: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """block, r, label, side of the second round: the blocks with several components, cut ones as every two parts whose sizes allow it; of two
+    parts, rows of one side have met in their own part."""
+    label = park(families.join(comps, "r", "left").select("g", "r", "size", F.coalesce("c", "r").alias("label")))
+    mixed = park(label.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g"))
+    whole, own, parts = _parts(park(label.join(broadcast_if_small(mixed, MAX_SMALL), "g", "left_semi")), percent)
+    alone = F.xxhash64("r")
+    out = whole.select(F.xxhash64("g").alias("block"), "r", "label", alone.alias("side"))
+    if own is not None:
+        near = own.withColumn("l", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
+        other = parts.select("g", F.col("k").alias("l"), "parts")
+        met = near.join(broadcast_if_small(other, MAX_SMALL), ["g", "l"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        one, two = F.struct("k", "part"), F.struct(F.col("l").alias("k"), F.col("other").alias("part"))
+        side = F.when((F.col("l") == F.col("k")) & (F.col("other") == F.col("part")), alone).otherwise(F.xxhash64("k", "part"))
+        out = out.unionByName(met.select(F.xxhash64("g", F.least(one, two), F.greatest(one, two)).alias("block"), "r", "label", side.alias("side")))
+    return out
 
 
-def _within(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Of members (g, r, c), GROUP a group at most, the pairs of a group that are of different components and may be at the threshold
-    by their sizes and profiles."""
-
-    def pairs(group):
-        r, c, n, x = group
-        order = np.argsort(n, kind="stable")
-        r, c, n, x = r[order], c[order], n[order], x[order]
-        full = (x == 255).any(1)
-        for i in range(len(r) - 1):
-            j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))  # sizes that are near enough
-            j = j[c[j] != c[i]]
-            if len(j):
-                most = np.minimum(x[i], x[j]).sum(1, dtype=np.int64)
-                most = np.where(full[i] | full[j], n[i], most)
-                j = j[100 * most >= percent * (n[i] + n[j] - most)]
-                for k in j.tolist():
-                    yield (min(r[i], r[k]), max(r[i], r[k]))
+def _by_block(df: DataFrame, task, schema: str) -> DataFrame:
+    """task on the rows of each block, a list of columns; a task holds one block at a time."""
 
     def run(batches):
         key, held = None, []
 
         def done():
-            found = list(pairs([np.concatenate(p) for p in zip(*held, strict=True)])) if held else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found, strict=True)], ["a", "b"])
+            return task([np.concatenate(c) if isinstance(c[0], np.ndarray) else list(chain.from_iterable(c)) for c in zip(*held, strict=True)]) if held else None
 
         for b in batches:
-            g, r, c, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            x = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(-1, PROFILE)
-            edges = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)] if len(g) else [0]
+            block = b.column(0).to_numpy(zero_copy_only=False)
+            cols = [block, *[c.to_pylist() if pa.types.is_binary(c.type) else c.to_numpy(zero_copy_only=False) for c in b.columns[1:]]]
+            edges = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)] if len(block) else [0]
             for i, j in zip(edges, edges[1:], strict=False):
-                if g[i] != key:
-                    yield from done()
-                    key, held = g[i], []
-                held.append((r[i:j], c[i:j], n[i:j], x[i:j]))
-        yield from done()
+                if block[i] != key:
+                    if (out := done()) is not None:
+                        yield out
+                    key, held = block[i], []
+                held.append([c[i:j] for c in cols])
+        if (out := done()) is not None:
+            yield out
 
-    full = members.join(profiles.select("r", "n_shingles", "block"), "r").select("g", "r", "c", "n_shingles", "block")
-    return full.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+    return df.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
 
 
-def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those at the threshold, by the product of their full rows."""
+def _live(blocks: DataFrame, profiles: DataFrame, percent: int, second: bool) -> DataFrame:
+    """Of blocks (block, r; label and side in the second round) the rows that may be at the threshold with another by their sizes and profiles."""
 
-    def product(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                overlap = int((q[at] == p).sum())
-                keep.append(100 * overlap >= percent * (len(p) + len(q) - overlap))
-            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+    def task(cols):
+        block, r, n = cols[:3]
+        if len(r) < 2:
+            return None
+        order = np.argsort(n, kind="stable")
+        profiles, n, live, coarse = [cols[3][i] for i in order], n[order], np.zeros(len(r), bool), {}
+        apart = [np.array(c, object)[order] if isinstance(c, list) else c[order] for c in cols[4:]]
+        ends = np.searchsorted(n, n * 100 // percent, "right")  # sizes that are near enough
+        for i in range(len(r) - 1):
+            stop = int(ends[i])
+            if stop <= i + 1:
+                continue
+            j = slice(i + 1, stop)
+            near = np.ones(stop - i - 1, bool)
+            for c in apart:
+                near &= (c[j] != c[i]).astype(bool)
+            if not near.any():
+                continue
+            most = most_shared(profiles, n, i, stop, coarse)
+            near &= 100 * most >= percent * (n[i] + n[j] - most)
+            if near.any():
+                live[i] = True
+                live[j] |= near
+        keep = order[live]
+        if not len(keep):
+            return None
+        out = [pa.array(block[keep]), pa.array([r[i] for i in keep], pa.binary())]
+        names = ["block", "r"]
+        if second:
+            out += [pa.array([cols[4][i] for i in keep], pa.binary()), pa.array(cols[5][keep])]
+            names += ["label", "side"]
+        return pa.RecordBatch.from_arrays(out, names)
+
+    extra = ["label", "side"] if second else []
+    full = blocks.join(profiles, "r").select("block", "r", "n_shingles", F.col("profile"), *extra)
+    return _by_block(full, task, "block long, r binary" + (", label binary, side long" if second else ""))
 
-    one, two = rows.select(F.col("r").alias("a"), F.col("cells").alias("ca")), rows.select(F.col("r").alias("b"), F.col("cells").alias("cb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ca", "cb").mapInArrow(product, "a long, b long")
+
+def _rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """r and cells (sorted hashes) of the rows in wanted (r, doc_id): their texts are read once more."""
+    found = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    found = found.join(broadcast_if_small(wanted.select(F.col("doc_id").alias("id")).distinct(), MAX_SMALL), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+
+    def run(batches):
+        for b in batches:
+            rows = [x for x in _groups(b.column(1).to_pylist(), n) if len(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([_row_id(x) for x in rows], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in rows], pa.binary())], ["r", "cells"])
+
+    return found.mapInArrow(run, "r binary, cells binary").join(wanted.select("r"), "r", "left_semi").dropDuplicates(["r"])
+
+
+def _columns(cells: list[np.ndarray]) -> list[np.ndarray]:
+    """Of a block's rows the columns that two hold at least: for each number of holders, from few to many, the holders of each column."""
+    who = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
+    every = np.concatenate(cells)
+    order = np.argsort(every, kind="stable")
+    every, who = every[order], who[order]
+    edge = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+    held = np.diff(np.append(edge, len(every)))
+    edge, held = edge[held > 1], held[held > 1]
+    order = np.argsort(held, kind="stable")
+    edge, held = edge[order], held[order]
+    cuts = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else []
+    return [who[edge[i:j, None] + np.arange(held[i])] for i, j in zip(cuts, [*cuts[1:], len(held)], strict=True)]
+
+
+def linked(cells: list[np.ndarray], percent: int, apart: tuple = ()) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the rows at the threshold: the product of a block with its transpose. Rows that agree in any
+    of apart don't count as a pair."""
+    m = len(cells)
+    n = np.array([len(c) for c in cells], np.int32 if max(map(len, cells), default=0) < 5_000_000 else np.int64)
+    if m < 2:
+        return []
+    need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))  # the least overlap of two sizes
+    alive = np.triu(need <= np.minimum(n[:, None], n[None, :]), 1)
+    for c in apart:
+        alive &= (c[:, None] != c[None, :]).astype(bool)
+    if not alive.any():
+        return []
+    columns = _columns(cells)
+    overlap = np.zeros(m * m, np.int32)
+    light = max(16, m // 10)
+    for holders in columns:  # columns of few rows: each of their pairs is counted
+        width = holders.shape[1]
+        if width > light:
+            break
+        a, b = np.triu_indices(width, 1)
+        step = max(1, PAIRS // len(a))
+        for i in range(0, len(holders), step):
+            part = holders[i : i + step]
+            pairs = (part[:, a] * m + part[:, b]).ravel()
+            if len(pairs) * 8 < m * m:
+                np.add.at(overlap, pairs, 1)
+            else:
+                overlap += np.bincount(pairs, minlength=m * m).astype(np.int32)
+    overlap = overlap.reshape(m, m)
+    heavy = [h for h in columns if h.shape[1] > light]
+    if heavy:
+        rest = sum(np.bincount(h.ravel(), minlength=m) for h in heavy).astype(np.int32)
+
+        def discard_pairs():
+            np.logical_and(alive, overlap + np.minimum(rest[:, None], rest[None, :]) >= need, out=alive)
+
+        discard_pairs()
+        for holders in heavy:  # common columns: dense slabs of the rows that still have a pair
+            for i in range(0, len(holders), SLAB):
+                keep = np.flatnonzero(alive.any(0) | alive.any(1))
+                if not len(keep):
+                    return []
+                part = holders[i : i + SLAB]
+                slab = np.zeros((m, len(part)), np.float32)
+                slab[part, np.arange(len(part))[:, None]] = 1
+                if len(keep) < m:
+                    slab = slab[keep]
+                    overlap[np.ix_(keep, keep)] += (slab @ slab.T).astype(np.int32)
+                else:
+                    overlap += (slab @ slab.T).astype(np.int32)
+                rest -= np.bincount(part.ravel(), minlength=m).astype(np.int32)
+                discard_pairs()
+    near = alive & (overlap >= need)
+    near |= near.T
+    edges, left = [], np.ones(m, bool)
+    for i in np.flatnonzero(near.any(0)).tolist():
+        if left[i]:
+            left[i], open_ = False, [i]
+            while open_:
+                new = np.flatnonzero(near[open_].any(0) & left)
+                left[new] = False
+                edges += [(i, j) for j in new.tolist()]
+                open_ = new.tolist()
+    return edges
+
+
+def _links(live: DataFrame, rows: DataFrame, percent: int, second: bool) -> DataFrame:
+    """a, b: in each block, edges that join its rows at the threshold."""
+
+    def task(cols):
+        r = cols[1]
+        found = linked([np.frombuffer(c, "<u8") for c in cols[2]], percent, tuple(np.array(c, object) if isinstance(c, list) else c for c in cols[3:]))
+        if not found:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array([r[e[i]] for e in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    extra = ["label", "side"] if second else []
+    return _by_block(rows.join(live, "r").select("block", "r", "cells", *extra), task, "a binary, b binary")
 
 
 def _joined(edges: DataFrame) -> DataFrame:
     """components of EDGES edges (u, v) at most, by one task that joins them in a table of parents."""
+    kind = pa.binary() if edges.schema["u"].dataType.typeName() == "binary" else pa.int64()
+    name = edges.schema["u"].dataType.simpleString()
 
     def run(batches):
-        up: dict[int, int] = {}
+        up: dict = {}
 
         def top(x):
             while up.setdefault(x, x) != x:
@@ -343,9 +555,9 @@ def _joined(edges: DataFrame) -> DataFrame:
                 if a != c:
                     up[max(a, c)] = min(a, c)
         ends = list(up)
-        yield pa.RecordBatch.from_arrays([pa.array(ends, pa.int64()), pa.array([top(x) for x in ends], pa.int64())], ["r", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(ends, kind), pa.array([top(x) for x in ends], kind)], ["r", "c"])
 
-    return edges.select("u", "v").repartition(1).mapInArrow(run, "r long, c long")
+    return edges.select("u", "v").repartition(1).mapInArrow(run, f"r {name}, c {name}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -374,94 +586,41 @@ def components(links: DataFrame) -> DataFrame:
     return ends.unionByName(edges.select(F.col("v").alias("r"), F.col("v").alias("c")).distinct())
 
 
-def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """One row a document: doc_id, r (equal sets have equal r; null without words), n_shingles, component_id, the smallest doc_id
-    that links of a Jaccard index of percent / 100 or more lead to."""
-    spark = docs.sparkSession
-    ship(spark)
-    survey = park(_survey(docs, n))
-    members = survey.filter("kind = 0").select("doc_id", "r", "n_shingles")
+def join(docs: DataFrame, n: int, percent: int, keys: bool = False) -> DataFrame:
+    """One row a document: doc_id, r (equal sets have equal r; null without words), n_shingles, c (equal in a component; null without
+    words) and component_id, the smallest doc_id that links of a Jaccard index of percent / 100 or more lead to. With keys, t1 and t2, two
+    hashes of the text, as well."""
+    ship(docs.sparkSession)
+    of = [docs["doc_id"].cast("long").alias("doc_id")]
+    if keys:
+        of += [F.xxhash64(docs["text"]).alias("t1"), F.xxhash64(F.lit(1), docs["text"]).alias("t2")]
+    survey = park(_survey(docs, n, of))
+    members = survey.filter("kind = 0").select("doc_id", *(["t1", "t2"] if keys else []), "r", "n_shingles")
     reps = members.filter("r IS NOT NULL").groupBy("r").agg(F.min("doc_id").alias("doc_id"))
-    parked = [survey]
-
-    # columns with two rows at least, one of those with the same rows
-    cells = _prefixes(docs, _order(survey), n, percent).repartition("col").groupBy("col", "r").agg(F.first("size").alias("size"))  # the one shuffle of all cells
-    every = Window.partitionBy("col")
-    cells = cells.withColumns(
-        {
-            "held": F.count("*").over(every), "x": F.bit_xor(F.xxhash64("r")).over(every), "y": F.bit_xor(F.xxhash64(F.lit(1), "r")).over(every),
-            "lead": F.min(F.struct("size", "r")).over(every),
-        }
-    ).filter("held > 1")
-    cells = park(cells)
-    one = cells.groupBy("held", "x", "y").agg(F.min("col").alias("col")).select("col")
-    shared = park(cells.join(one, "col").select("col", "r", "size", "lead"))
-    discard(cells)
-    parked.append(shared)
-    profiles = park(survey.filter("kind = 0 AND block IS NOT NULL").select("r", "block", "n_shingles").dropDuplicates(["r"]).join(shared.select("r").distinct(), "r", "left_semi"))
-    parked.append(profiles)
-    known: list[DataFrame] = []
-
-    def compare(pairs: DataFrame, near: bool = False) -> DataFrame:
-        """The links among pairs (a, b), whose profiles have been compared if they are near."""
-        pairs = park(pairs.distinct() if near else _near(pairs.distinct(), profiles, percent))
-        ends = pairs.select(F.col("a").alias("r")).unionByName(pairs.select(F.col("b").alias("r"))).distinct()
-        for k in known:
-            ends = ends.join(k, "r", "left_anti")
-        wanted = park(ends.join(reps, "r"))
-        if not wanted.isEmpty():
-            known.append(park(_rows(docs, wanted, n)))
-        parked.extend([pairs, wanted])
-        return park(_links(pairs, reduce(DataFrame.unionByName, known), percent)) if known else pairs
-
-    fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent  # noqa: E731  sizes
-    first = shared.filter((F.col("r") != F.col("lead.r")) & fits(F.col("size"), F.col("lead.size")))
-    links = compare(first.select(F.least("lead.r", "r").alias("a"), F.greatest("lead.r", "r").alias("b")))
-    found = [links]
-    comps = park(components(links))
-    parked += [links, comps]
-    # Columns with rows of several components, by the smallest row of each: families of near copies mostly share it, so that a pair meets
-    # once or a few times and not once a column.
-    live = shared.filter("r <> lead.r").select("col", F.col("lead.r").alias("g"), "r", "size")
-    label = live.join(comps, "r", "left").select("col", "g", "r", "size", F.coalesce("c", "r").alias("c"))
-    mixed = label.groupBy("col").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("col")
-    label = park(label.join(mixed, "col"))
-    held = label.select("g", "r", "c").distinct()
-    sizes = park(held.groupBy("g").agg(F.count("*").alias("n")))
-    parked += [label, sizes]
-    new = compare(_within(held.join(sizes.filter(F.col("n") <= GROUP), "g"), profiles, percent), near=True)
-    if not new.isEmpty():
-        found.append(new)
-        comps = park(components(reduce(DataFrame.unionByName, found)))
-        parked += [new, comps]
-    live = label.join(sizes.filter(F.col("n") > GROUP), "g").select("col", "r", "size")  # larger ones go on round by round
-    while True:
-        # Rows that have not met all others of their column, where those are of several components. The rows of the
-        # smaller components lead: when they have met all, one component is left.
-        label = live.join(comps, "r", "left").select("col", "r", "size", F.coalesce("c", "r").alias("c"))
-        held = label.groupBy("col", "c").agg(F.count("*").alias("own"), F.bit_xor(F.xxhash64("r")).alias("x"))
-        mixed = held.groupBy("col").agg(F.count("*").alias("kinds"), F.sum("own").alias("held"), F.bit_xor("x").alias("x")).filter("kinds > 1")
-        mixed = mixed.groupBy("held", "x").agg(F.min("col").alias("col"))
-        order = Window.partitionBy("col").orderBy("own", "c", "r")
-        live = label.join(mixed, "col").join(held.select("col", "c", "own"), ["col", "c"]).withColumn("i", F.row_number().over(order))
-        live = park(live.select("col", "r", "size", "c", (F.col("i") <= F.greatest(F.lit(LEADERS), F.floor(F.lit(PAIRS) / F.col("held")))).alias("leads"), "i"))
-        parked.append(live)
-        if live.isEmpty():
-            break
-        heads = live.filter("leads").select("col", *[F.col(x).alias(f"h{x}") for x in ("r", "size", "c", "i")])
-        pairs = live.join(heads, "col").filter((F.col("i") > F.col("hi")) & (F.col("c") != F.col("hc")) & fits(F.col("size"), F.col("hsize")))
-        new = compare(pairs.select(F.least("r", "hr").alias("a"), F.greatest("r", "hr").alias("b")))
-        parked.append(new)
-        live = live.filter("NOT leads").select("col", "r", "size")
-        if not new.isEmpty():
-            found.append(new)
-            comps = park(components(reduce(DataFrame.unionByName, found)))
-            parked.append(comps)
+    profiles = survey.filter("kind = 0 AND block IS NOT NULL").select("r", "n_shingles", F.col("block").alias("profile")).dropDuplicates(["r"])
+
+    families = _families(docs, _order(survey), n, percent)
+    parked = [survey, families]
+
+    def links(blocks: DataFrame, second: bool) -> DataFrame:
+        live = park(_live(blocks, profiles, percent, second))
+        wanted = park(live.select("r").distinct().join(reps, "r"))
+        found = park(_links(live, _rows(docs, wanted, n), percent, second))
+        discard(live, wanted)
+        parked.append(found)
+        return found
+
+    found = links(_first(families, percent), False)
+    comps = park(components(found))
+    more = links(_second(families, comps, percent), True)
+    parked.append(comps)
+    if not more.isEmpty():
+        comps = park(components(found.unionByName(more)))
+        parked.append(comps)
     groups = comps.join(reps, "r").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = reps.join(comps, "r", "left").join(groups, "c", "left").select("r", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = members.join(named, "r", "left").select("doc_id", "r", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = park(out)
-    discard(*parked, *known)
+    named = reps.join(comps, "r", "left").join(groups, "c", "left").select("r", F.coalesce("c", "r").alias("c"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = park(members.join(named, "r", "left").select(*members.columns, "c", F.coalesce("component_id", "doc_id").alias("component_id")))
+    discard(*parked)
     return out
 
 
@@ -470,22 +629,18 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component, that of the smallest doc_id; the columns stay as they are. Documents without words
-    and those with a null doc_id stay; of rows equal in doc_id and text, one stays."""
-    again = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    if not again.isEmpty():
-        return _one_row_each(docs, n, percent)
-    gone = park(join(docs, n, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    return docs.join(broadcast_if_small(gone, MAX_SMALL), F.col("doc_id").cast("long") == F.col("gone"), "left_anti").select(*docs.columns)
-
-
-def _one_row_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """one_each for repeated doc_ids: a row goes by the 64-bit hash of doc_id and text; of a component, the first by doc_id, then hash, stays."""
-    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    rows = park(docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL")).withColumn("_row", row))
-    named = rows.withColumn("_id", F.col("doc_id").cast("long")).withColumn("doc_id", F.col("_row"))
-    found = join(named.select("doc_id", "text"), n, percent).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_row"), "component_id")
-    of = park(found.join(named.select("_row", "_id"), "_row"))
-    first = of.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_first"))
-    gone = park(of.join(first, "component_id").filter("_row <> _first").select(F.col("_row").alias("gone")))
-    return rows.join(broadcast_if_small(gone, MAX_SMALL), F.col("_row") == F.col("gone"), "left_anti").select(*docs.columns)
+    """docs with one row of each component, the columns as they are, whatever their names. A row goes by its doc_id and text: the first by
+    doc_id, then by the text's hash, stays; of rows equal in both, any one. Rows without words or doc_id all stay. Rows that share a
+    doc_id but not the text are told apart."""
+    found = join(docs, n, percent, keys=True).filter("c IS NOT NULL AND doc_id IS NOT NULL")
+    key = F.struct("doc_id", "t1", "t2")
+    several = found.groupBy("c").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").select("c", "first")
+    judged = found.join(several, "c").groupBy("doc_id", "t1", "t2").agg(F.first(key == F.col("first")).alias("stays"), F.count("*").alias("n"))
+    judged = park(judged.filter("n > 1 OR NOT stays").select(F.col("doc_id").alias("_d"), F.col("t1").alias("_1"), F.col("t2").alias("_2"), "stays"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("d"), F.xxhash64(docs["text"]).alias("h1"), F.xxhash64(F.lit(1), docs["text"]).alias("h2"))
+    same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2"))
+    out = rows.join(broadcast_if_small(judged.drop("stays"), MAX_SMALL), same, "left_anti").select("row.*")
+    again = judged.filter("stays")
+    if again.isEmpty():
+        return out
+    return out.unionByName(rows.join(broadcast_if_small(again, MAX_SMALL), same, "left_semi").dropDuplicates(["d", "h1", "h2"]).select("row.*"))
