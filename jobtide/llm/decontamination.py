@@ -7,15 +7,21 @@ shares at least m + 1 - (k + 1) Q q-grams with the window, all within k diagonal
 counted in bands of 2 k + 2 diagonals (more precisely of a power of two that is as large), each of which overlaps the next by half;
 regions below the bound go, the others are verified by a banded alignment, free at both ends in the document.
 
-The benchmark's index travels to the executors only in slices of SLICE letters, so its size is bounded whatever the
-benchmark's; a larger benchmark takes more passes over the documents. Documents are scanned whole, in Arrow batches.
+Documents are scanned once, whole, in Arrow batches, whatever the benchmark's size: a bitmap of all of the benchmark's q-grams (of
+bounded size, put together by the executors) leaves the stretches that hold as many known q-grams as any window asks for. These
+pieces of text are parked and searched with the windows themselves, whose texts travel in slices of SLICE letters; a larger
+benchmark takes more passes over the pieces, which are few.
 
 Defined results: null and empty texts match nothing; an item without a q-gram's length of letters matches nothing; equal items are
-reported each; repeated rows are reported each; an empty table on either side gives an empty table.
+reported each; repeated rows are reported each; ties between places go to the first; a text of any length is scanned whole, in parts that
+overlap by more than a window and its edits; an empty table on either side gives an empty table; extra columns are not looked at, and stay in
+clean, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import MAX_SMALL, broadcast_if_small, park, ship
+from .base import MAX_SMALL, broadcast_if_small, discard, park, ship
 
-Q, WINDOW, QUOTE, STRIDE, EDITS, SLICE = 8, 120, 60, 15, 0.08, 4 << 20
-#: Bits of the filter of q-gram hashes, and letters of documents that are scanned at once.
-FILTER, AT_ONCE = 22, 1 << 20
+Q, WINDOW, QUOTE, STRIDE, EDITS, SLICE = 8, 120, 60, 15, 0.08, 1 << 19
+#: Bits of the bitmap's places at least and at most, bytes of one of its blocks, letters that are scanned at once, slices whose finds are
+#: put together at once.
+FILTER, MOST, BITMAP_BLOCK, AT_ONCE, TOGETHER = 22, 28, 1 << 16, 1 << 18, 16
+#: Lengths of windows that share a bound, up to each.
+LENGTHS = (11, 15, 23, 31, 47, 59, QUOTE, 90, WINDOW)
 _BASE, _SPREAD = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,59 +90,54 @@ def distance(window: np.ndarray, place: np.ndarray, k: int) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def windows(x: np.ndarray, window: int = WINDOW, quote: int = QUOTE, stride: int = STRIDE) -> list[tuple[int, int]]:
+    """Where the windows of an item of these letters begin and end."""
+    parts = [(0, len(x))] if len(x) <= window else []
+    if len(x) > quote:  # the second last start, too: of any window of two quotes' length, one half has half the edits at most
+        parts += [(s, s + quote) for s in sorted({*range(0, len(x) - quote, stride), max(0, len(x) - 2 * quote), len(x) - quote})]
+    return [(s, e) for s, e in parts if needed(e - s, 0) > 0]
+
+
+def slack_of(m: int, q: int = Q, edits: float = EDITS) -> int:
+    """The edits of a window of m letters: fewer where the lemma would not ask for a q-gram."""
+    k = allowed(m, edits)
+    while k and needed(m, k, q) < 1:
+        k -= 1
+    return k
+
+
 class Index:
     """The windows of some items."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, window: int = WINDOW, quote: int = QUOTE, stride: int = STRIDE, edits: float = EDITS):
+    def __init__(self, items: list[tuple[int, str]], quote: int = QUOTE):
         self.windows, hashes, owners, places = [], [], [], []
         for item, text in items:
             x = letters(fold(text))
-            parts = [(0, len(x))] if len(x) <= window else []
-            if len(x) > quote:  # the second last start, too: of any window of two quotes' length, one half has half the edits at most
-                parts += [(s, s + quote) for s in sorted({*range(0, len(x) - quote, stride), max(0, len(x) - 2 * quote), len(x) - quote})]
-            for s, e in parts:
+            for s, e in windows(x):
                 part = x[s:e]
-                k = allowed(len(part), edits)
-                while k and needed(len(part), k, q) < 1:
-                    k -= 1  # the lemma must still ask for one
-                if needed(len(part), k, q) < 1:
-                    continue
-                h = grams(part, q)
+                k = slack_of(len(part))
+                h = grams(part)
                 owners.append(np.full(len(h), len(self.windows)))
                 hashes.append(h)
                 places.append(np.arange(len(h)))
-                self.windows.append((item, s, part, k, needed(len(part), k, q)))
+                self.windows.append((item, s, part, k, needed(len(part), k)))
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         h = join(hashes, np.uint64)
         order = np.argsort(h, kind="stable")
-        self.hash, self.owner, self.place = h[order], join(owners, np.int64)[order], join(places, np.int64)[order]
+        self.hash, self.owner, self.place = h[order], join(owners, np.int32)[order], join(places, np.int16)[order]
         self.filter = np.zeros(1 << FILTER, bool)
         self.filter[(self.hash >> np.uint64(64 - FILTER)).astype(np.int64)] = True
         self.need = np.array([w[4] for w in self.windows], np.int64)
         self.slack = np.array([w[3] for w in self.windows], np.int64)
-        long = np.array([len(w[2]) > quote for w in self.windows], bool)
-        #: Of the windows of a quote's length at most, and of the longer ones: the least number of known q-grams, and the letters that hold them.
-        self.least = [(int(self.need[x].min()), (window if x is long else quote) + int(self.slack[x].max())) for x in (~long, long) if x.any()]
         #: Half a band as a power of two of at least k + 1 diagonals, so that two neighbouring halves hold any k + 1 of them.
         self.shift = np.array([int(k).bit_length() for k in self.slack], np.int64)
 
     def search(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(window, start, end, distance) of the matching places in x, one a window and region."""
         h = grams(x)
-        seen = self.filter[(h >> np.uint64(64 - FILTER)).astype(np.int64)]
-        if not self.windows or seen.sum() < min(self.least)[0]:
-            return []
-        # only stretches of a place's length that have the least number of known q-grams
-        upto = np.concatenate(([0], np.cumsum(seen)))
-        change = np.zeros(len(seen) + 1, np.int32)
-        for least, reach in self.least:
-            stretch = min(reach, len(seen))
-            dense = np.flatnonzero(upto[stretch:] - upto[:-stretch] >= least)
-            change[dense] += 1  # each once
-            change[dense + stretch] -= 1
-        if not change.any():
+        at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER)).astype(np.int64)])
+        if not self.windows or len(at) < self.need.min():
             return []
-        at = np.flatnonzero(seen & (np.cumsum(change[:-1]) > 0))
         h = h[at]
         low, high = np.searchsorted(self.hash, h, "left"), np.searchsorted(self.hash, h, "right")
         n = high - low
@@ -141,7 +145,7 @@ class Index:
         if not len(at):
             return []
         hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        owner, place, spot = self.owner[hit], self.place[hit], np.repeat(at, n)
+        owner, place, spot = self.owner[hit].astype(np.int64), self.place[hit].astype(np.int64), np.repeat(at, n)
         half = (spot - place + 4096) >> self.shift[owner]
         # a hit counts in the two bands that its half belongs to
         keys = np.concatenate((owner << 40 | half, owner << 40 | (half - 1)))
@@ -169,6 +173,127 @@ class Index:
         return out
 
 
+def short_grams(x: np.ndarray) -> np.ndarray:
+    """A hash of 32 bits of the q-gram at each place, for the bitmap."""
+    h, size, power = x, 1, 0x4C957F2D
+    while size < Q:
+        h = h[:-size] * np.uint32(power) + h[size:]
+        size, power = 2 * size, power * power % (1 << 32)
+    h = h * np.uint32(0x9E3779B1)
+    return h ^ (h >> np.uint32(15))
+
+
+class Known:
+    """The bitmap of a benchmark's q-grams, and for some lengths of windows the least number of known q-grams and the letters that hold them."""
+
+    def __init__(self, bits: int, bitmap: np.ndarray, lengths: list[int]):
+        self.bits, self.bitmap, self.least = bits, bitmap, []
+        low = 0
+        for high in LENGTHS:
+            of = [m for m in lengths if low < m <= high]
+            if of:
+                self.least.append((min(needed(m, slack_of(m)) for m in of), max(m + slack_of(m) for m in of)))
+            low = high
+
+    def dense(self, x: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of x that may hold a match, each with the letters around it that an alignment may look at."""
+        if len(x) < Q or not self.least:
+            return []
+        h = short_grams(x) >> np.uint32(32 - self.bits)
+        seen = (self.bitmap[h >> np.uint32(3)] >> (h & np.uint32(7)).astype(np.uint8)) & np.uint8(1)
+        upto = np.zeros(len(seen) + 1, np.int32)
+        np.cumsum(seen, out=upto[1:])
+        if upto[-1] < min(self.least)[0]:
+            return []
+        found = []
+        for least, reach in self.least:
+            stretch = min(reach, len(seen))
+            starts = np.flatnonzero(upto[stretch:] - upto[:-stretch] >= least)
+            if len(starts):  # runs of starts, one stretch each
+                cut = np.flatnonzero(np.diff(starts) > 2 * WINDOW + stretch) + 1
+                found += [(int(p[0]) - 2 * WINDOW, int(p[-1]) + stretch + Q + 2 * WINDOW) for p in np.split(starts, cut)]
+        return _merged([(max(0, s), min(len(x), e)) for s, e in found])
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
+def known(benchmark: DataFrame) -> Known:
+    """The bitmap of the items, of 2 ** MOST bits at most; about 16 bits a letter where that is less."""
+    total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(MOST, max(FILTER, math.ceil(math.log2(16 * total + 1))))
+    size = (1 << bits) // 8
+
+    def mark(batches):
+        bitmap, lengths = np.zeros(size, np.uint8), set()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                x = letters(fold(text))
+                lengths |= {e - s for s, e in windows(x)}
+                if len(x) >= Q:
+                    h = short_grams(x) >> np.uint32(32 - bits)
+                    np.bitwise_or.at(bitmap, h >> np.uint32(3), np.uint8(1) << (h & np.uint32(7)).astype(np.uint8))
+        rows = [(-m, None) for m in sorted(lengths)]
+        rows += [(i // BITMAP_BLOCK, bitmap[i : i + BITMAP_BLOCK].tobytes()) for i in range(0, size, BITMAP_BLOCK) if bitmap[i : i + BITMAP_BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["i", "block"])
+
+    def unite(batches):
+        blocks: dict = {}
+        for b in batches:
+            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                blocks[i] = raw and np.frombuffer(raw, np.uint8) | blocks.get(i, np.uint8(0))
+        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([v if v is None else v.tobytes() for v in blocks.values()], pa.binary())], ["i", "block"])
+
+    bitmap, lengths = np.zeros(size, np.uint8), set()
+    for r in benchmark.select(benchmark["text"]).mapInArrow(mark, "i int, block binary").repartition("i").mapInArrow(unite, "i int, block binary").collect():  # the bitmap and WINDOW rows
+        if r["block"] is None:
+            lengths.add(-r["i"])
+        else:
+            bitmap[r["i"] * BITMAP_BLOCK : (r["i"] + 1) * BITMAP_BLOCK] = np.frombuffer(r["block"], np.uint8)
+    return Known(bits, bitmap, sorted(lengths))
+
+
+def pieces(of: Known, texts: list[str | None]) -> list[list[tuple[int, str]]]:
+    """Of each text the stretches that may hold a match: where they begin in the folded text, and what they are."""
+    folded = [fold(t) for t in texts]
+    out: list[list] = [[] for _ in texts]
+    held: list[tuple[int, int, int]] = []  # document, start, end
+
+    def scan():
+        if not held:
+            return
+        x = letters("\0".join(folded[d][s:e] for d, s, e in held))
+        place = np.cumsum([0, *(e - s + 1 for _, s, e in held)])
+        for low, high in of.dense(x):
+            first, last = np.searchsorted(place, [low, high - 1], "right") - 1
+            for i in range(first, min(last, len(held) - 1) + 1):
+                d, s, e = held[i]
+                begin = max(low - int(place[i]), 0)
+                end = min(high - int(place[i]), e - s)
+                if end - begin >= Q:
+                    out[d].append((s + begin, s + end))
+        held.clear()
+
+    size = 0
+    for d, t in enumerate(folded):
+        for s in range(0, max(1, len(t)), AT_ONCE):  # parts overlap by more than a window and its edits
+            begin, end = max(0, s - 2 * WINDOW), min(len(t), s + AT_ONCE)
+            held.append((d, begin, end))
+            size += end - begin
+            if size >= AT_ONCE:
+                scan()
+                size = 0
+    scan()
+    return [[(s, folded[d][s:e]) for s, e in _merged(spans)] for d, spans in enumerate(out)]
+
+
 def slices(benchmark: DataFrame, size: int = SLICE) -> Iterator[list[tuple[int, str]]]:
     """The items, in lists of about size letters; one list is on the driver at a time when they are iterated."""
     now, held = [], 0
@@ -183,43 +308,75 @@ def slices(benchmark: DataFrame, size: int = SLICE) -> Iterator[list[tuple[int,
         yield now
 
 
+#: The index of the slice that this process searched last.
+_INDEX: dict[str, Index] = {}
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row a document and item that match: doc_id, item_id, start and end (in the folded text, of the nearest window), distance,
     windows (how many of the item's match)."""
     spark = docs.sparkSession
     ship(spark)
+    filter_ = spark.sparkContext.broadcast(known(benchmark))  # 2 ** MOST bits at most
+
+    def scan(batches):
+        for b in batches:
+            rows = [(doc, p) for doc, p in zip(b.column(0).to_pylist(), pieces(filter_.value, b.column(1).to_pylist()), strict=True) if p]
+            if rows:
+                cols = [pa.array([d for d, _ in rows], pa.int64()), pa.array([[s for s, _ in p] for _, p in rows], pa.list_(pa.int32())), pa.array([[t for _, t in p] for _, p in rows], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "at", "texts"])
+
     cols = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    found = park(cols.mapInArrow(scan, "doc_id long, at array<int>, texts array<string>"))
+    filter_.destroy()
     schema = "doc_id long, item_id long, start int, end int, distance int, windows int"
-    found = spark.createDataFrame([], schema)
-    for items in slices(benchmark):
-        shared = spark.sparkContext.broadcast(Index(items))  # of SLICE letters at most and the last item
+    out, parked, sent = [], [], []
+
+    def settle():
+        if out:
+            every = out[0]
+            for x in out[1:]:
+                every = every.unionByName(x)
+            parked.append(park(every))
+            out.clear()
+            while sent:
+                sent.pop().destroy()
 
-        def run(batches, shared=shared):
-            index = shared.value
+    for items in slices(benchmark):
+        shared = spark.sparkContext.broadcast(items)  # SLICE letters and the last item
+        sent.append(shared)
+
+        def search(batches, shared=shared, name=uuid.uuid4().hex):
+            if name not in _INDEX:
+                _INDEX.clear()
+                _INDEX[name] = Index(shared.value)
+            index = _INDEX[name]
             for b in batches:
-                out: list[tuple] = []
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows: list[tuple] = []
+                for doc, at, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     best: dict = {}
-                    for w, start, end, d in _whole(index, letters(fold(text))):
-                        item = index.windows[w][0]
-                        old = best.get(item)
-                        names = (old[3] if old else set()) | {index.windows[w][1]}
-                        best[item] = (*min((d, start, end), old[:3] if old else (d, start, end)), names)
-                    out += [(doc, item, s, e, d, len(names)) for item, (d, s, e, names) in sorted(best.items(), key=lambda x: (x[0] is None, x[0]))]
-                if out:
+                    for begin, text in zip(at, texts, strict=True):
+                        for w, start, end, d in index.search(letters(text)):
+                            item = index.windows[w][0]
+                            old = best.get(item)
+                            new = (d, start + begin, end + begin)
+                            best[item] = (*min(new, old[:3] if old else new), (old[3] if old else set()) | {index.windows[w][1]})
+                    rows += [(doc, item, s, e, d, len(names)) for item, (d, s, e, names) in sorted(best.items(), key=lambda x: (x[0] is None, x[0]))]
+                if rows:
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start", "end", "distance", "windows"])
-
-        found = found.unionByName(cols.mapInArrow(run, schema))
-    return found
-
-
-def _whole(index: Index, x: np.ndarray):
-    """Matches in x, scanned in parts that overlap by more than a window and its edits."""
-    over = 2 * WINDOW
-    for start in range(0, max(len(x), 1), AT_ONCE):
-        for w, s, e, d in index.search(x[max(0, start - over) : start + AT_ONCE]):
-            yield w, s + max(0, start - over), e + max(0, start - over), d
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start", "end", "distance", "windows"])
+
+        out.append(found.mapInArrow(search, schema))
+        if len(out) == TOGETHER:
+            settle()
+    settle()
+    discard(found)
+    if not parked:
+        return spark.createDataFrame([], schema)
+    every = parked[0]
+    for x in parked[1:]:
+        every = every.unionByName(x)
+    return every
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
