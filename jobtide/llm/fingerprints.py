@@ -9,7 +9,8 @@ occurrences it holds, a moved one those whose order it turns round. Likeness is
 either text fills; it falls with the edit distance.
 
 Occurrences are numbered without a shuffle: k-mers and their places are packed in longs and sorted within the text, and the
-number of an occurrence is found by galloping back over equal ones.
+number of an occurrence is found by galloping back over equal ones. A place has 28 bits, so a text may have 268 million words (2 GB of
+longs, which a task must hold in any case); words beyond that would share places with the first ones.
 
 Defined results: a null text counts as empty; a text without words has an empty fingerprint of BINS blanks, which is like another
 such one (1) and unlike all others (0); repeated rows and ties in doc_id are ordered by the text's hash; an empty table gives an empty
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .base import MAX_SMALL, broadcast_if_small, park
 
 K, BINS, PLACE_BITS, BLANK = 5, 64, 28, 0
-#: Documents that one window orders.
-RANGE = 4096
+#: Documents that one window orders, and bounds of the ranges that a plan holds at most; there, a range is cut in pieces of equal width.
+RANGE, MOST = 4096, 32_768
 
 
 def _hold(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -66,7 +67,7 @@ def _packed(x: str, number: str, place: int) -> str:
 def _back() -> str:
     """How many elements before i in _s are of x's k-mer: they stand together, so steps of halved length find their first place."""
     same = f"shiftright(_s[i - a - h], {PLACE_BITS}) = shiftright(x, {PLACE_BITS})"
-    steps = "transform(sequence(0, 24), j -> cast(shiftleft(1, 24 - j) AS int))"
+    steps = "transform(sequence(0, 27), j -> cast(shiftleft(1, 27 - j) AS int))"
     return f"aggregate({steps}, 0, (a, h) -> CASE WHEN i - a - h >= 0 AND {same} THEN a + h ELSE a END)"
 
 
@@ -84,44 +85,66 @@ def text_of(parts: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(x == BLANK, "-" * 8).otherwise(digits(x))), "")
 
 
-def _range(bounds: list[int]) -> Column:
-    """The range of _id between the bounds, in the order of descending _id; nulls have the last."""
-
-    def tree(low: int, high: int) -> Column:  # the number of bounds that are at most _id, by halving
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("_id") >= bounds[mid], tree(mid + 1, high)).otherwise(tree(low, mid))
-
-    return F.when(F.col("_id").isNull(), F.lit(1)).otherwise(-tree(0, len(bounds)))
-
-
-def with_guests(rows: DataFrame, bounds: list[int]) -> DataFrame:
-    """rows (_id, _t) with _range and _guest: the first row of each range is a guest in the range before it, after all of that
-    one's own rows, and the first row of all in the last range. So the next row of any row is in its own range."""
-    rows = rows.withColumn("_range", _range(bounds)).withColumn("_guest", F.lit(False))
-    first = rows.groupBy("_range").agg(F.min(F.struct(F.bitwise_not("_id").alias("d"), F.xxhash64("_t").alias("h"))).alias("f"))
-    ring = Window.orderBy("_range")  # a row a range
-    hosts = F.coalesce(F.lag("_range").over(ring), F.max("_range").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    first = park(first.select(hosts.alias("_host"), F.bitwise_not("f.d").alias("d"), F.col("f.h").alias("h")))
-    guests = rows.join(broadcast_if_small(first, MAX_SMALL), F.col("_id").eqNullSafe(F.col("d")) & (F.xxhash64("_t") == F.col("h"))).dropDuplicates(["_host"])
-    return rows.unionByName(guests.select("_id", "_t", F.col("_host").alias("_range"), F.lit(True).alias("_guest")))
-
-
-def range_bounds(df: DataFrame, rows: int = RANGE) -> list[int]:
-    """Values of _id that cut df in ranges of about so many rows, 8 * RANGE ranges at most."""
-    n = df.filter("_id IS NOT NULL").count()
-    parts = min(max(n // rows, 1), 8 * RANGE)
-    if parts == 1:
-        return []
-    found = df.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0]
-    return sorted(set(found or []))
+class Ranges:
+    """Ranges of about RANGE rows in the order of descending _id, nulls last: parts of equal numbers of rows between bounds (MOST of them at most,
+    a literal array that is searched by halving), each cut in subs pieces of equal width; rows without an id in pieces by their text's hash."""
+
+    def __init__(self, bounds: list[int], low: int, high: int, subs: int):
+        self.bounds, self.low, self.high, self.subs = bounds, low, high, subs
+
+    @classmethod
+    def of(cls, df: DataFrame, rows: int = RANGE, most: int = MOST) -> Ranges:
+        n, low, high = df.agg(F.count("_id"), F.min("_id"), F.max("_id")).first()
+        parts = min(max(n // rows, 1), most)
+        found = [] if parts == 1 else df.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)], max(10_000, 4 * parts))).first()[0]
+        return cls(sorted(set(found or [])), low or 0, high or 0, max(1, -(-n // (rows * parts))) if n > rows else 1)
+
+    def columns(self) -> tuple[Column, Column]:
+        """The part and the piece of a row, both ascending in the order."""
+        edges = [self.low, *self.bounds, self.high + 1 if self.high < (1 << 63) - 1 else self.high]
+        array = f"cast(split('{','.join(map(str, edges))}', ',') AS array<bigint>)"
+        steps = f"array({', '.join(str(1 << i) for i in reversed(range(max(len(edges) - 1, 1).bit_length())))})"
+        last = len(edges) - 1
+        at = F.expr(f"aggregate({steps}, 0, (a, s) -> CASE WHEN a + s < {last} AND {array}[a + s] <= _id THEN a + s ELSE a END)")
+        null = F.col("_id").isNull()
+        if self.subs == 1:
+            return F.when(null, F.lit(1)).otherwise(-at), F.when(null, F.shiftright(F.xxhash64("_t"), 56).cast("int")).otherwise(F.lit(0))
+        part = F.when(~null, at)
+        lo, hi = F.expr(f"{array}[{{0}}]".replace("{0}", "_part")), F.expr(f"{array}[{{0}}]".replace("{0}", "_part + 1"))
+        wide = hi.cast("double") - lo.cast("double")
+        piece = F.least(F.floor((F.col("_id").cast("double") - lo.cast("double")) / F.greatest(wide, F.lit(1.0)) * self.subs), F.lit(self.subs - 1)).cast("int")
+        return part, piece
+
+
+def with_guests(rows: DataFrame, ranges: Ranges) -> DataFrame:
+    """rows (_id, _t) with _range, _piece and _guest: the first row of each piece is a guest in the piece before it, after all of that
+    one's own rows, and the first row of all in the last piece. So the next row of any row is in its own piece."""
+    part, piece = ranges.columns()
+    null = F.col("_id").isNull()
+    if ranges.subs == 1:
+        rows = rows.withColumn("_range", part).withColumn("_piece", piece)
+    else:
+        rows = rows.withColumn("_part", part).withColumn("_piece", F.when(null, F.shiftright(F.xxhash64("_t"), 56).cast("int")).otherwise(-piece))
+        rows = rows.withColumn("_range", F.when(null, F.lit(1)).otherwise(-F.col("_part"))).drop("_part")
+    rows = rows.withColumn("_guest", F.lit(False)).select("_id", "_t", "_range", "_piece", "_guest")
+    first = park(rows.groupBy("_range", "_piece").agg(F.min(F.struct(F.bitwise_not("_id").alias("d"), F.xxhash64("_t").alias("h"))).alias("f")))
+    ring, all_ = Window.orderBy("_range"), Window.partitionBy(F.lit(0))
+    parts = first.groupBy("_range").agg(F.max("_piece").alias("_end"))  # a row a part, MOST + 1 at most
+    parts = parts.withColumn("_before", F.lag(F.struct("_range", "_end")).over(ring)).withColumn("_final", F.max(F.struct("_range", "_end")).over(all_))
+    inner = F.lag("_piece").over(Window.partitionBy("_range").orderBy("_piece"))
+    hosts = first.withColumn("_last", inner).join(F.broadcast(parts), "_range")
+    other = F.coalesce("_before", "_final")
+    host = F.when(F.col("_last").isNotNull(), F.struct(F.col("_range"), F.col("_last").alias("_end"))).otherwise(other)
+    hosts = park(hosts.select(host.alias("_host"), F.bitwise_not("f.d").alias("d"), F.col("f.h").alias("h")))
+    guests = rows.join(broadcast_if_small(hosts, MAX_SMALL), F.col("_id").eqNullSafe(F.col("d")) & (F.xxhash64("_t") == F.col("h"))).dropDuplicates(["_host"])
+    out = rows.unionByName(guests.select("_id", "_t", F.col("_host._range").alias("_range"), F.col("_host._end").alias("_piece"), F.lit(True).alias("_guest")))
+    return out
 
 
 def op8(docs: DataFrame) -> DataFrame:
     rows = docs.select(docs["doc_id"].cast("long").alias("_id"), F.coalesce(docs["text"], F.lit("")).alias("_t"))
-    rows = fingerprint(with_guests(rows, range_bounds(rows.select("_id"))), "_t", "_fp")
-    window = Window.partitionBy("_range").orderBy("_guest", F.col("_id").desc_nulls_last(), F.xxhash64("_t"), "_t")
+    rows = fingerprint(with_guests(rows, Ranges.of(rows.select("_id"))), "_t", "_fp")
+    window = Window.partitionBy("_range", "_piece").orderBy("_guest", F.col("_id").desc_nulls_last(), F.xxhash64("_t"), "_t")
     rows = rows.withColumn("next__t", F.lead("_t").over(window)).withColumn("next__fp", F.lead("_fp").over(window)).filter("NOT _guest")
     n = F.length("_t")
     third = F.floor(n / 3).cast("int")

@@ -8,7 +8,8 @@ off by an empty line, items have their marks and indents, preformatted text stay
 in columns.
 
 Defined results: null or empty markup gives an empty text; markup that ends within a tag or a comment loses that tag or comment;
-nesting may be of any depth (the walk has its own stack; tables nested deeper than TABLES are set as plain blocks);
+nesting may be of any depth (the walk has its own stack; tables are set from the innermost on); a very long page is one page like any other, whose
+tree must fit in a task; extra columns are not looked at;
 repeated rows are rendered each; an empty table gives an empty table.
 """
 
@@ -22,7 +23,9 @@ from pyspark.sql import DataFrame
 
 from .base import ship
 
-TABLES, CELL_GAP = 8, "  "
+CELL_GAP = "  "
+#: The most columns and rows that a cell may span.
+ACROSS, DOWN = 1000, 65_534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -306,7 +309,8 @@ def _wrap(children: list, parent: Node) -> Node:
     return out
 
 
-def _table(table: Node, depth: int) -> tuple[list[Node], list[str]]:
+def _table(table: Node, done: dict[int, list[str]]) -> list[str]:
+    """The lines of a table, its captions first; done has those of the tables within it."""
     captions, rows = _cells(table)
     grid: list[list[str]] = []
     down: dict[int, int] = {}  # columns that a cell above still holds
@@ -320,8 +324,8 @@ def _table(table: Node, depth: int) -> tuple[list[Node], list[str]]:
 
         for cell in row:
             skip()
-            text = " ".join(" ".join(x.split()) for x in _lines(cell.children, depth + 1) if x.strip())
-            across, deep = _number(cell.get("colspan")), _number(cell.get("rowspan"))
+            text = " ".join(" ".join(x.split()) for x in _lines(cell.children, done) if x.strip())
+            across, deep = _number(cell.get("colspan"), ACROSS), _number(cell.get("rowspan"), DOWN)
             for i in range(across):
                 down[len(line)] = deep - 1
                 line.append("" if i else text)
@@ -330,14 +334,15 @@ def _table(table: Node, depth: int) -> tuple[list[Node], list[str]]:
     grid = [x for x in grid if any(x)]
     width = [max((len(x[i]) for x in grid if i < len(x)), default=0) for i in range(max(map(len, grid), default=0))]
     keep = [i for i, w in enumerate(width) if w]
-    return captions, [CELL_GAP.join((x[i] if i < len(x) else "").ljust(width[i]) for i in keep).rstrip() for x in grid]
+    above = [y for c in captions for y in _lines([c], done) if y.strip()]
+    return above + [CELL_GAP.join((x[i] if i < len(x) else "").ljust(width[i]) for i in keep).rstrip() for x in grid]
 
 
-def _number(value: str | None) -> int:
-    return min(max(int(value), 1), 1000) if value and value.strip().isdecimal() else 1
+def _number(value: str | None, most: int) -> int:
+    return min(max(int(value[:9]), 1), most) if value and value.strip().isdecimal() else 1
 
 
-def _lines(children: list, depth: int) -> list[str]:
+def _lines(children: list, tables: dict[int, list[str]]) -> list[str]:
     flow, stack = _Flow(), [(x, 0) for x in reversed(children)]
     counters: list[int | None] = []
     while stack:
@@ -366,12 +371,9 @@ def _lines(children: list, depth: int) -> list[str]:
             body = _plain(x)
             flow.whole((body[1:] if body[:1] == "\n" else body).rstrip().split("\n") if body.strip() else [])
             flow.block(2)
-        elif tag == "table" and depth < TABLES:
+        elif tag == "table":
             flow.block(2)
-            captions, rows = _table(x, depth)
-            for c in captions:
-                flow.whole([y for y in _lines([c], depth + 1) if y.strip()] if not isinstance(c, str) else [c])
-            flow.whole(rows)
+            flow.whole(tables.pop(id(x), []))
             flow.block(2)
         elif tag in BLOCK:
             flow.block(2 if tag in APART and not (tag in ("ul", "ol", "menu") and counters) else 1)
@@ -407,7 +409,15 @@ def render(markup: str | None) -> str:
     root = build(markup)
     if not root.visible:
         return ""
-    lines = _lines(root.children, 0)
+    found, stack, tables = [], [root], {}
+    while stack:  # a table comes before those within it
+        x = stack.pop()
+        if x.tag == "table":
+            found.append(x)
+        stack += [c for c in reversed(x.children) if isinstance(c, Node) and c.visible]
+    for x in reversed(found):
+        tables[id(x)] = _table(x, tables)
+    lines = _lines(root.children, tables)
     while lines and not lines[-1].strip():
         lines.pop()
     return "\n".join(x.rstrip() for x in lines).lstrip("\n")

@@ -12,8 +12,8 @@ The trigram model is fitted on about FIT_ROWS labelled documents, chosen by a ha
 each language at least, or all it has. Every labelled language is kept.
 
 Defined results: a page without text, declaration and known host gets the prior's language; a null url or markup is no evidence; ties
-go to the first language by name; without labelled documents every language is null; repeated rows are judged each; an empty
-table gives an empty table.
+go to the first language by name; without labelled documents every language is null; repeated rows are judged each; a page of any length is
+judged whole; an empty table gives an empty table; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -119,22 +119,24 @@ def identify(pages: DataFrame, model: Model | None) -> DataFrame:
     names, L = model.languages, len(model.languages)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats a language
 
+    def lists(rows: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, L), pa.int32()), pa.array(rows.ravel()))
+
     def run(batches):
         m = shared.value
         for b in batches:
             urls, markups = b.column(1).to_pylist(), b.column(2).to_pylist()
             texts = [render(x) for x in markups]
             parts = [address(u) for u in urls]
-            like = [m.likelihood(t).tolist() for t in texts]
-            cols = [b.column(0), *[pa.array([p[i] for p in parts], pa.string()) for i in range(3)], pa.array(list(map(declared, markups)), pa.string()), pa.array(like, pa.list_(pa.float64())), pa.array([bool(t) for t in texts])]
-            yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "domain", "suffix", "declared", "like", "has_text"])
+            like = np.array([m.likelihood(t) for t in texts], float).reshape(-1, L)
+            raw = np.exp(like) * m.share
+            post = raw / raw.sum(1, keepdims=True)
+            cols = [b.column(0), *[pa.array([p[i] for p in parts], pa.string()) for i in range(3)], pa.array(list(map(declared, markups)), pa.string()), lists(like), lists(post), pa.array([bool(t) for t in texts])]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "domain", "suffix", "declared", "like", "post", "has_text"])
 
     cols = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string"), pages["html"].cast("string"))
-    seen = park(cols.mapInArrow(run, "page_id long, host string, domain string, suffix string, declared string, like array<double>, has_text boolean"))
-    prior = F.array(*[F.lit(float(x)) for x in model.share])
-    raw = F.transform(F.arrays_zip(F.col("like").alias("l"), prior.alias("p")), lambda z: F.exp(z["l"]) * z["p"])
-    seen = seen.withColumn("raw", raw).withColumn("mass", F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)).withColumn("post", F.transform("raw", lambda x: x / F.col("mass"))).drop("raw", "mass")
-
+    seen = park(cols.mapInArrow(run, "page_id long, host string, domain string, suffix string, declared string, like array<double>, post array<double>, has_text boolean"))
+    shared.destroy()
     sums = [F.sum(F.col("post")[i]).alias(f"s{i}") for i in range(L)]
     vector = F.array(*[f"s{i}" for i in range(L)])
 
@@ -142,33 +144,49 @@ def identify(pages: DataFrame, model: Model | None) -> DataFrame:
         return park(seen.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*keys).agg(*sums).select(*keys, vector.alias(name)))
 
     hosts, domains, suffixes, marks = table(["host", "domain"], "by_host"), table(["domain"], "by_domain"), table(["suffix"], "by_suffix"), table(["declared"], "by_mark")
-    whole = seen.agg(*sums).select(vector.alias("all_pages"))  # one row
-    none = F.array(*[F.lit(0.0)] * L)
+    every = np.array([x or 0.0 for x in seen.agg(*sums).first()])  # a number a language
+    kinds = {"by_suffix": suffixes.count(), "by_mark": marks.count()}
     x = seen.join(broadcast_if_small(hosts, MAX_SMALL), ["host", "domain"], "left").join(broadcast_if_small(domains, MAX_SMALL), ["domain"], "left")
-    x = x.join(broadcast_if_small(suffixes, MAX_SMALL), ["suffix"], "left").join(broadcast_if_small(marks, MAX_SMALL), ["declared"], "left").crossJoin(F.broadcast(whole))
-    kinds = {"suffix": suffixes.count(), "mark": marks.count()}
-
-    def logs(i: int):
-        at = lambda c: F.coalesce(F.col(c), none)[i]
-        total = lambda c: F.aggregate(F.coalesce(F.col(c), none), F.lit(0.0), lambda a, v: a + v)
-        own = F.col("post")[i]
-        rest = lambda c: F.greatest(at(c) - own, F.lit(0.0))
-        size = lambda c: F.greatest(total(c) - 1, F.lit(0.0))
-        base = (F.col("all_pages")[i] + SMOOTH) / (total("all_pages") + SMOOTH * L)
-        domain = (rest("by_domain") + PULL * base) / (size("by_domain") + PULL)
-        host = (rest("by_host") + PULL * domain) / (size("by_host") + PULL)
-        given = lambda c, n: F.when(F.col(c).isNull(), F.lit(0.0)).otherwise(F.log((rest(c) + SMOOTH) / (F.col("all_pages")[i] + SMOOTH * (n + 1))))
-        return F.col("like")[i] + given("by_mark", kinds["mark"]) + given("by_suffix", kinds["suffix"]) + F.log(host)
-
-    x = x.withColumn("score", F.array(*[logs(i) for i in range(L)])).withColumn("top", F.array_max("score"))
-    x = x.withColumn("confidence", 1 / F.aggregate("score", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top"))))
-    label = F.array(*map(F.lit, names))
-    text = F.when(F.col("has_text"), F.element_at(label, F.array_position("like", F.array_max("like")).cast("int")))
-    out = x.select("page_id", F.element_at(label, F.array_position("score", F.col("top")).cast("int")).alias("lang"), "confidence", text.alias("text_lang"), "declared", "host")
-    out = park(out)
+    x = x.join(broadcast_if_small(suffixes, MAX_SMALL), ["suffix"], "left").join(broadcast_if_small(marks, MAX_SMALL), ["declared"], "left")
+
+    def fuse(batches):
+        for b in batches:
+            page, mark, host = b.columns[:3]
+            has_text = b.column(3).to_numpy(zero_copy_only=False)
+            sums_of = {}
+            for name, c in zip(("like", "post", "by_host", "by_domain", "by_suffix", "by_mark"), b.columns[4:], strict=True):
+                there = c.is_valid().to_numpy(zero_copy_only=False)
+                sums_of[name] = np.zeros((b.num_rows, L))
+                sums_of[name][there] = c.flatten().to_numpy(zero_copy_only=False).reshape(-1, L)
+                sums_of[f"{name}?"] = there
+            score = scores(sums_of, every, kinds)
+            top = score.max(1, keepdims=True)
+            best = score.argmax(1) if b.num_rows else np.zeros(0, int)
+            text = sums_of["like"].argmax(1) if b.num_rows else best
+            cols = [page, pa.array([names[i] for i in best], pa.string()), pa.array(1 / np.exp(score - top).sum(1)), pa.array([names[i] if t else None for i, t in zip(text, has_text, strict=True)], pa.string()), mark, host]
+            yield pa.RecordBatch.from_arrays(cols, ["page_id", "lang", "confidence", "text_lang", "declared", "host"])
+
+    out = x.select("page_id", "declared", "host", "has_text", "like", "post", "by_host", "by_domain", "by_suffix", "by_mark")
+    out = park(out.mapInArrow(fuse, "page_id long, lang string, confidence double, text_lang string, declared string, host string"))
     discard(seen, hosts, domains, suffixes, marks)
     return out
 
 
+def scores(x: dict[str, np.ndarray], every: np.ndarray, kinds: dict[str, int]) -> np.ndarray:
+    """Log posteriors but for a constant, a row a page: like and post of its text, and the sums of its host, domain, suffix and declaration
+    (zeros where there is none), of which its own share is taken out; every has the sums of all pages, kinds how many suffixes and
+    declarations there are."""
+    rest = lambda c: np.maximum(x[c] - x["post"], 0)
+    size = lambda c: np.maximum(x[c].sum(1, keepdims=True) - 1, 0)
+    base = (every + SMOOTH) / (every.sum() + SMOOTH * len(every))
+    domain = (rest("by_domain") + PULL * base) / (size("by_domain") + PULL)
+    host = (rest("by_host") + PULL * domain) / (size("by_host") + PULL)
+    out = x["like"] + np.log(host)
+    for c, n in kinds.items():
+        given = np.log((rest(c) + SMOOTH) / (every + SMOOTH * (n + 1)))
+        out += np.where(x[f"{c}?"][:, None], given, 0)
+    return out
+
+
 def op6(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return identify(pages, fit(docs))

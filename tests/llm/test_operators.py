@@ -18,7 +18,7 @@ from jobtide.llm import base, binary, decontamination, fingerprints, html, jacca
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names the operators use themselves.
-CLASH = {"size": 7, "row": "x", "r": 1, "key": 2, "shard_": 3, "score": 0.5}
+CLASH = {c: 7 for c in ("size", "row", "r", "key", "shard_", "score", "gone", "col", "block", "k1", "j", "i", "id", "t1", "node", "weight", "small", "up", "rate", "sid", "many", "copies", "_range", "_t", "bad", "label", "bytes")}
 
 
 def words(text):
@@ -76,6 +76,18 @@ def test_mixing(docs, corpus, none):
     assert mixing.op1(none).count() == 0
 
 
+def test_mixed_equal_rows(spark):
+    """A third of all rows is one row: its copies are dealt evenly and come near the target."""
+    rows = [(7, "one two three four five", "en", "a", 1)] * 500 + [(i, f"text {i} of some words", "en", "ab"[i % 2], 1) for i in range(1000)]
+    got = mixing.op1(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 1500
+    same = [r["taken"] for r in got if r["doc_id"] == 7]
+    assert max(same) - min(same) <= 5
+    for s in "ab":
+        of = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= 5 and all(r["taken"] <= 2 * r["size"] for r in of)
+
+
 def test_mixed_rows(docs):
     got = mixing.mixed(docs)
     assert got.columns == docs.columns
@@ -178,6 +190,12 @@ def test_html(markup, text):
 
 def test_html_depth_and_table(spark):
     assert html.render("<div>" * 20_000 + "deep") == "deep" and "x" in html.render("<table><tr><td>" * 200 + "x")
+    deep = "<table><tr><td>a<td>" * 12 + "x" + "</table>" * 12
+    assert html.render(deep).split() == ["a"] * 12 + ["x"]
+    aligned = "<table><tr><td>l<td>" * 11 + "<table><tr><td>one<td>2<tr><td>3<td>four</table>" + "</table>" * 11
+    assert "one 2 3 four" in html.render(aligned)  # cells of cells are one line, at any depth
+    tall = html.render("<table><tr><td rowspan=2000>s<td>0" + "".join(f"<tr><td>{i}" for i in range(1, 1500)) + "</table>").split("\n")
+    assert tall[0] == "s  0" and tall[1400] == "   1400"
     pages = spark.createDataFrame([(1, "u", "<p>x"), (2, None, None), (2, "u", ""), (None, "u", "y")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted((r["page_id"] or 0, r["text"]) for r in html.op4(pages).collect()) == [(0, "y"), (1, "x"), (2, ""), (2, "")]
     assert html.op4(pages.limit(0)).count() == 0
@@ -223,9 +241,49 @@ def test_decontamination(spark, sf_dir):
     assert decontamination.matches(docs, bad).count() == 0
 
 
-def test_slices_find_the_same(spark, sf_dir):
+def test_slices_find_the_same(spark, sf_dir, monkeypatch):
+    """Many slices and short parts of texts, whose seams cut matches, find what one slice and whole texts do."""
     bench = base.load(spark, sf_dir, "benchmark")
     assert sum(len(x) for x in decontamination.slices(bench, 500)) == bench.count() and len(list(decontamination.slices(bench, 500))) > 1
+    items = [r["text"] for r in bench.limit(6).collect()]
+    rng = random.Random(8)
+    filler = " ".join(rng.choice("lorem ipsum dolor sit amet consectetur elit sed eiusmod tempor".split()) for _ in range(300))
+    rows = [(i, filler[: 60 * i] + " " + items[i % 6] + " " + filler + items[(i + 1) % 6]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, decontamination.matches(docs, bench).collect()))
+    assert len(whole) >= 60
+    monkeypatch.setattr(decontamination, "AT_ONCE", 700)
+    monkeypatch.setattr(decontamination, "TOGETHER", 2)
+    monkeypatch.setattr(decontamination, "slices", lambda b, real=decontamination.slices: real(b, 5000))
+    assert sorted(map(tuple, decontamination.matches(docs, bench).collect())) == whole
+
+
+def test_pieces_hold_every_match():
+    """The scan by the bitmap loses nothing that the search of the whole text finds; excerpts of a long item of each length and place."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    item = " ".join(word() for _ in range(110))[:600]
+    short = [" ".join(word() for _ in range(n)) for n in (2, 3, 5, 9)]
+    items = [(0, item), *enumerate(short, 1)]
+    index = decontamination.Index(items)
+    lengths = {e - s for _, x in items for s, e in decontamination.windows(decontamination.letters(decontamination.fold(x)))}
+    bitmaps = {q: np.zeros(1 << 19, np.uint8) for q in (8, 10)}
+    for _, x in items:
+        for q, bitmap in bitmaps.items():
+            h = decontamination.short_grams(decontamination.letters(decontamination.fold(x)), q) >> np.uint32(10)
+            np.bitwise_or.at(bitmap, h >> np.uint32(3), np.uint8(1) << (h & np.uint32(7)).astype(np.uint8))
+    known = decontamination.Known(22, bitmaps, sorted(lengths))
+    assert set(known.least) == {8, 10}
+    noise = " ".join(word() for _ in range(400))
+    texts = []
+    for size in (74, 80, 100, 120, 140, 160):
+        texts += [noise[:200] + item[s : s + size] + noise[300:700] for s in range(0, len(item) - size, 7)]
+    texts += [noise + edit(x, decontamination.slack_of(len(x)), rng) + noise for x in short for _ in range(5)] + [noise, "", None, "é" * 300]
+    for text, found in zip(texts, decontamination.pieces(known, texts), strict=True):
+        whole = {(index.windows[w][0], s, e) for w, s, e, _ in index.search(decontamination.letters(decontamination.fold(text)))}
+        assert whole == {(index.windows[w][0], s + at, e + at) for at, part in found for w, s, e, _ in index.search(decontamination.letters(part))}
+    n = len(texts) - 24
+    assert all(any(index.windows[w][0] == 0 for w, *_ in index.search(decontamination.letters(decontamination.fold(t)))) for t in texts[:n])  # no blind spot from 74 letters on
 
 
 def test_language(spark, sf_dir):
@@ -242,6 +300,40 @@ def test_language(spark, sf_dir):
     assert langid.identify(pages.limit(0), model).count() == 0 and {r["lang"] for r in langid.identify(pages, langid.fit(docs.limit(0))).collect()} == {None}
 
 
+def test_evidence_is_fused(spark):
+    """Languages and confidences against the formula, page by page, with the other pages of its host, domain, suffix and declaration."""
+    docs = base.load(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit(docs)
+    L, rng = len(model.languages), random.Random(11)
+    texts = [r["text"][:120] for r in docs.filter("n_chars > 200").orderBy("doc_id").limit(30).collect()]
+    rows = [(i, rng.choice(["http://a.x.de/en/p", "http://b.x.de/", "https://y.fr/fr/1", "http://z.co.uk", None, "no url"]), rng.choice(["<html lang=de>", "<html lang='fr'>", "", "<html>"]) + rng.choice([*texts, ""])) for i in range(60)] + [(60, None, None)]
+    got = {r["page_id"]: r for r in langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
+    like, post, keys = [], [], []
+    for _, url, markup in rows:
+        like.append(model.likelihood(html.render(markup)))
+        raw = np.exp(like[-1]) * model.share
+        post.append(raw / raw.sum())
+        host, domain, suffix = langid.address(url)
+        keys.append({"host": (host, domain) if host else None, "domain": domain, "suffix": suffix, "mark": langid.declared(markup)})
+    every = sum(post)
+    for i, (page, *_) in enumerate(rows):
+        others = {k: [post[j] for j in range(len(rows)) if j != i and keys[j][k] == keys[i][k] and keys[i][k]] for k in keys[i]}
+        n = {k: len({x[k] for x in keys if x[k]}) for k in ("suffix", "mark")}
+        score = np.zeros(L)
+        for c in range(L):
+            of = lambda k, c=c: sum(p[c] for p in others[k])
+            prior = (every[c] + 0.5) / (every.sum() + 0.5 * L)
+            prior = (of("domain") + 5 * prior) / (len(others["domain"]) + 5)
+            prior = (of("host") + 5 * prior) / (len(others["host"]) + 5)
+            score[c] = like[i][c] + np.log(prior)
+            for k in ("suffix", "mark"):
+                if keys[i][k]:
+                    score[c] += np.log((of(k) + 0.5) / (every[c] + 0.5 * (n[k] + 1)))
+        chance = np.exp(score - score.max())
+        assert got[page]["confidence"] == pytest.approx((chance / chance.sum()).max(), rel=1e-6)
+        assert got[page]["lang"] == model.languages[int(score.argmax())]
+
+
 def test_address():
     assert langid.address("https://u@Blog.X.co.uk:80/EN/a?b") == ("blog.x.co.uk", "co.uk", "uk/en") and langid.address(None) == (None, None, None)
 
@@ -288,16 +380,86 @@ def test_jaccard(spark, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
-def test_jaccard_rounds(spark, monkeypatch):
-    """Many rows that share columns but link in chains: leaders of one row a round."""
-    monkeypatch.setattr(jaccard, "LEADERS", 1)
-    monkeypatch.setattr(jaccard, "PAIRS", 1)
+def test_jaccard_parts(spark, monkeypatch):
+    """Blocks that are cut: rows that share columns and link in chains, a family of near copies, hot columns in several parts."""
+    monkeypatch.setattr(jaccard, "BLOCK", 600)
+    monkeypatch.setattr(jaccard, "ROW", 4)
+    rng = random.Random(2)
     rows = [(i, " ".join(f"t{j}" for j in range(3 * i, 3 * i + 30))) for i in range(12)] + [(100 + i, " ".join(f"t{j}" for j in range(i, i + 22))) for i in range(10)]
+    for k in (200, 300):  # two families around one text
+        parent = [f"p{j}" for j in range(20)] + [f"q{k}{j}" for j in range(5)]
+        rows += [(k + i, " ".join(parent + [f"x{rng.randrange(40)}" for _ in range(rng.randrange(3))])) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df, 1, 80).collect())
     assert got == brute_components(rows, 1, 80)
 
 
+def test_jaccard_hot_columns(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_salts", lambda counter: np.full(np.shape(counter), 3))
+    rows = [(i, " ".join(f"t{j}" for j in range(2 * (i % 20), 2 * (i % 20) + 25)) + f" u{i % 25}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df, 1, 80).collect())
+    assert got == brute_components(rows, 1, 80)
+
+
+@pytest.mark.parametrize("n", range(1, 7))
+def test_few_words(n):
+    """Groups of texts of 0 to 6 words each, and all together."""
+    texts = [" ".join("abcdefg"[:k]) for k in range(7)]
+    together = [len(x) for x in jaccard.rows_of(texts, n)]
+    assert together == [max(k - n + 1, min(k, 1)) for k in range(7)]
+    assert together == [len(jaccard.rows_of([t], n)[0]) for t in texts]
+
+
+def test_words_are_told_apart():
+    """Regular words, of which a polynomial modulo a power of two takes some for equal, and words on both sides of LONG."""
+    thue = lambda k, x="a", y="b": x if not k else thue(k - 1, x, y) + thue(k - 1, y, x)
+    words_ = [thue(k, *p) for k in range(4, 14) for p in ("ab", "ba")] + ["x" * k for k in range(250, 262)]
+    found = [x[0] for x in jaccard.rows_of(words_, 1)]
+    assert len(set(found)) == len(words_)
+    assert [x[0] for w in words_ for x in jaccard.rows_of([w], 1)] == found
+    together = jaccard.rows_of([" ".join(words_ * 40)], 1)[0]  # over AT_ONCE bytes
+    assert len(" ".join(words_ * 40)) > jaccard.AT_ONCE and set(together.tolist()) == set(int(x) for x in found)
+
+
+@pytest.mark.parametrize("m", [2, 7, 60, 300])
+def test_product_of_a_block(m):
+    """The forest of a block against all pairs, with columns that few and that many rows hold."""
+    rng = np.random.default_rng(m)
+    base_ = [rng.choice(5000, 60, replace=False) for _ in range(max(2, m // 20))]
+    cells = []
+    for i in range(m):
+        row = base_[i % len(base_)].copy()
+        row[: rng.integers(0, 9)] += 10_000 + i
+        cells.append(np.unique(np.concatenate((row, np.arange(9000, 9000 + rng.integers(0, 12))))).astype(np.uint64))
+    side = rng.integers(0, 3, m)
+    for apart in ((), (side,)):
+        up = list(range(m))
+
+        def top(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for i in range(m):
+            for j in range(i):
+                both = len(np.intersect1d(cells[i], cells[j]))
+                if 100 * both >= 80 * (len(cells[i]) + len(cells[j]) - both) and (not apart or side[i] != side[j]):
+                    up[top(i)] = top(j)
+        edges = jaccard.linked(cells, 80, apart)
+        two = list(range(m))
+        for i, j in edges:
+            assert top(i, two) != top(j, two)  # a forest
+            two[top(i, two)] = top(j, two)
+        assert len({(top(i), top(i, two)) for i in range(m)}) == len({top(i) for i in range(m)}) == len({top(i, two) for i in range(m)})
+
+
+def test_jaccard_as_in_sql(spark, sf_dir):
+    from tests.oracle import compare, connect
+
+    compare(spark, connect(sf_dir), sf_dir, queries.QUERIES["op7_jaccard"], queries.ORACLE["op7_jaccard"])
+
+
 def test_components_both_ways(spark, monkeypatch):
     rng = random.Random(9)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1020)]
@@ -315,6 +477,16 @@ def test_one_each(docs, none):
     assert jaccard.one_each(none).count() == 0
 
 
+def test_one_each_goes_by_row(spark):
+    w = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(3, w), (5, w), (5, "something else altogether in every way and word here"), (None, w), (None, "lone words of a row without any number at all"), (None, None), (None, None), (8, ""), (8, ""), (9, "tail of it " * 3), (9, "tail of it " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("gone", "row", "c", "d", "_d", "stays", "h1", "n", "first")})
+    kept = jaccard.one_each(df)
+    assert kept.columns == df.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert got == collections.Counter([rows[0], rows[2], rows[3], rows[4], rows[5], rows[6], rows[7], rows[8], rows[9]])
+
+
 def test_fingerprints(spark, docs, corpus, none):
     got = fingerprints.op8(docs).collect()
     assert len(got) == len(corpus)
@@ -336,6 +508,58 @@ def test_fingerprints(spark, docs, corpus, none):
     assert fingerprints.op8(few).first()["near_next"] == 1.0
 
 
+@pytest.mark.parametrize(("rows_a_range", "most"), [(12, 1000), (7, 3), (3, 1)])
+def test_fingerprints_by_ranges(spark, corpus, monkeypatch, rows_a_range, most):
+    """Many ranges, and few that are cut in pieces: the same as one range. With nulls, repeated ids and an uneven spread of ids."""
+    rows = [(r[0], r[1]) for r in corpus if len(r[1] or "") < 2000]
+    rows += [(None, f"n{i} of none") for i in range(9)] + [(5, "again"), (5, "again"), (1 << 60, "far " * 9), (-(1 << 60), "low end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    whole = collections.Counter(map(tuple, fingerprints.op8(df).collect()))
+    real = fingerprints.Ranges.of.__func__
+    monkeypatch.setattr(fingerprints.Ranges, "of", classmethod(lambda cls, x: real(cls, x, rows_a_range, most)))
+    assert collections.Counter(map(tuple, fingerprints.op8(df).collect())) == whole
+
+
+def signature(text):
+    """The fingerprint by plain Python over the hashes that Spark gives: xxhash64 with its seed of 42."""
+    import xxhash
+
+    def chain_(values):
+        h = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else (v & ((1 << 64) - 1)).to_bytes(8, "little") if not isinstance(v, tuple) else v[0].to_bytes(4, "little")
+            h = xxhash.xxh64_intdigest(raw, h)
+        return h
+
+    low = (1 << 28) - 1
+    w = [chain_([x]) for x in re.split(" +", text.translate(str.maketrans("\t\n\x0b\f\r", "     ")).strip(" "))]
+    if w == [chain_([""])]:
+        return "-" * 512
+    grams = [(chain_(w) << 28) & ((1 << 64) - 1)] if len(w) < 5 else [(chain_(w[i : i + 5]) & ~low) | i for i in range(len(w) - 4)]
+    seen, occurrences = collections.Counter(), []
+    for g in sorted(grams, key=lambda x: x - (1 << 64) if x >> 63 else x):
+        kmer, n = g & ~low, seen[g >> 28]
+        seen[g >> 28] += 1
+        occurrences.append((chain_([kmer >> 28, (n,)]) & ~low) | (g & low))
+    r = sorted(occurrences, key=lambda x: x - (1 << 64) if x >> 63 else x)
+    parts = ["-" * 8] * 64
+    for i, x in enumerate(r):
+        if i and r[i - 1] >> 58 == x >> 58:
+            continue
+        after = r[(i + 1) % len(r)]
+        pair = [x >> 28] if len(r) == 1 else [x >> 28, after >> 28] if after & low > x & low else [after >> 28, x >> 28]
+        parts[x >> 58] = f"{chain_(pair) >> 32 | 1:08x}"
+    return "".join(parts)
+
+
+def test_fingerprints_are_recomputed(spark, corpus):
+    """Occurrences in order of place, two smallest a bin, tuples hashed: each fingerprint against plain Python."""
+    rows = [(i, t) for i, (_, t, *_) in enumerate(corpus) if len(t or "") < 20_000] + [(900, "a " * 40), (901, "one two"), (902, "a b c d e"), (903, " x \t y ")]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.op8(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i] == signature(t or ""), (i, (t or "")[:60])
+
+
 def test_fingerprint_is_order_minhash(spark):
     """Against a plain version that shares the hashes' order only in spirit: likeness falls with edits and with moved halves."""
     rng = random.Random(2)
@@ -376,6 +600,32 @@ def test_token_ids(docs, corpus, vocabulary, library, none):
     assert ids.tolist() == [x for t in HARD for x in [*library.encode(t, add_special_tokens=False).ids, 2]] and n.sum() == len(ids)
 
 
+def test_token_ids_in_many_shards(spark, vocabulary, library, tmp_path):
+    """Shards of few texts, a text longer than a shard by itself, null and repeated ids: files, sizes and the whole read back."""
+    rows = [(i, f"text {i} " * 40) for i in range(205)] + [(100, "long one " * 2000), (None, "no id"), (7, "again"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "ids")
+    binary.write_shards(df, vocabulary, path, shard_text=3000)
+    size = {}
+    for r in spark.read.parquet(path).collect():
+        shard = binary.Shard.from_bytes(bytes(r["payload"]))
+        size[(r["first_doc"], r["last_doc"], r["seq"])] = len(shard.doc_ids), r["n_tokens"]
+    assert len(size) >= 205 * 350 // 3000
+    assert [n for n, tokens in size.values() if tokens > 3000] == [1]
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0), r["start"], r["n_tokens"], r["ids_crc32"]) for r in binary.read_shards(spark, path).collect())
+    start, n, total = 0, 0, 0
+    want = collections.Counter()
+    for i, t in rows:
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        want[(i is not None, i or 0), len(ids), zlib.crc32(ids.tobytes())] += 1
+        total += len(ids)
+    assert collections.Counter((k, n, c) for k, _, n, c in got) == want
+    for _, at, n, _ in sorted(got, key=lambda x: x[1]):
+        assert at == start
+        start += n
+    assert start == total and [k for k, *_ in sorted(got, key=lambda x: x[1])] == [k for k, *_ in got]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(4)
     ids = np.concatenate([rng.integers(0, 50_257, 3000), rng.integers(0, 5, 9000)]).astype(np.uint16)
@@ -410,8 +660,50 @@ def test_shards(docs, corpus, none):
         place[t].add(r["shard"])
     assert all(len(v) == 1 for v in place.values())
     assert sharding.op10(none).count() == 0
-    out = sharding.sharded(docs)
-    assert out.columns == [*docs.columns, "shard", "slot"] and out.count() == len(corpus)
+    old = docs.withColumns({"shard": F.lit(99), "Slot": F.lit("x")})
+    out = sharding.sharded(old)
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    assert sorted((r["shard"], r["slot"]) for r in out.collect()) == sorted((r["shard"], r["slot"]) for r in got)
+
+
+def tree(units, shards):
+    """The k-d tree on the driver: units are (weight, coordinates); the leaf of each unit. Exact weighted quantiles."""
+    if shards == 1 or not units:
+        return {u: 0 for u in units}
+    wide = [max(u[1][d] >> 40 for u in units) - min(u[1][d] >> 40 for u in units) for d in range(4)]
+    d = wide.index(max(wide))
+    order, left, goal, upto, n = sorted(units, key=lambda u: u[1][d]), shards // 2, sum(u[0] for u in units) * (shards // 2) / shards, 0, 0
+    while n < len(order) and upto + order[n][0] < goal:
+        upto, n = upto + order[n][0], n + 1
+    if n < len(order) and upto + order[n][0] - goal <= goal - upto:
+        n += 1
+    return tree(order[:n], left) | {u: left + x for u, x in tree(order[n:], shards - left).items()}
+
+
+@pytest.mark.parametrize(("shards", "bins"), [(8, 1 << 14), (5, 16), (1, 16)])
+def test_shards_are_the_trees(spark, monkeypatch, shards, bins):
+    """Widest dimensions and weighted medians against a tree built from all units at once."""
+    monkeypatch.setattr(sharding, "BINS", bins)
+    monkeypatch.setattr(sharding, "FINE", 0.0)
+    rng = random.Random(shards)
+    rows = [(i, "x" * int(2 ** rng.uniform(0, 9)) + str(i // 2), rng.choice(["en", "de", None]), rng.choice(["a", "b", None])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    text = F.col("text")
+    units = sharding.groups(docs.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("size"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")), 0, 199).collect()
+    want = {r["t1"]: None for r in units}
+    by = {(r["weight"], tuple(r[d] for d in sharding.DIMENSIONS), r["t1"]): r["t1"] for r in units}
+    for u, leaf in tree(list(by), shards).items():
+        want[by[u]] = leaf
+    got = {r["t1"]: r["shard"] for r in sharding.shard(docs, shards).collect()}
+    assert got == want and len(set(got.values())) == shards
+
+
+def test_shards_of_target_bytes(spark):
+    docs = spark.createDataFrame([(i, f"{i} " * 50, "en", "s") for i in range(100)], DOCS.replace(", n_chars long", ""))
+    got = sharding.shard(docs, None, 4000).groupBy("shard").agg(F.sum("size").alias("s")).collect()
+    assert len(got) == 4 and max(r["s"] for r in got) < 5000
+    one = spark.createDataFrame([(None, "a" * 300_000, None, None), (None, None, None, None), (None, "", None, None)], DOCS.replace(", n_chars long", ""))
+    assert sharding.shard(one, None, 4000).count() == 3
 
 
 def test_shards_are_even(spark):
