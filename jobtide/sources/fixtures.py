@@ -110,16 +110,30 @@ INSTANCE_COLUMNS = (
 )
 
 
+def small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a relation that the planner sees through: no job reads it, and joins with it are broadcast."""
+
+    def text(x) -> str:
+        if isinstance(x, (list, tuple)):
+            return f"{'array' if isinstance(x, list) else 'struct'}({', '.join(map(text, x))})"
+        return "NULL" if x is None else str(x) if isinstance(x, (bool, int, float)) else "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    kinds = spark.createDataFrame([], schema).dtypes
+    names = [f"c{i}" for i in range(len(kinds))]
+    typed = ", ".join(f"CAST({c} AS {t}) AS `{n}`" for c, (n, t) in zip(names, kinds, strict=True))
+    return spark.sql(f"SELECT {typed} FROM VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)} AS t({', '.join(names)})")
+
+
 def queue_meta(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUEUE_META, QUEUE_META_COLUMNS)
+    return small(spark, QUEUE_META, QUEUE_META_COLUMNS)
 
 
 def descriptors(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(DESCRIPTORS, DESCRIPTOR_COLUMNS).withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp_ntz"))
+    return small(spark, DESCRIPTORS, DESCRIPTOR_COLUMNS).withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp_ntz"))
 
 
 def instances(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(INSTANCES, INSTANCE_COLUMNS).withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp_ntz"))
+    return small(spark, INSTANCES, INSTANCE_COLUMNS).withColumn("last_seen_at", F.col("last_seen_at").cast("timestamp_ntz"))
 
 
 def _literal(x) -> str:
