@@ -7,8 +7,9 @@ shares at least m + 1 - (k + 1) Q q-grams with the window, all within k diagonal
 counted in bands of 2 k + 2 diagonals (more precisely of a power of two that is as large), each of which overlaps the next by half;
 regions below the bound go, the others are verified by a banded alignment, free at both ends in the document.
 
-Documents are scanned once, whole, in Arrow batches, whatever the benchmark's size: a bitmap of all of the benchmark's q-grams (of
-bounded size, put together by the executors) leaves the stretches that hold as many known q-grams as any window asks for. These
+Documents are scanned once, whole, in Arrow batches, whatever the benchmark's size: bitmaps of all of the benchmark's q-grams (of
+bounded size, put together by the executors) leave the stretches that hold as many known q-grams as any window asks for. The lemma holds
+for any q, so the bitmaps are of longer q-grams, which fewer other texts share, where the windows are long enough to ask for one. These
 pieces of text are parked and searched with the windows themselves, whose texts travel in slices of SLICE letters; a larger
 benchmark takes more passes over the pieces, which are few.
 
@@ -35,8 +36,9 @@ Q, WINDOW, QUOTE, STRIDE, EDITS, SLICE = 8, 120, 60, 15, 0.08, 1 << 19
 #: Bits of the bitmap's places at least and at most, bytes of one of its blocks, letters that are scanned at once, slices whose finds are
 #: put together at once.
 FILTER, MOST, BITMAP_BLOCK, AT_ONCE, TOGETHER = 22, 28, 1 << 16, 1 << 18, 16
-#: Lengths of windows that share a bound, up to each.
-LENGTHS = (11, 15, 23, 31, 47, 59, QUOTE, 90, WINDOW)
+#: Lengths of windows that share a bound, up to each; the lengths of q-grams that the bitmaps know; the letters around a stretch that an
+#: alignment may look at; blanks between pieces that are searched together, more than a band spans.
+LENGTHS, LONGER, AROUND, APART = (11, 15, 23, 31, 47, 59, QUOTE, 90, WINDOW), 10, 80, 200
 _BASE, _SPREAD = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,6 +136,14 @@ class Index:
 
     def search(self, x: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(window, start, end, distance) of the matching places in x, one a window and region."""
+        return [m[1:] for m in self.search_all([x])]
+
+    def search_all(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """(text, window, start, end, distance) of the matching places in texts, which are searched as one, set apart by more letters than a
+        band spans."""
+        blank = np.zeros(APART, np.uint32)
+        begins = np.cumsum([0, *(len(t) + APART for t in texts)])
+        x = np.concatenate([y for t in texts for y in (t, blank)]) if texts else blank
         h = grams(x)
         at = np.flatnonzero(self.filter[(h >> np.uint64(64 - FILTER)).astype(np.int64)])
         if not self.windows or len(at) < self.need.min():
@@ -150,68 +160,75 @@ class Index:
         # a hit counts in the two bands that its half belongs to
         keys = np.concatenate((owner << 40 | half, owner << 40 | (half - 1)))
         firsts = np.concatenate((spot - place, spot - place))
+        spots = np.concatenate((spot, spot))
         order = np.argsort(keys, kind="stable")
-        keys, firsts = keys[order], firsts[order]
+        keys, firsts, spots = keys[order], firsts[order], spots[order]
         edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         count = np.diff(np.append(edge, len(keys)))
+        good = count >= self.need[keys[edge] >> 40]
         out = []
-        for e, c in zip(edge.tolist(), count.tolist(), strict=True):
+        for e in edge[good].tolist():
             w = int(keys[e] >> 40)
-            if c < self.need[w]:
-                continue
             _, _, part, k, _ = self.windows[w]
+            text = int(np.searchsorted(begins, spots[e], "right")) - 1
+            first, last = int(begins[text]), int(begins[text]) + len(texts[text])
             s = int(firsts[e])
-            if s >= 0 and np.array_equal(x[s : s + len(part)], part):  # verbatim
-                out.append((w, s, s + len(part), 0))
+            if s >= first and s + len(part) <= last and np.array_equal(x[s : s + len(part)], part):  # verbatim
+                out.append((text, w, s - first, s - first + len(part), 0))
                 continue
             band = int(keys[e] & ((1 << 40) - 1))
-            begin = max(0, (band << int(self.shift[w])) - 4096 - k)
-            end = min(len(x), ((band + 2) << int(self.shift[w])) - 4096 + len(part) + k)
+            begin = max(first, (band << int(self.shift[w])) - 4096 - k)
+            end = min(last, ((band + 2) << int(self.shift[w])) - 4096 + len(part) + k)
             d, stop = distance(part, x[begin:end], k)
             if d <= k:
-                out.append((w, max(0, begin + stop - len(part)), begin + stop, d))
+                out.append((text, w, max(0, begin - first + stop - len(part)), begin - first + stop, d))
         return out
 
 
-def short_grams(x: np.ndarray) -> np.ndarray:
-    """A hash of 32 bits of the q-gram at each place, for the bitmap."""
-    h, size, power = x, 1, 0x4C957F2D
-    while size < Q:
+def short_grams(x: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash of 32 bits of the q-gram at each place, for the bitmaps; x has q letters at least."""
+    out, done, h, size, power = None, 0, x, 1, 0x4C957F2D  # h has the hashes of size letters, out those of the last done letters
+    while True:
+        if q & size:
+            out = h if out is None else h[: len(h) - done] * np.uint32(pow(0x4C957F2D, done, 1 << 32)) + out[size:]
+            done += size
+        if 2 * size > q:
+            break
         h = h[:-size] * np.uint32(power) + h[size:]
         size, power = 2 * size, power * power % (1 << 32)
-    h = h * np.uint32(0x9E3779B1)
-    return h ^ (h >> np.uint32(15))
+    out = out * np.uint32(0x9E3779B1)
+    return out ^ (out >> np.uint32(15))
 
 
 class Known:
-    """The bitmap of a benchmark's q-grams, and for some lengths of windows the least number of known q-grams and the letters that hold them."""
+    """Bitmaps of a benchmark's q-grams, and for some lengths of windows q, the least number of known q-grams and the letters that hold them."""
 
-    def __init__(self, bits: int, bitmap: np.ndarray, lengths: list[int]):
-        self.bits, self.bitmap, self.least = bits, bitmap, []
+    def __init__(self, bits: int, bitmaps: dict[int, np.ndarray], lengths: list[int]):
+        self.bits, self.bitmaps, self.least = bits, bitmaps, {}
         low = 0
         for high in LENGTHS:
             of = [m for m in lengths if low < m <= high]
             if of:
-                self.least.append((min(needed(m, slack_of(m)) for m in of), max(m + slack_of(m) for m in of)))
+                q = LONGER if min(needed(m, slack_of(m), LONGER) for m in of) > 0 else Q
+                self.least.setdefault(q, []).append((min(needed(m, slack_of(m), q) for m in of), max(m + slack_of(m) for m in of)))
             low = high
 
     def dense(self, x: np.ndarray) -> list[tuple[int, int]]:
         """Stretches of x that may hold a match, each with the letters around it that an alignment may look at."""
-        if len(x) < Q or not self.least:
-            return []
-        h = short_grams(x) >> np.uint32(32 - self.bits)
-        seen = (self.bitmap[h >> np.uint32(3)] >> (h & np.uint32(7)).astype(np.uint8)) & np.uint8(1)
-        upto = np.zeros(len(seen) + 1, np.int32)
-        np.cumsum(seen, out=upto[1:])
-        if upto[-1] < min(self.least)[0]:
-            return []
         found = []
-        for least, reach in self.least:
-            stretch = min(reach, len(seen))
-            starts = np.flatnonzero(upto[stretch:] - upto[:-stretch] >= least)
-            if len(starts):  # runs of starts, one stretch each
-                cut = np.flatnonzero(np.diff(starts) > 2 * WINDOW + stretch) + 1
-                found += [(int(p[0]) - 2 * WINDOW, int(p[-1]) + stretch + Q + 2 * WINDOW) for p in np.split(starts, cut)]
+        for q, classes in self.least.items():
+            if len(x) < q:
+                continue
+            h = short_grams(x, q) >> np.uint32(32 - self.bits)
+            seen = (self.bitmaps[q][h >> np.uint32(3)] >> (h & np.uint32(7)).astype(np.uint8)) & np.uint8(1)
+            upto = np.zeros(len(seen) + 1, np.int32)
+            np.cumsum(seen, out=upto[1:])
+            for least, reach in classes:
+                stretch = min(reach, len(seen))
+                starts = np.flatnonzero(upto[stretch:] - upto[:-stretch] >= least) if upto[-1] >= least else ()
+                if len(starts):  # runs of starts, one stretch each
+                    cut = np.flatnonzero(np.diff(starts) > 2 * AROUND + stretch) + 1
+                    found += [(int(r[0]) - AROUND, int(r[-1]) + stretch + q + AROUND) for r in np.split(starts, cut)]
         return _merged([(max(0, s), min(len(x), e)) for s, e in found])
 
 
@@ -226,38 +243,43 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def known(benchmark: DataFrame) -> Known:
-    """The bitmap of the items, of 2 ** MOST bits at most; about 16 bits a letter where that is less."""
+    """The bitmaps of the items, of 2 ** MOST bits at most each; about 16 bits a letter where that is less."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = min(MOST, max(FILTER, math.ceil(math.log2(16 * total + 1))))
     size = (1 << bits) // 8
 
     def mark(batches):
-        bitmap, lengths = np.zeros(size, np.uint8), set()
+        bitmaps, lengths = {q: np.zeros(size, np.uint8) for q in (Q, LONGER)}, set()
         for b in batches:
             for text in b.column(0).to_pylist():
                 x = letters(fold(text))
                 lengths |= {e - s for s, e in windows(x)}
-                if len(x) >= Q:
-                    h = short_grams(x) >> np.uint32(32 - bits)
-                    np.bitwise_or.at(bitmap, h >> np.uint32(3), np.uint8(1) << (h & np.uint32(7)).astype(np.uint8))
-        rows = [(-m, None) for m in sorted(lengths)]
-        rows += [(i // BITMAP_BLOCK, bitmap[i : i + BITMAP_BLOCK].tobytes()) for i in range(0, size, BITMAP_BLOCK) if bitmap[i : i + BITMAP_BLOCK].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["i", "block"])
+                for q, bitmap in bitmaps.items():
+                    if len(x) >= q:
+                        h = short_grams(x, q) >> np.uint32(32 - bits)
+                        np.bitwise_or.at(bitmap, h >> np.uint32(3), np.uint8(1) << (h & np.uint32(7)).astype(np.uint8))
+        rows = [(0, m, None) for m in sorted(lengths)]
+        for q, bitmap in bitmaps.items():
+            rows += [(q, i // BITMAP_BLOCK, bitmap[i : i + BITMAP_BLOCK].tobytes()) for i in range(0, size, BITMAP_BLOCK) if bitmap[i : i + BITMAP_BLOCK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["q", "i", "block"])
 
     def unite(batches):
         blocks: dict = {}
         for b in batches:
-            for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                blocks[i] = raw and np.frombuffer(raw, np.uint8) | blocks.get(i, np.uint8(0))
-        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([v if v is None else v.tobytes() for v in blocks.values()], pa.binary())], ["i", "block"])
+            for q, i, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                blocks[q, i] = raw and np.frombuffer(raw, np.uint8) | blocks.get((q, i), np.uint8(0))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in blocks], pa.int32()), pa.array([k[1] for k in blocks], pa.int32()), pa.array([v if v is None else v.tobytes() for v in blocks.values()], pa.binary())], ["q", "i", "block"])
 
-    bitmap, lengths = np.zeros(size, np.uint8), set()
-    for r in benchmark.select(benchmark["text"]).mapInArrow(mark, "i int, block binary").repartition("i").mapInArrow(unite, "i int, block binary").collect():  # the bitmap and WINDOW rows
+    bitmaps, lengths = {q: np.zeros(size, np.uint8) for q in (Q, LONGER)}, set()
+    schema = "q int, i int, block binary"
+    for r in benchmark.select(benchmark["text"]).mapInArrow(mark, schema).repartition("q", "i").mapInArrow(unite, schema).collect():  # the bitmaps and WINDOW rows
         if r["block"] is None:
-            lengths.add(-r["i"])
+            lengths.add(r["i"])
         else:
-            bitmap[r["i"] * BITMAP_BLOCK : (r["i"] + 1) * BITMAP_BLOCK] = np.frombuffer(r["block"], np.uint8)
-    return Known(bits, bitmap, sorted(lengths))
+            bitmaps[r["q"]][r["i"] * BITMAP_BLOCK : (r["i"] + 1) * BITMAP_BLOCK] = np.frombuffer(r["block"], np.uint8)
+    out = Known(bits, bitmaps, sorted(lengths))
+    out.bitmaps = {q: bitmaps[q] for q in out.least}
+    return out
 
 
 def pieces(of: Known, texts: list[str | None]) -> list[list[tuple[int, str]]]:
@@ -308,6 +330,19 @@ def slices(benchmark: DataFrame, size: int = SLICE) -> Iterator[list[tuple[int,
         yield now
 
 
+def _some(rows: list[tuple[int, int, str]]) -> Iterator[list[tuple[int, int, str]]]:
+    """rows in lists of about AT_ONCE letters."""
+    now, size = [], 0
+    for r in rows:
+        now.append(r)
+        size += len(r[2])
+        if size >= AT_ONCE:
+            yield now
+            now, size = [], 0
+    if now:
+        yield now
+
+
 #: The index of the slice that this process searched last.
 _INDEX: dict[str, Index] = {}
 
@@ -352,16 +387,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 _INDEX[name] = Index(shared.value)
             index = _INDEX[name]
             for b in batches:
-                rows: list[tuple] = []
-                for doc, at, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    best: dict = {}
-                    for begin, text in zip(at, texts, strict=True):
-                        for w, start, end, d in index.search(letters(text)):
-                            item = index.windows[w][0]
-                            old = best.get(item)
-                            new = (d, start + begin, end + begin)
-                            best[item] = (*min(new, old[:3] if old else new), (old[3] if old else set()) | {index.windows[w][1]})
-                    rows += [(doc, item, s, e, d, len(names)) for item, (d, s, e, names) in sorted(best.items(), key=lambda x: (x[0] is None, x[0]))]
+                docs_, best = b.column(0).to_pylist(), {}
+                for held in _some([(i, at, t) for i, (ats, ts) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) for at, t in zip(ats, ts, strict=True)]):
+                    for text, w, start, end, d in index.search_all([letters(t) for _, _, t in held]):
+                        i, begin, _ = held[text]
+                        key, new = (i, index.windows[w][0]), (d, start + begin, end + begin)
+                        old = best.get(key)
+                        best[key] = (*min(new, old[:3] if old else new), (old[3] if old else set()) | {index.windows[w][1]})
+                rows = [(docs_[i], item, s, e, d, len(names)) for (i, item), (d, s, e, names) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1]))]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start", "end", "distance", "windows"])
