@@ -5,8 +5,8 @@ first size - ceil(t * size) + 1 columns of each row, rare columns first), so the
 the product. Blocks whose smallest row is the same are one: near copies share many columns, yet meet once. The order of the columns
 comes from a sketch of fixed size, whose errors cost time, never a pair.
 
-In a block, pairs whose sizes are too far apart are discarded, and rows whose cells in 256 groups of columns (four times as many for each
-four times as many cells) can't overlap enough with any other row of the block. The rest bring all their cells: the block's part of the
+In a block, pairs whose sizes are too far apart are discarded, and rows whose cells in groups of columns (about as many groups as an eighth of
+the cells) can't overlap enough with any other row of the block. The rest bring all their cells: the block's part of the
 incidence matrix. Its product with its transpose is accumulated from the rare columns to the common ones; before the common ones
 come, and after each slab of them, pairs whose overlap so far plus what is left of the smaller row is below the bound of their sizes are
 discarded, and rows without a pair go. What is left at the bound is linked, and a block gives a spanning forest of its links,
@@ -43,9 +43,9 @@ from .base import MAX_SMALL, broadcast_if_small, discard, park, ship
 
 #: Links whose components one task finds.
 EDGES = 1 << 18
-#: Counters of the sketch and of one of its blocks, column groups of a row's profile, cells that a task gathers before it counts them,
+#: Counters of the sketch and of one of its blocks, cells of a group of columns in a row's profile, cells that a task gathers before it counts them,
 #: bytes of words hashed at once, bytes of a word that is hashed on its own.
-SKETCH, SKETCH_BLOCK, PROFILE, GATHERED, AT_ONCE, LONG = 1 << 21, 1 << 14, 256, 1 << 20, 1 << 20, 256
+SKETCH, SKETCH_BLOCK, PROFILE, GATHERED, AT_ONCE, LONG = 1 << 21, 1 << 14, 8, 1 << 19, 1 << 18, 256
 #: Cells of a block (a row counts ROW more), rows of a column that are looked at together, columns of a dense slab, pairs counted at once.
 BLOCK, ROW, HOT, SLAB, PAIRS = 1 << 19, 512, 2048, 1024, 1 << 20
 #: Two primes and two bases, drawn at random, of the words' hashes.
@@ -151,10 +151,10 @@ def _groups(texts: list[str | None], n: int):
 
 
 def profile(row: np.ndarray) -> bytes:
-    """Cells by group of columns, 255 at most: PROFILE groups for up to 16 PROFILE cells, four times as many for each four times that."""
-    bits = 8
-    while len(row) >> bits > 16 and bits < 20:
-        bits += 2
+    """Cells by group of columns, 255 at most: as many groups, a power of two, as leave each PROFILE cells at most on average."""
+    bits = 3
+    while len(row) >> bits >= PROFILE and bits < 24:
+        bits += 1
     return np.minimum(np.bincount((row >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -314,51 +314,69 @@ def _key() -> Column:
     return F.shiftleft(F.least(F.col("size"), F.lit((1 << 23) - 1)).cast("long"), 40).bitwiseOR(tail)
 
 
-def _parts(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Members (g, r, size) of blocks that needn't be cut; of the others the rows with their size class k and part, and their parts (g, k, parts)."""
+def _large(families: DataFrame) -> DataFrame | None:
+    """The families (g) that are cut; null if there is none."""
+    large = park(families.groupBy("g").agg(F.sum(F.col("size").cast("long") + ROW).alias("w")).filter(F.col("w") > BLOCK).select("g"))
+    return None if large.isEmpty() else broadcast_if_small(large, MAX_SMALL)
+
+
+def _sized(members: DataFrame, percent: int, *extra: Column) -> DataFrame:
+    """Members of families that aren't cut, without those whose neighbours by size in their family are both too far away."""
+    order = Window.partitionBy("g").orderBy("size")
+    near = lambda less, more: less * 100 >= more * percent
+    there = members.withColumns({"_prev": F.lag("size").over(order), "_next": F.lead("size").over(order)})
+    keep = F.coalesce(near(F.col("_prev"), F.col("size")), F.lit(False)) | F.coalesce(near(F.col("size"), F.col("_next")), F.lit(False))
+    for x in extra:
+        keep = keep & x
+    return there.filter(keep).drop("_prev", "_next")
+
+
+def _parts(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members of cut families with their size class k and part; the parts (g, k, parts)."""
     weight = F.col("size").cast("long") + ROW
-    large = park(members.groupBy("g").agg(F.sum(weight).alias("w")).filter(F.col("w") > BLOCK).select("g"))
-    if large.isEmpty():
-        return members, None, None
-    some = broadcast_if_small(large, MAX_SMALL)
     k = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("int")  # sizes near enough are a class apart at most
-    rows = members.join(some, "g", "left_semi").withColumn("k", k)
+    rows = rows.withColumn("k", k)
     parts = park(rows.groupBy("g", "k").agg(F.ceil(F.sum(weight) / F.lit(BLOCK / 2)).cast("int").alias("parts")))
     own = rows.join(broadcast_if_small(parts, MAX_SMALL), ["g", "k"]).withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")).drop("parts")
-    return members.join(some, "g", "left_anti"), own, parts
+    return own, parts
 
 
-def _first(families: DataFrame, percent: int) -> DataFrame:
+def _first(families: DataFrame, large: DataFrame | None, percent: int) -> DataFrame:
     """block, r of the first round."""
     best = families.groupBy("r").agg(F.min("g").alias("_least"))
-    members = park(families.join(best, "r").filter((F.col("g") == F.col("_least")) | (F.col("g") == _key())).select("g", "r", "size"))
-    whole, own, parts = _parts(members, percent)
-    out = whole.select(F.xxhash64("g").alias("block"), "r")
-    if own is not None:
-        # the smallest row is in every part whose sizes allow it
-        lead = own.filter(F.col("g") == _key()).select("g", "r", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
-        lead = lead.join(parts, ["g", "k"]).select("g", "r", "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        named = lambda df: df.select(F.xxhash64("g", "k", "part").alias("block"), "r")
-        out = out.unionByName(named(own)).unionByName(named(lead)).distinct()
-    return out
-
-
-def _second(families: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    members = families.join(best, "r").filter((F.col("g") == F.col("_least")) | (F.col("g") == _key())).select("g", "r", "size")
+    if large is None:
+        return _sized(members, percent).select(F.xxhash64("g").alias("block"), "r")
+    members = park(members)
+    own, parts = _parts(members.join(large, "g", "left_semi"), percent)
+    # the smallest row is in every part whose sizes allow it
+    lead = own.filter(F.col("g") == _key()).select("g", "r", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
+    lead = lead.join(parts, ["g", "k"]).select("g", "r", "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    named = lambda df: df.select(F.xxhash64("g", "k", "part").alias("block"), "r")
+    whole = _sized(members.join(large, "g", "left_anti"), percent).select(F.xxhash64("g").alias("block"), "r")
+    return whole.unionByName(named(own)).unionByName(named(lead)).distinct()
+
+
+def _second(families: DataFrame, large: DataFrame | None, comps: DataFrame, percent: int) -> DataFrame:
     """block, r, label, side of the second round: the blocks with several components, cut ones as every two parts whose sizes allow it; of two
     parts, rows of one side have met in their own part."""
-    label = park(families.join(comps, "r", "left").select("g", "r", "size", F.coalesce("c", "r").alias("label")))
-    mixed = park(label.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g"))
-    whole, own, parts = _parts(park(label.join(broadcast_if_small(mixed, MAX_SMALL), "g", "left_semi")), percent)
-    alone = F.xxhash64("r")
-    out = whole.select(F.xxhash64("g").alias("block"), "r", "label", alone.alias("side"))
-    if own is not None:
-        near = own.withColumn("l", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
-        other = parts.select("g", F.col("k").alias("l"), "parts")
-        met = near.join(broadcast_if_small(other, MAX_SMALL), ["g", "l"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        one, two = F.struct("k", "part"), F.struct(F.col("l").alias("k"), F.col("other").alias("part"))
-        side = F.when((F.col("l") == F.col("k")) & (F.col("other") == F.col("part")), alone).otherwise(F.xxhash64("k", "part"))
-        out = out.unionByName(met.select(F.xxhash64("g", F.least(one, two), F.greatest(one, two)).alias("block"), "r", "label", side.alias("side")))
-    return out
+    label = families.join(comps, "r", "left").select("g", "r", "size", F.coalesce("c", "r").alias("label"))
+    every, alone = Window.partitionBy("g"), F.xxhash64("r")
+    kinds = lambda df: df.withColumns({"_lo": F.min("label").over(every), "_hi": F.max("label").over(every)})
+    block = lambda df: _sized(kinds(df), percent, F.col("_lo") != F.col("_hi")).select(F.xxhash64("g").alias("block"), "r", "label", alone.alias("side"))
+    if large is None:
+        return block(label)
+    label = park(label)
+    cut = label.join(large, "g", "left_semi")
+    mixed = park(cut.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g"))
+    own, parts = _parts(cut.join(broadcast_if_small(mixed, MAX_SMALL), "g", "left_semi"), percent)
+    near = own.withColumn("l", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
+    other = parts.select("g", F.col("k").alias("l"), "parts")
+    met = near.join(broadcast_if_small(other, MAX_SMALL), ["g", "l"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one, two = F.struct("k", "part"), F.struct(F.col("l").alias("k"), F.col("other").alias("part"))
+    side = F.when((F.col("l") == F.col("k")) & (F.col("other") == F.col("part")), alone).otherwise(F.xxhash64("k", "part"))
+    met = met.select(F.xxhash64("g", F.least(one, two), F.greatest(one, two)).alias("block"), "r", "label", side.alias("side"))
+    return block(label.join(large, "g", "left_anti")).unionByName(met)
 
 
 def _by_block(df: DataFrame, task, schema: str) -> DataFrame:
@@ -600,6 +618,7 @@ def join(docs: DataFrame, n: int, percent: int, keys: bool = False) -> DataFrame
     profiles = survey.filter("kind = 0 AND block IS NOT NULL").select("r", "n_shingles", F.col("block").alias("profile")).dropDuplicates(["r"])
 
     families = _families(docs, _order(survey), n, percent)
+    large = _large(families)
     parked = [survey, families]
 
     def links(blocks: DataFrame, second: bool) -> DataFrame:
@@ -610,9 +629,9 @@ def join(docs: DataFrame, n: int, percent: int, keys: bool = False) -> DataFrame
         parked.append(found)
         return found
 
-    found = links(_first(families, percent), False)
+    found = links(_first(families, large, percent), False)
     comps = park(components(found))
-    more = links(_second(families, comps, percent), True)
+    more = links(_second(families, large, comps, percent), True)
     parked.append(comps)
     if not more.isEmpty():
         comps = park(components(found.unionByName(more)))
@@ -634,8 +653,8 @@ def one_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     doc_id but not the text are told apart."""
     found = join(docs, n, percent, keys=True).filter("c IS NOT NULL AND doc_id IS NOT NULL")
     key = F.struct("doc_id", "t1", "t2")
-    several = found.groupBy("c").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").select("c", "first")
-    judged = found.join(several, "c").groupBy("doc_id", "t1", "t2").agg(F.first(key == F.col("first")).alias("stays"), F.count("*").alias("n"))
+    several = park(found.groupBy("c").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1").select("c", "first"))
+    judged = found.join(broadcast_if_small(several, MAX_SMALL), "c").groupBy("doc_id", "t1", "t2").agg(F.first(key == F.col("first")).alias("stays"), F.count("*").alias("n"))
     judged = park(judged.filter("n > 1 OR NOT stays").select(F.col("doc_id").alias("_d"), F.col("t1").alias("_1"), F.col("t2").alias("_2"), "stays"))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("d"), F.xxhash64(docs["text"]).alias("h1"), F.xxhash64(F.lit(1), docs["text"]).alias("h2"))
     same = F.col("d").eqNullSafe(F.col("_d")) & (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2"))
