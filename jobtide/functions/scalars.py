@@ -120,10 +120,14 @@ def wait_seconds(created_at: Column, claimed_at: Column) -> Column:
     return F.when(s >= 0, s)
 
 
+def has_nul(text: Column) -> Column:
+    """Whether a text has a NUL, raw or escaped, in a key or a value at any depth."""
+    return F.contains(text, F.lit("\x00")) | F.contains(text, F.lit("\\u0000"))
+
+
 def without_nul(text: Column) -> Column:
-    """The text; an error where it has a NUL, raw or escaped."""
-    bad = F.contains(text, F.lit("\x00")) | F.contains(text, F.lit("\\u0000"))
-    return F.when(bad, F.raise_error(F.lit("NUL is not allowed"))).otherwise(text)
+    """The text; an error where it has a NUL."""
+    return F.when(has_nul(text), F.raise_error(F.lit("NUL is not allowed"))).otherwise(text)
 
 
 def pg_array(items: Column) -> Column:

@@ -14,6 +14,11 @@ def default_burst(rate: float, burst: float = 0) -> float:
     return burst if burst > 0 else max(1.0, math.ceil(rate))
 
 
+def burst_of(rate: Column, burst: Column) -> Column:
+    """default_burst by column."""
+    return F.when(burst > 0, burst).otherwise(F.greatest(F.lit(1.0), F.ceil(rate).cast("double")))
+
+
 def token_bucket(arrivals: DataFrame, rate: float, burst: float = 0) -> DataFrame:
     """arrivals (queue, ts, wanted) with granted: whole tokens of a bucket a queue that refills with time up to its burst.
 

@@ -13,6 +13,7 @@ from ..functions import blake, cron, rules
 from ..functions import scalars as S
 from ..model import plus
 from ..operators import batch as O
+from ..operators import control as C
 from ..operators import emission as E
 from ..operators import reads as R
 from ..operators import rebuild as B
@@ -196,6 +197,20 @@ def _(spark, sf):
     return plain(cron.owed_table(schedules(spark, sf), datetime.fromisoformat(NOW)))
 
 
+#: A schedule's step and offset in seconds, and the moments in seconds.
+STEPS = f"st AS (SELECT *, CASE k % 3 WHEN 0 THEN 900 WHEN 1 THEN 3600 ELSE 86400 END AS step, CASE k % 3 WHEN 2 THEN 23400 ELSE 0 END AS off, epoch_us(coalesce(last_enqueued_at, TIMESTAMP '{NOW}' - INTERVAL 1 DAY)) // 1000000 AS a, epoch_us(TIMESTAMP '{NOW}') // 1000000 AS b FROM sched)"
+
+
+@query("d35_next_fires", f"WITH {SCHEDULES}, {STEPS} SELECT name, (TIMESTAMP '1970-01-01' + to_seconds(off + step * ((b - off) // step + 1)))::VARCHAR AS next_fire FROM st")
+def _(spark, sf):
+    return plain(cron.fires_table(schedules(spark, sf), datetime.fromisoformat(NOW)).select("name", "next_fire"))
+
+
+@query("d36_latest_fires", f"WITH {SCHEDULES}, {STEPS} SELECT name, CASE WHEN off + step * ((b - off) // step) > a THEN (TIMESTAMP '1970-01-01' + to_seconds(off + step * ((b - off) // step)))::VARCHAR END AS latest_fire FROM st")
+def _(spark, sf):
+    return plain(cron.fires_table(schedules(spark, sf), datetime.fromisoformat(NOW)).select("name", "latest_fire"))
+
+
 @query("r14_evaluator", f"WITH {SCHEDULES}, {FIRES} SELECT s.name, coalesce(max(fire_at), any_value(last_enqueued_at))::VARCHAR AS last_enqueued_at, count(fire_at) AS jobs FROM sched s LEFT JOIN fires USING (name) GROUP BY s.name")
 def _(spark, sf):
     moved, jobs = H.evaluate(schedules(spark, sf), datetime.fromisoformat(NOW))
@@ -375,6 +390,41 @@ def _(spark, sf):
     return U.dispatch(X.jobs(spark, sf), X.queue_meta(spark), spark.createDataFrame(rows, "queue string, permits long, tokens double"), X.as_of())[0].filter("changed").select("id", "attempt")
 
 
+@query("r03_default_bursts", "SELECT r * 0.25 AS rate, b::DOUBLE AS burst, CASE WHEN b > 0 THEN b ELSE greatest(1, ceil(r * 0.25)) END::DOUBLE AS used FROM generate_series(0, 40) t(r), generate_series(0, 2) v(b)")
+def _(spark, sf):
+    grid = spark.range(41 * 3).select((F.floor(F.col("id") / 3) * 0.25).cast("double").alias("rate"), (F.col("id") % 3).cast("double").alias("burst"))
+    return grid.withColumn("used", C.burst_of(F.col("rate"), F.col("burst")))
+
+
+DEMAND = "d AS (SELECT 'q' || lpad(c_custkey::VARCHAR, 9, '0') AS queue, 1 + c_custkey % 4 AS weight, c_custkey % 30 AS wanted, c_custkey % 3 AS held FROM customer)"
+
+
+def demand(spark, sf):
+    k = F.col("c_custkey").cast("long")
+    return X.table(spark, sf, "customer").select(F.concat(F.lit("q"), F.lpad(k.cast("string"), 9, "0")).alias("queue"), (1 + k % 4).alias("weight"), (k % 30).alias("wanted"), (k % 3).alias("held"))
+
+
+@query(
+    "r04_weighted_queues",
+    f"""WITH {DEMAND}, s AS (SELECT *, ceil(100000 * weight / (sum(weight) OVER ()))::BIGINT AS share FROM d WHERE wanted > 0 OR held > 0), c AS (SELECT *, greatest(0, least(wanted, share - held)) AS could, 100000 - sum(held) OVER () AS free FROM s)
+    SELECT queue, share, greatest(0, least(could, free - coalesce(sum(could) OVER (ORDER BY queue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS granted FROM c""",
+)
+def _(spark, sf):
+    return C.weighted_grants(demand(spark, sf), 100_000).select("queue", "share", "granted")
+
+
+@query("r05_reserved_queues", f"WITH {DEMAND} SELECT queue, held AS reserved, greatest(0, 100000 - (SELECT sum(held) FROM d))::BIGINT AS overflow_pool FROM d")
+def _(spark, sf):
+    return C.reserved_permits(demand(spark, sf).select("queue", F.col("held").alias("reserved")), 100_000)
+
+
+@query("r06_effective_queues", f"WITH {DEMAND} SELECT queue, CASE WHEN held = 0 THEN weight * 10 ELSE 200 END AS poll_ms, CASE WHEN held = 1 AND wanted % 2 = 0 THEN NULL WHEN held = 1 THEN wanted * 1000 ELSE 300000 END AS deadline_ms FROM d")
+def _(spark, sf):
+    d = demand(spark, sf)
+    over = d.filter("held < 2").select("queue", F.when(F.col("held") == 0, F.col("weight") * 10).alias("poll_ms"), F.when(F.col("held") == 1, F.when(F.col("wanted") % 2 == 0, 0).otherwise(F.col("wanted") * 1000)).alias("deadline_ms"))
+    return C.effective_settings(d.select("queue", F.lit(200).cast("long").alias("poll_ms"), F.lit(300_000).cast("long").alias("deadline_ms")), over)
+
+
 @query("r08_heartbeat_batches", X.jobs_sql("SELECT id, kind, ((row_number() OVER (PARTITION BY kind ORDER BY id) - 1) // 50)::BIGINT AS batch FROM (SELECT id, CASE WHEN id % 3 = 0 THEN 'progress' ELSE 'heartbeat' END AS kind FROM jobs WHERE state = 'running')"))
 def _(spark, sf):
     j = X.jobs(spark, sf).filter("state = 'running'").select("id", "run_lease")
@@ -576,6 +626,13 @@ def _(spark, sf):
     return X.jobs(spark, sf).select("id", e["attempt"].alias("attempt"), e["error"].alias("error"), e["at"].cast("timestamp_ntz").cast("string").alias("at"), e["terminal"].alias("terminal"))
 
 
+@query("d28_nul_free", X.jobs_sql("SELECT id, id % 4 IN (1, 2) AS bad FROM jobs"))
+def _(spark, sf):
+    k = F.col("id") % 4
+    raw = F.when(k == 1, F.lit('{"a":{"b":["x\\u0000"]}}')).when(k == 2, F.concat(F.lit('{"k'), F.char(F.lit(0)), F.lit('":1}'))).when(k == 3, F.lit('{"a":"\\u0001"}')).otherwise(F.lit("{}"))
+    return X.jobs(spark, sf).select("id", S.has_nul(raw).alias("bad"))
+
+
 @query("d05_canonical_json", X.jobs_sql("SELECT id, '{\"a\":{\"c\":null,\"d\":[' || id || ',2]},\"b\":\"' || kind || '\"}' AS canonical FROM jobs"))
 def _(spark, sf):
     from pyspark.sql.functions import arrow_udf
