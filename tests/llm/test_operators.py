@@ -714,3 +714,25 @@ def test_shards_are_even(spark):
 
 def test_every_query_is_registered():
     assert [int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES] == list(range(1, 11))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class session:  # noqa: N801
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master, getCheckpointDir = "local-cluster[2,1,1024]", staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        base.shared_dir(session)
+
+
+def test_offsets_in_blocks(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *range(-5000, 5000)]), i, rng.randrange(9)) for i in range(400)]
+    got = {r["b"]: r["before"] for r in base.offsets(base.park(spark.createDataFrame(rows, "a long, b long, n long")), ["a", "b"], "n", "before").collect()}
+    total = 0
+    for _, b, n in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        assert got[b] == total
+        total += n
