@@ -214,3 +214,26 @@ def test_one_claim_a_queue_at_most(spark, sf_dir):
     after, ledger = U.dispatch(j, X.queue_meta(spark), asked, X.as_of())
     assert {r["queue"]: (r["asked"], r["claimed"], r["refunded"]) for r in ledger.collect()} == {"building": (2, 2, 0), "machinery": (5, 0, 5)}  # machinery is paused
     assert after.filter("changed").count() == 2
+
+
+class _NoFolder:
+    """A session of a cluster in which no shared folder is set."""
+
+    class conf:  # noqa: N801
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class sparkContext:  # noqa: N801
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from jobtide.sources.storage import shared_dir
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(_NoFolder)
