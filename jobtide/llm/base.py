@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import io
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +73,19 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._jobtide_shipped = True
 
 
+def releasing(run):
+    """run, a function of Arrow batches, which at the end of a task gives the memory it has freed back to the system: Python workers outlive
+    their tasks, and what they hold is missing from the next stage's."""
+
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """df with a broadcast hint if it has max_rows rows at most, else df as it is: the join then shuffles. df should be parked."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

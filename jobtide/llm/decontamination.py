@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import MAX_SMALL, broadcast_if_small, discard, park, ship
+from .base import MAX_SMALL, broadcast_if_small, discard, park, releasing, ship
 
 Q, WINDOW, QUOTE, STRIDE, EDITS, SLICE = 8, 120, 60, 15, 0.08, 1 << 19
 #: Bits of the bitmap's places at least and at most, bytes of one of its blocks, letters that are scanned at once, slices whose finds are
@@ -362,7 +362,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "at", "texts"])
 
     cols = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    found = park(cols.mapInArrow(scan, "doc_id long, at array<int>, texts array<string>"))
+    found = park(cols.mapInArrow(releasing(scan), "doc_id long, at array<int>, texts array<string>"))
     filter_.destroy()
     schema = "doc_id long, item_id long, start int, end int, distance int, windows int"
     out, parked, sent = [], [], []
@@ -399,7 +399,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start", "end", "distance", "windows"])
 
-        out.append(found.mapInArrow(search, schema))
+        out.append(found.mapInArrow(releasing(search), schema))
         if len(out) == TOGETHER:
             settle()
     settle()

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import MAX_SMALL, broadcast_if_small, discard, park, ship
+from .base import MAX_SMALL, broadcast_if_small, discard, park, releasing, ship
 
 #: Links whose components one task finds.
 EDGES = 1 << 18
@@ -227,7 +227,7 @@ def _survey(docs: DataFrame, n: int, keys: list) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = ", ".join(["kind int", *[f"{c} {t}" for c, t in cols.dtypes[1:]], "r binary, n_shingles long, block binary"])
-    return cols.mapInArrow(run, schema)
+    return cols.mapInArrow(releasing(run), schema)
 
 
 def _order(survey: DataFrame) -> np.ndarray:
@@ -286,7 +286,7 @@ def _prefixes(docs: DataFrame, shared, n: int, percent: int) -> DataFrame:
                 salt = np.concatenate(salts)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cols).view(np.int64)), pa.array(salt, pa.int64(), mask=salt < 0), pa.array(np.concatenate(keys)), pa.array(ids, pa.binary()), pa.array(np.concatenate(sizes))], ["col", "salt", "key", "r", "size"])
 
-    return docs.select(docs["text"]).mapInArrow(run, "col long, salt long, key long, r binary, size int")
+    return docs.select(docs["text"]).mapInArrow(releasing(run), "col long, salt long, key long, r binary, size int")
 
 
 def _families(docs: DataFrame, order: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -401,7 +401,7 @@ def _by_block(df: DataFrame, task, schema: str) -> DataFrame:
         if (out := done()) is not None:
             yield out
 
-    return df.repartition("block").sortWithinPartitions("block").mapInArrow(run, schema)
+    return df.repartition("block").sortWithinPartitions("block").mapInArrow(releasing(run), schema)
 
 
 def _live(blocks: DataFrame, profiles: DataFrame, percent: int, second: bool) -> DataFrame:
@@ -455,7 +455,7 @@ def _rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             rows = [x for x in _groups(b.column(1).to_pylist(), n) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([_row_id(x) for x in rows], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in rows], pa.binary())], ["r", "cells"])
 
-    return found.mapInArrow(run, "r binary, cells binary").join(wanted.select("r"), "r", "left_semi").dropDuplicates(["r"])
+    return found.mapInArrow(releasing(run), "r binary, cells binary").join(wanted.select("r"), "r", "left_semi").dropDuplicates(["r"])
 
 
 def _columns(cells: list[np.ndarray]) -> list[np.ndarray]:
@@ -575,7 +575,7 @@ def _joined(edges: DataFrame) -> DataFrame:
         ends = list(up)
         yield pa.RecordBatch.from_arrays([pa.array(ends, kind), pa.array([top(x) for x in ends], kind)], ["r", "c"])
 
-    return edges.select("u", "v").repartition(1).mapInArrow(run, f"r {name}, c {name}")
+    return edges.select("u", "v").repartition(1).mapInArrow(releasing(run), f"r {name}, c {name}")
 
 
 def components(links: DataFrame) -> DataFrame:
