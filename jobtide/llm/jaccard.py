@@ -459,7 +459,8 @@ def _rows(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
 
 def _columns(cells: list[np.ndarray]) -> list[np.ndarray]:
-    """Of a block's rows the columns that two hold at least: for each number of holders, from few to many, the holders of each column."""
+    """Of a block's rows the columns that two hold at least: for each number of holders, from few to many, the holders of each column. There may be
+    none: rows that met through a third one need not share a column, and the third one may be gone."""
     who = np.repeat(np.arange(len(cells)), [len(c) for c in cells])
     every = np.concatenate(cells)
     order = np.argsort(every, kind="stable")
@@ -467,9 +468,11 @@ def _columns(cells: list[np.ndarray]) -> list[np.ndarray]:
     edge = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
     held = np.diff(np.append(edge, len(every)))
     edge, held = edge[held > 1], held[held > 1]
+    if not len(held):
+        return []
     order = np.argsort(held, kind="stable")
     edge, held = edge[order], held[order]
-    cuts = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else []
+    cuts = np.flatnonzero(np.append(True, held[1:] != held[:-1]))
     return [who[edge[i:j, None] + np.arange(held[i])] for i, j in zip(cuts, [*cuts[1:], len(held)], strict=True)]
 
 

@@ -454,6 +454,28 @@ def test_product_of_a_block(m):
         assert len({(top(i), top(i, two)) for i in range(m)}) == len({top(i) for i in range(m)}) == len({top(i, two) for i in range(m)})
 
 
+def test_product_without_a_common_column():
+    cells = [np.arange(k, k + 20, dtype=np.uint64) for k in (0, 100, 200)]
+    assert jaccard.linked(cells, 80) == jaccard.linked(cells, 80, (np.arange(3),)) == []
+
+
+def bridged(n, percent, size):
+    """Two texts without a common n-gram, whose profiles are equal and which a third, smaller one brings into one block by a prefix column each; that
+    one is too far from both by its profile. In longer texts stand all their other n-grams, so that these aren't in prefixes."""
+    rng = random.Random(n)
+    shape = lambda text: jaccard.profile(jaccard.rows_of([text], n)[0])
+    fresh = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
+    least = fresh(size + n - 1)
+    heads = {shape(" ".join(t)): t for t in (least[:n] + fresh(size) for _ in range(3000))}
+    tails = {shape(" ".join(t)): t for t in (fresh(size) + least[-n:] for _ in range(3000))}
+    own = np.frombuffer(shape(" ".join(least)), np.uint8).astype(int)
+    far = lambda x: 100 * (most := np.minimum(own, np.frombuffer(x, np.uint8)).sum()) < percent * (2 * size + 1 - most)
+    found = next(x for x in heads if x in tails and far(x))
+    head, tail = heads[found], tails[found]
+    texts = [least, head, tail] + [t + fresh(60) for t in (least[1:-1], head[1:], tail[:-1]) for _ in range(3)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
 def test_jaccard_as_in_sql(spark, sf_dir):
     from tests.oracle import compare, connect
 
@@ -477,6 +499,11 @@ def test_one_each(docs, none):
     assert jaccard.one_each(none).count() == 0
 
 
+def test_one_each_bridged(spark):
+    rows = bridged(5, 80, 5)
+    assert sorted(tuple(r) for r in jaccard.one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == rows
+
+
 def test_one_each_goes_by_row(spark):
     w = "one two three four five six seven eight nine ten eleven twelve"
     rows = [(3, w), (5, w), (5, "something else altogether in every way and word here"), (None, w), (None, "lone words of a row without any number at all"), (None, None), (None, None), (8, ""), (8, ""), (9, "tail of it " * 3), (9, "tail of it " * 3)]
