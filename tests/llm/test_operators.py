@@ -476,6 +476,12 @@ def bridged(n, percent, size):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
+def test_op7_bridged(spark):
+    rows = bridged(3, 90, 10)
+    got = collections.Counter(tuple(r) for r in jaccard.op7(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows, 3, 90)
+
+
 def test_jaccard_as_in_sql(spark, sf_dir):
     from tests.oracle import compare, connect
 
