@@ -31,15 +31,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import MAX_SMALL, broadcast_if_small, offsets, shared_dir, ship
-from .chunks import HEAD, ODD, SIMPLE, spell
+from .chunks import ODD, PARTS, spell
 from .tokens import LONGEST
 
 END, SHARD_TEXT, SAMPLE, MAGIC = 2, 16 << 20, 4096, b"JTWM\x01"
-#: Letters of the texts that are encoded together, and pre-tokens whose identifiers are kept; a full table is emptied.
-TOGETHER, KEPT = 8 << 20, 600_000
+#: Letters of the texts that are encoded together, and pre-tokens whose identifiers are kept; a full table is emptied. Bits parted at once.
+TOGETHER, KEPT, PARTED = 8 << 20, 600_000, 1 << 16
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
+def _parted(now: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, int]:
+    """now with those that aren't one first, in the same order otherwise, and how many they are: by places, a stretch at a time, which
+    takes half the time of masks."""
+    out, zero, z = np.empty_like(now), ~one, len(now) - int(np.count_nonzero(one))
+    low, high = 0, z
+    for i in range(0, len(now), PARTED):
+        some = now[i : i + PARTED]
+        a, b = np.flatnonzero(zero[i : i + PARTED]), np.flatnonzero(one[i : i + PARTED])
+        np.take(some, a, out=out[low : low + len(a)], mode="clip")
+        np.take(some, b, out=out[high : high + len(b)], mode="clip")
+        low, high = low + len(a), high + len(b)
+    return out, z
+
+
 class WaveletMatrix:
     """n identifiers of width bits; planes are bytes, low bit first."""
 
@@ -52,9 +66,8 @@ class WaveletMatrix:
         for bit in range(width - 1, -1, -1):
             one = (now & now.dtype.type(1 << bit)) != 0
             packed = np.packbits(one, bitorder="little")
-            high = now[one]
-            now = np.concatenate((now[~one], high))
-            zeros.append(len(ids) - len(high))
+            now, z = _parted(now, one)
+            zeros.append(z)
             planes.append(packed)
             blocks = np.add.reduceat(_ONES[packed], np.arange(0, len(packed), SAMPLE // 8), dtype=np.uint32) if len(packed) else np.zeros(0, np.uint32)
             counts.append(np.concatenate(([0], np.cumsum(blocks[:-1], dtype=np.uint32))).astype(np.uint32) if len(blocks) else blocks)
@@ -171,9 +184,9 @@ class Shard:
 class Encoder:
     """Identifiers of texts by the vocabulary's library.
 
-    A text is cut into chunks at single spaces, where a pre-token always ends. Arrow finds the distinct chunks of a group of texts;
-    a bounded table has the identifiers of chunks that came before, and texts are put together from it by index. New chunks of letters and
-    signs are cut into their pre-tokens, which the library's model encodes, other ones go through the whole library. So do texts with
+    A text is cut into chunks at single spaces, where a pre-token always ends. Arrow finds the distinct chunks of a group of texts and cuts
+    those of letters and signs into their pre-tokens; a bounded table has the identifiers of pre-tokens that came before, the library's
+    model encodes the new ones, and texts are put together by index. Other chunks go through the whole library. So do texts with
     other spaces than single ones, or with a special token's string."""
 
     def __init__(self, path: str):
@@ -195,23 +208,10 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        """The table: a number for each chunk, and by number where its identifiers begin in flat and how many they are."""
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.number: dict[str, int] = {}
+        """The table: a number for each pre-token, and by number where its identifiers begin in flat and how many they are. Number 0 has none."""
+        self.number: dict[str, int] = {"": 0}
         self.first, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.kind), 0
 
-    def _numbers(self, chunks: list[str]) -> np.ndarray:
-        """The numbers of chunks that stand after a space; new ones are put in the table."""
-        out = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
-        new = np.flatnonzero(out < 0)
-        if len(new):
-            names = [chunks[i] for i in new.tolist()]
-            start = len(self.number)
-            out[new] = np.arange(start, start + len(names))
-            self._append(start, self._distinct([" " + x for x in names]))
-            self.number.update(zip(names, range(start, start + len(names)), strict=True))
-        return out
-
     def _append(self, start: int, lists: list[list[int]]) -> None:
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         total, end = int(size.sum()), start + len(lists)
@@ -224,34 +224,40 @@ class Encoder:
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), self.kind, total)
         self.used += total
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        """Of one pre-token."""
-        ids = self.known.get(piece)
-        if ids is None:
-            ids = tuple([t.id for t in self.model.tokenize(spell(piece))])
-            if len(piece) <= LONGEST:
-                if len(self.known) >= KEPT // 2:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
-
-    def _distinct(self, chunks: list[str], pattern=None) -> list[tuple[int, ...] | list[int]]:
-        out, odd, piece, match = [], [], self._piece, (pattern or SIMPLE).fullmatch
-        for i, c in enumerate(chunks):
-            if m := match(c):
-                stem, tail, stem2, tail2 = m.groups()
-                ids = piece(stem)
-                if tail:
-                    ids = ids + piece(tail)
-                if stem2:
-                    ids = ids + piece("\n") + piece(stem2) + (piece(tail2) if tail2 else ())
-                out.append(ids)
-            else:
-                odd.append(i)
-                out.append(())
-        for i, e in zip(odd, self.library.encode_batch_fast([chunks[i] for i in odd], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out
+    def _pieces(self, pieces: pa.Array) -> np.ndarray:
+        """The numbers of pre-tokens; new ones are put in the table."""
+        coded = pc.dictionary_encode(pieces)
+        names = coded.dictionary.to_pylist()
+        out = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            names, start, tokenize = [names[i] for i in new.tolist()], len(self.number), self.model.tokenize
+            out[new] = np.arange(start, start + len(names))
+            self._append(start, [[t.id for t in tokenize(spell(x))] for x in names])
+            self.number.update(zip(names, range(start, start + len(names)), strict=True))
+        return out[np.asarray(coded.indices)]
+
+    def _chunks(self, chunks: pa.Array, before: str) -> tuple[np.ndarray, np.ndarray]:
+        """The identifiers of chunks that stand after before (a space or nothing), one after another, and how many each has."""
+        parts = pc.extract_regex(chunks, PARTS)
+        plain = pc.and_(parts.is_valid(), pc.less_equal(pc.utf8_length(chunks), LONGEST))  # the table has no longer ones
+        odd = pc.invert(plain)
+        parts = parts.filter(plain)
+        a, b, c, d = (parts.field(i) for i in range(4))
+        more = pc.not_equal(c, "")
+        rows, two = len(parts), np.flatnonzero(more.to_numpy(zero_copy_only=False))
+        numbers = self._pieces(pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(before, a.type), a, pa.scalar("", a.type)), b, pa.array(["\n"], a.type), c.filter(more), d.filter(more)]))
+        line = np.zeros((rows, 5), np.int64)
+        line[:, 0], line[:, 1] = numbers[:rows], numbers[rows : 2 * rows]
+        line[two, 2], line[two, 3], line[two, 4] = numbers[2 * rows], numbers[2 * rows + 1 : 2 * rows + 1 + len(two)], numbers[2 * rows + 1 + len(two) :]
+        ids, upto = _together(self.first, self.size, self.flat, line.ravel())
+        others = [e.ids for e in self.library.encode_batch_fast([before + x for x in chunks.filter(odd).to_pylist()], add_special_tokens=False)]
+        n = np.concatenate((np.diff(upto[4::5], prepend=0), np.fromiter(map(len, others), np.int64, len(others))))
+        ids = np.concatenate((ids, np.fromiter(chain.from_iterable(others), self.kind)))
+        # plain ones first, then the others: back into the order of chunks
+        place, plain = np.empty(len(chunks), np.int64), plain.to_numpy(zero_copy_only=False)
+        place[plain], place[~plain] = np.arange(rows), np.arange(rows, len(chunks))
+        return _together(np.cumsum(n) - n, n, ids, place)[0], n[place]
 
     def encode(self, texts: pa.Array, end: list[int] = ()) -> tuple[np.ndarray, np.ndarray]:
         """All identifiers one after another, with end after each text, and how many each text has. A null text is empty."""
@@ -265,35 +271,41 @@ class Encoder:
         chunks, per = split.flatten(), np.zeros(D, np.int64)
         per[~is_whole] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
         coded = pc.dictionary_encode(chunks)
-        words = self._numbers(coded.dictionary.to_pylist())[np.asarray(coded.indices, dtype=np.int64)]
         # what has no space before: the first chunk of a text, or all of a text that isn't plain; then the ends
-        heads = chunks.take(pa.array((np.cumsum(per) - per)[per > 0])).to_pylist()
-        whole = texts.filter(pa.array(is_whole)).to_pylist()
-        base = len(self.number)
-        others = [e.ids for e in self.library.encode_batch_fast(whole, add_special_tokens=False)]
-        used = self.used
-        self._append(base, [*self._distinct(heads, HEAD), *others, list(end)])
-        begins, docs = np.cumsum(per) - per, np.arange(D)
-        words[begins[per > 0]] = base + np.arange(len(heads))
+        begins = np.cumsum(per) - per
+        heads = pc.dictionary_encode(chunks.take(pa.array(begins[per > 0])))
+        others = [e.ids for e in self.library.encode_batch_fast(texts.filter(pa.array(is_whole)).to_pylist(), add_special_tokens=False)]
+        (ids1, n1), (ids2, n2), rest = self._chunks(coded.dictionary, " "), self._chunks(heads.dictionary, ""), [*others, list(end)]
+        size = np.concatenate((n1, n2, np.fromiter(map(len, rest), np.int64, len(rest))))
+        flat = np.concatenate((ids1, ids2, np.fromiter(chain.from_iterable(rest), self.kind)))
+        base = len(n1) + len(n2)
+        words = np.array(coded.indices, np.int64)
+        words[begins[per > 0]] = len(n1) + np.asarray(heads.indices)
         # one more entry a text for its end, and one for all of a text that isn't plain
         count = per + is_whole + 1
         last = np.cumsum(count) - 1
         line = np.empty(int(count.sum()), np.int64)
         mark = np.ones(len(line), bool)
         mark[last] = False
-        line[last] = base + len(heads) + len(others)
+        line[last] = base + len(others)
         mark[last[is_whole] - 1] = False
-        line[last[is_whole] - 1] = base + len(heads) + np.arange(len(others))
+        line[last[is_whole] - 1] = base + np.arange(len(others))
         line[mark] = words
-        n = self.size[line]
-        upto = np.cumsum(n)
-        place = np.repeat(self.first[line] - (upto - n), n)
-        place += np.arange(len(place))
-        ids = self.flat[place]
-        self.used = used  # the entries of this group's heads and whole texts go
+        ids, upto = _together(np.cumsum(size) - size, size, flat, line)
         return ids, np.diff(upto[last], prepend=0)
 
 
+def _together(first: np.ndarray, size: np.ndarray, flat: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of line in turn, size from first on of flat; and where each ends."""
+    n = size[line]
+    upto = np.cumsum(n)
+    total = int(upto[-1]) if len(upto) else 0
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    place = np.repeat((first[line] - (upto - n)).astype(kind), n)
+    place += np.arange(total, dtype=kind)
+    return flat[place], upto
+
+
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)

@@ -10,6 +10,8 @@ _LETTERS, _SIGNS = "[A-Za-zÀ-ÖØ-öø-ÿ]+", r"[!-&(-/:-@\[-`{-~]*"
 _MORE = f"(?:\n({_LETTERS})({_SIGNS}))?"
 #: A simple chunk with its space before, and one that begins a text.
 SIMPLE, HEAD = re.compile(f"( {_LETTERS})({_SIGNS}){_MORE}"), re.compile(f"({_LETTERS})({_SIGNS}){_MORE}")
+#: The parts of a chunk without a space before it (for Arrow): letters a and signs b, and of the line after it c and d.
+PARTS = rf"\A(?P<a>{_LETTERS})(?P<b>{_SIGNS})(?:\n(?P<c>{_LETTERS})(?P<d>{_SIGNS}))?\z"
 #: Texts with a space before white space or at the end, or with control characters that libraries class differently (for Arrow).
 ODD = r" (?:[\s\x0b\x{85}\p{Z}]|$)|[\x1c-\x1f]"
 

@@ -633,6 +633,26 @@ def test_token_ids(docs, corpus, vocabulary, library, none):
     assert ids.tolist() == [x for t in HARD for x in [*library.encode(t, add_special_tokens=False).ids, 2]] and n.sum() == len(ids)
 
 
+def test_pre_tokens_are_kept_not_chunks(vocabulary, library, monkeypatch):
+    """The table has a word once, whatever signs and lines follow it; chunks of odd or long parts, a full table and planes in stretches."""
+    enc = binary.Encoder(vocabulary)
+    words, ends = [f"{a}{b}é"[:n] for a in ("wor", "Vel") for b in ("den", "tur") for n in (3, 6, 7)], ["", ".", ",", "!?", ");", "\nand", ".\nVel;", "'s", " ", "\n"]
+    texts = [" ".join(w + e for w in words for e in ends), None, "", *(w + e for w in words for e in ends), "x" * 70 + " " + "y" * 70 + ". " + "z" * 63 + ".", "a1 b2\n\nc d\te"]
+    want = [x for t in texts for x in [*library.encode(t or "", add_special_tokens=False).ids, 2]]
+    texts = pa.array(texts)
+    for kept in (binary.KEPT, 3):
+        monkeypatch.setattr(binary, "KEPT", kept)
+        for _ in range(2):
+            ids, n = enc.encode(texts, [2])
+            assert ids.tolist() == want and n.sum() == len(want)
+            assert len(enc.number) < 60 and all(len(x) <= binary.LONGEST + 1 for x in enc.number)
+    enc.encode(pa.array([" ".join(w + "-" * i for w in words for i in range(1, 40))]), [2])
+    assert len(enc.number) < 110  # 468 chunks
+    monkeypatch.setattr(binary, "PARTED", 7)
+    matrix = binary.WaveletMatrix.build(ids, 16)
+    assert matrix.decode().tolist() == want and [matrix.access(i) for i in range(50)] == want[:50]
+
+
 def test_token_ids_in_many_shards(spark, vocabulary, library, tmp_path):
     """Shards of few texts, a text longer than a shard by itself, null and repeated ids: files, sizes and the whole read back."""
     rows = [(i, f"text {i} " * 40) for i in range(205)] + [(100, "long one " * 2000), (None, "no id"), (7, "again"), (7, None)]
