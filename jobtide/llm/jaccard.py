@@ -12,12 +12,13 @@ come, and after each slab of them, pairs whose overlap so far plus what is left
 discarded, and rows without a pair go. What is left at the bound is linked, and a block gives a spanning forest of its links,
 never all pairs.
 
-There are two rounds, whatever the data. In the first, a row is in one block, that of its smallest smallest row (and in the one where
+There are two rounds, and one between them if blocks are cut, whatever the data. In the first, a row is in one block, that of its smallest smallest row (and in the one where
 it is that row itself), which joins families of near copies at once. In the second, all blocks whose rows are of several components
 compare rows of different ones. A block of more than BLOCK cells is cut by size classes (partners are in the same or in neighbouring
-ones) and by hash: in the first round each part meets alone, with the smallest row of the block in all of them; in the second every two
-parts whose sizes allow it are a block. So no task holds more than about two parts, and nothing is capped. Columns that many rows
-hold (by the sketch) are dealt by hash before their smallest row is sought.
+ones) and by hash: in the first round each part meets alone, with the smallest row of the block in all of them; in the one between all rows of
+the block do so, not only those whose smallest smallest row it is, so that near copies in many large blocks are of one component before every two
+parts meet; in the second every two parts whose sizes allow it are a block, but those of one component that is large itself. So no task holds
+more than about two parts, and nothing is capped. Columns that many rows hold (by the sketch) are dealt by hash before their smallest row is sought.
 
 Texts: A-Z are lowered; words are runs of anything but space and the characters 9 to 13. Defined results: null or empty texts
 and those without words have no n-gram, are linked with nothing and are their own component; with fewer words than n, the whole
@@ -331,16 +332,24 @@ def _sized(members: DataFrame, percent: int, *extra: Column) -> DataFrame:
     return there.filter(keep).drop("_prev", "_next")
 
 
-def _parts(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members of cut families with their size class k and part; the parts (g, k, parts)."""
+def _parts(rows: DataFrame, percent: int, *of: str) -> tuple[DataFrame, DataFrame]:
+    """Members of cut families with their size class k and part; the parts (g, of, k, parts). Rows that differ in a column of of share no part."""
     weight = F.col("size").cast("long") + ROW
     k = F.floor(F.log(F.col("size").cast("double")) / F.lit(math.log(100 / percent) + 1e-9)).cast("int")  # sizes near enough are a class apart at most
     rows = rows.withColumn("k", k)
-    parts = park(rows.groupBy("g", "k").agg(F.ceil(F.sum(weight) / F.lit(BLOCK / 2)).cast("int").alias("parts")))
-    own = rows.join(broadcast_if_small(parts, MAX_SMALL), ["g", "k"]).withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")).drop("parts")
+    parts = park(rows.groupBy("g", *of, "k").agg(F.ceil(F.sum(weight) / F.lit(BLOCK / 2)).cast("int").alias("parts")))
+    own = rows.join(broadcast_if_small(parts, MAX_SMALL), ["g", *of, "k"]).withColumn("part", F.pmod(F.xxhash64("r"), F.col("parts")).cast("int")).drop("parts")
     return own, parts
 
 
+def _alone(own: DataFrame, parts: DataFrame, *extra: str) -> DataFrame:
+    """block, r, extra: each part by itself, with the smallest row of its family in every part whose sizes allow it."""
+    lead = own.filter(F.col("g") == _key()).select("g", "r", *extra, F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
+    lead = lead.join(parts, ["g", "k"]).select("g", "r", *extra, "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    named = lambda df: df.select(F.xxhash64("g", "k", "part").alias("block"), "r", *extra)
+    return named(own).unionByName(named(lead)).distinct()
+
+
 def _first(families: DataFrame, large: DataFrame | None, percent: int) -> DataFrame:
     """block, r of the first round."""
     best = families.groupBy("r").agg(F.min("g").alias("_least"))
@@ -349,32 +358,49 @@ def _first(families: DataFrame, large: DataFrame | None, percent: int) -> DataFr
         return _sized(members, percent).select(F.xxhash64("g").alias("block"), "r")
     members = park(members)
     own, parts = _parts(members.join(large, "g", "left_semi"), percent)
-    # the smallest row is in every part whose sizes allow it
-    lead = own.filter(F.col("g") == _key()).select("g", "r", F.explode(F.array(F.col("k"), F.col("k") + 1)).alias("k"))
-    lead = lead.join(parts, ["g", "k"]).select("g", "r", "k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    named = lambda df: df.select(F.xxhash64("g", "k", "part").alias("block"), "r")
     whole = _sized(members.join(large, "g", "left_anti"), percent).select(F.xxhash64("g").alias("block"), "r")
-    return whole.unionByName(named(own)).unionByName(named(lead)).distinct()
+    return whole.unionByName(_alone(own, parts))
+
+
+def _labelled(families: DataFrame, comps: DataFrame) -> DataFrame:
+    return families.join(comps, "r", "left").select("g", "r", "size", F.coalesce("c", "r").alias("label"))
+
+
+def _mixed(cut: DataFrame) -> DataFrame:
+    """Members of the families with several components."""
+    mixed = park(cut.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g"))
+    return cut.join(broadcast_if_small(mixed, MAX_SMALL), "g", "left_semi")
+
+
+def _between(families: DataFrame, large: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """block, r, label, side of the round between: the parts of cut families alone, with all their rows. It joins nearly all near copies, which
+    would otherwise meet and be linked again in each two parts of each of their families."""
+    cut = park(_labelled(families.join(large, "g", "left_semi"), comps))
+    own, parts = _parts(_mixed(cut), percent)
+    return _alone(own, parts, "label").withColumn("side", F.xxhash64("r"))
 
 
 def _second(families: DataFrame, large: DataFrame | None, comps: DataFrame, percent: int) -> DataFrame:
     """block, r, label, side of the second round: the blocks with several components, cut ones as every two parts whose sizes allow it; of two
     parts, rows of one side have met in their own part."""
-    label = families.join(comps, "r", "left").select("g", "r", "size", F.coalesce("c", "r").alias("label"))
+    label = _labelled(families, comps)
     every, alone = Window.partitionBy("g"), F.xxhash64("r")
     kinds = lambda df: df.withColumns({"_lo": F.min("label").over(every), "_hi": F.max("label").over(every)})
     block = lambda df: _sized(kinds(df), percent, F.col("_lo") != F.col("_hi")).select(F.xxhash64("g").alias("block"), "r", "label", alone.alias("side"))
     if large is None:
         return block(label)
     label = park(label)
-    cut = label.join(large, "g", "left_semi")
-    mixed = park(cut.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("g"))
-    own, parts = _parts(cut.join(broadcast_if_small(mixed, MAX_SMALL), "g", "left_semi"), percent)
+    cut = park(_mixed(label.join(large, "g", "left_semi")))
+    # a component that is large itself has its own parts, which don't meet each other
+    mass = park(cut.groupBy("g", "label").agg(F.sum(F.col("size").cast("long") + ROW).alias("w")).filter(F.col("w") > BLOCK).select("g", "label", F.col("label").alias("of")))
+    cut = cut.join(broadcast_if_small(mass, MAX_SMALL), ["g", "label"], "left").withColumn("of", F.coalesce("of", F.lit(b"")))
+    own, parts = _parts(cut, percent, "of")
     near = own.withColumn("l", F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)))
-    other = parts.select("g", F.col("k").alias("l"), "parts")
-    met = near.join(broadcast_if_small(other, MAX_SMALL), ["g", "l"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    one, two = F.struct("k", "part"), F.struct(F.col("l").alias("k"), F.col("other").alias("part"))
-    side = F.when((F.col("l") == F.col("k")) & (F.col("other") == F.col("part")), alone).otherwise(F.xxhash64("k", "part"))
+    other = parts.select("g", F.col("of").alias("to"), F.col("k").alias("l"), "parts")
+    met = near.join(broadcast_if_small(other, MAX_SMALL), ["g", "l"]).filter((F.col("of") != F.col("to")) | (F.col("of") == F.lit(b"")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one, two = F.struct("of", "k", "part"), F.struct(F.col("to").alias("of"), F.col("l").alias("k"), F.col("other").alias("part"))
+    side = F.when(one == two, alone).otherwise(F.xxhash64("of", "k", "part"))
     met = met.select(F.xxhash64("g", F.least(one, two), F.greatest(one, two)).alias("block"), "r", "label", side.alias("side"))
     return block(label.join(large, "g", "left_anti")).unionByName(met)
 
@@ -634,8 +660,12 @@ def join(docs: DataFrame, n: int, percent: int, keys: bool = False) -> DataFrame
 
     found = links(_first(families, large, percent), False)
     comps = park(components(found))
-    more = links(_second(families, large, comps, percent), True)
     parked.append(comps)
+    if large is not None:
+        found = found.unionByName(links(_between(families, large, comps, percent), True))
+        comps = park(components(found))
+        parked.append(comps)
+    more = links(_second(families, large, comps, percent), True)
     if not more.isEmpty():
         comps = park(components(found.unionByName(more)))
         parked.append(comps)

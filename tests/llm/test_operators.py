@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -394,6 +395,48 @@ def test_jaccard_parts(spark, monkeypatch):
     assert got == brute_components(rows, 1, 80)
 
 
+def test_second_round_of_large_components(spark, monkeypatch):
+    """A cut family of two large components and single rows: all pairs that may link meet, yet a large component's rows don't meet each other."""
+    monkeypatch.setattr(jaccard, "BLOCK", 600)
+    monkeypatch.setattr(jaccard, "ROW", 4)
+    rng = random.Random(4)
+    labels = [b"A"] * 300 + [b"B"] * 60 + [b"%d" % i for i in range(8)]
+    rows = [(7, rng.randbytes(16), rng.choice((18, 20, 23, 30)), label) for label in labels]
+    families = base.park(spark.createDataFrame([r[:3] for r in rows], "g long, r binary, size int"))
+    comps = base.park(spark.createDataFrame([(r[1], r[3]) for r in rows if len(r[3]) == 1 and r[3].isalpha()], "r binary, c binary"))
+    got = jaccard._second(families, jaccard._large(families), comps, 80).collect()
+    size, blocks = {r[1]: r[2] for r in rows}, collections.defaultdict(list)
+    for x in got:
+        blocks[x["block"]].append(x)
+    met = {frozenset((bytes(a["r"]), bytes(b["r"]))) for x in blocks.values() for a, b in itertools.combinations(x, 2) if a["label"] != b["label"] and a["side"] != b["side"]}
+    single = {r[1]: r[3] if r[3].isalpha() else r[1] for r in rows}
+    for a, b in itertools.combinations(single, 2):
+        if single[a] != single[b] and 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b]):
+            assert frozenset((a, b)) in met
+    assert max(sum(size[bytes(x["r"])] + 4 for x in b) for b in blocks.values()) < 2 * 600
+    assert len(got) < 12 * len(rows)
+
+
+def test_round_between_joins_near_copies(spark, monkeypatch):
+    """Near copies in a large family of which the first round links none are linked by their parts, before every two parts meet."""
+    monkeypatch.setattr(jaccard, "BLOCK", 3000)
+    monkeypatch.setattr(jaccard, "ROW", 4)
+    found, links = [], jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda *a: found.append(base.park(links(*a))) or found[-1])
+    rng, parent = random.Random(5), [f"p{j}" for j in range(40)]
+    rows = []
+    for i in range(240):
+        words = [*parent]
+        for _ in range(rng.randrange(3, 6)):
+            words[rng.randrange(40)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df, 1, 80).collect())
+    assert got == brute_components(rows, 1, 80)
+    assert len(found) == 3
+    assert found[2].count() < len(rows)
+
+
 def test_jaccard_hot_columns(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "_salts", lambda counter: np.full(np.shape(counter), 3))
     rows = [(i, " ".join(f"t{j}" for j in range(2 * (i % 20), 2 * (i % 20) + 25)) + f" u{i % 25}") for i in range(60)]
